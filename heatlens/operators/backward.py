@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from heatlens.functions.decay import decay, slices_to_reach, weight
-from heatlens.operators.selection import SMALL_K, kth_value, nth_by_group, top_k
+from heatlens.operators.selection import SMALL_K, kth_and_next, nth_by_group, top_k
 from heatlens.params import DEFAULT_ALPHA
 from heatlens.staging import small_table, stage
 
@@ -136,21 +136,22 @@ def backward_hot_set(
         return BackwardResult(_exact(tail, end, alpha, digits).limit(0), end, math.inf, ())
     slack = _slack(digits)
     span, seen = min(first_span, end), []
-    while True:
+    while span < end:
         t = end - span + 1
         seen.append(t)
-        if t <= 1:
-            return _settle_exactly(tail, end, k, alpha, digits, seen)
-        bounds = with_bounds(heat_backward(tail(t), end, alpha), t, end, 1, alpha).persist()
-        kth, _ = kth_value(bounds, k, "lower")
-        if kth is not None and (1.0 - alpha) ** span < kth - slack:
-            survivors = prune_candidates(bounds, kth - slack)
-            if survivors.count() == k:
-                hot = _finish(tail, survivors.select("key"), k, end, alpha, digits)
+        bounds = _held(with_bounds(heat_backward(tail(t), end, alpha), t, end, 1, alpha), k)
+        kth, following = kth_and_next(bounds, k, "lower")
+        unseen = (1.0 - alpha) ** span
+        if kth is not None and unseen < kth - slack:
+            # all bounds are equally wide: one comparison counts the survivors
+            if following is None or following + _width(span, end, alpha) < kth - slack:
+                members = prune_candidates(bounds, kth - slack).select("key")
+                hot = _finish(tail, members, k, end, alpha, digits)
                 bounds.unpersist()
                 return BackwardResult(hot, t, kth, tuple(seen))
         bounds.unpersist()
         span = _next_span(span, end, kth, slack, alpha)
+    return _settle_exactly(tail, end, k, alpha, digits, seen)
 
 
 def threshold_search(
@@ -173,26 +174,26 @@ def threshold_search(
         return BackwardResult(_exact(tail, end, alpha, digits).limit(0), end, math.inf, ())
     slack = _slack(digits)
     span, seen = min(first_span, end), []
-    while True:
+    while span < end:
         t = end - span + 1
         seen.append(t)
-        if t <= 1:
-            return _settle_exactly(tail, end, k, alpha, digits, seen)
-        bounds = with_bounds(heat_backward(tail(t), end, alpha), t, end, 1, alpha)
-        bounds = bucket_of(bounds).persist()
-        candidates = bucket_status(bounds, budgets).filter("kth > 0").select("kth").distinct().collect()
-        theta, gap = _separate(bounds, k, sorted(c["kth"] for c in candidates), slack)
+        bounds = bucket_of(with_bounds(heat_backward(tail(t), end, alpha), t, end, 1, alpha)).persist()
+        filled = bucket_status(bounds, budgets).filter("kth > 0")
+        candidates = sorted(c["kth"] for c in filled.select("kth").distinct().collect())
+        theta, gap = _separate(bounds, k, candidates, _width(span, end, alpha), slack)
         if theta is not None and (1.0 - alpha) ** span < theta - slack:
             members = bounds.filter(F.col("upper") > F.lit(theta)).select("key")
             hot = _finish(tail, members, k, end, alpha, digits)
             bounds.unpersist()
             return BackwardResult(hot, t, theta, tuple(seen))
         bounds.unpersist()
-        span = _next_span(span, end, gap, slack, alpha)
+        # the gap is only a guess before the older slices are read
+        span = min(_next_span(span, end, gap, slack, alpha), 4 * span)
+    return _settle_exactly(tail, end, k, alpha, digits, seen)
 
 
 def _separate(
-    bounds: DataFrame, k: int, candidates: list[float], slack: float
+    bounds: DataFrame, k: int, candidates: list[float], width: float, slack: float
 ) -> tuple[float | None, float | None]:
     """A threshold that exactly ``k`` keys clear whichever bound is used.
 
@@ -205,7 +206,7 @@ def _separate(
         mid = (low + high) // 2
         counts = threshold_counts(bounds, candidates[mid]).first()
         if counts["lower_count"] == counts["upper_count"] == k:
-            if counts["overlap"] is not None and counts["overlap"] > slack:
+            if counts["overlap"] - width > slack:
                 return candidates[mid], None
             break
         if counts["lower_count"] >= k:
@@ -214,13 +215,11 @@ def _separate(
             high = mid - 1
         else:
             break
-    kth, _ = kth_value(bounds, k, "lower")
+    kth, following = kth_and_next(bounds, k, "lower")
     if kth is None:
         return None, None
-    following, _ = kth_value(bounds, k + 1, "lower")
     if following is None:
         return kth - 2 * slack, None
-    width = bounds.select((F.col("upper") - F.col("lower")).alias("w")).first()["w"]
     gap = kth - following
     if gap > width + 4 * slack:
         return kth - (gap - width) / 2, None
@@ -235,6 +234,16 @@ def tighten_bounds(
     return with_bounds(heat_backward(kept, end, alpha), t, end, 1, alpha)
 
 
+def _width(span: int, end: int, alpha: float) -> float:
+    """``upper - lower``, the same for every key."""
+    return (1.0 - alpha) ** span - (1.0 - alpha) ** end
+
+
+def _held(bounds: DataFrame, k: int) -> DataFrame:
+    """Kept for the several passes that a large ``k`` needs."""
+    return bounds.persist() if k > SMALL_K else bounds
+
+
 def _slack(digits: int) -> float:
     """Estimates closer than this may tie once rounded: never separate them."""
     return 10.0**-digits
@@ -256,7 +265,7 @@ def _settle_exactly(tail, end, k, alpha, digits, seen) -> BackwardResult:
     """Everything is read: both bounds equal the estimate, up to a constant."""
     hot = stage(top_k(_exact(tail, end, alpha, digits), k), "backward")
     coolest = hot.agg(F.min("est").alias("est")).first()["est"]
-    return BackwardResult(hot.orderBy("est", "key"), 1, coolest or 0.0, tuple(seen))
+    return BackwardResult(hot.orderBy("est", "key"), 1, coolest or 0.0, (*seen, 1))
 
 
 def _finish(tail, members, k, end, alpha, digits) -> DataFrame:

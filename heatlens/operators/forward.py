@@ -84,7 +84,7 @@ def heat_forward(
             F.sum(weight(alpha, F.lit(span - 1) - F.col(slice_col))).alias("mass"),
             F.count("*").alias("counted"),
             *extent,
-        ).withColumn("mass", F.col("mass") / decay(alpha, F.lit(span - 1) - F.col("last_slice")))
+        ).withColumn("mass", F.col("mass") * decay(alpha, F.col("last_slice") - F.lit(span - 1)))
         return _without_first(folded, alpha, key)
     ordering = [] if order is None else [
         F.min(order).alias("first_at"), F.max(order).alias("last_at"),

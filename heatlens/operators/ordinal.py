@@ -20,6 +20,7 @@ from functools import cached_property
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from heatlens.operators.selection import quantiles
 from heatlens.staging import small_table
 
 ROWS_PER_BIN = 1_000_000
@@ -70,10 +71,7 @@ def profile_arrival(
     wanted = min(max_bins, -(-rows // rows_per_bin))
     if wanted <= 1:
         return ArrivalProfile(rows)
-    grid = [i / wanted for i in range(1, wanted)]
-    found = df.agg(
-        F.percentile_approx(arrival, grid, 10 * wanted).alias("cuts")
-    ).first()["cuts"]
+    found = df.agg(quantiles(arrival, wanted).alias("cuts")).first()["cuts"]
     # bins compare doubles, so cuts that round alike count once
     cuts = tuple(sorted({float(cut): cut for cut in found}.values()))
     binned = _with_bin(df.select(arrival), arrival, cuts)

@@ -57,20 +57,29 @@ def top_k_by_group(
     return _keep_cut(held, group, k, by, tie).select(*df.columns)
 
 
-def kth_value(df: DataFrame, k: int, by: str, small_k: int = SMALL_K) -> tuple[float | None, int]:
-    """The ``k``-th largest ``by`` and how many rows there were to rank, the
-    latter capped at ``k``. The value is ``None`` when there are fewer than ``k``."""
+def kth_value(df: DataFrame, k: int, by: str, small_k: int = SMALL_K) -> float | None:
+    """The ``k``-th largest ``by``; ``None`` when there are fewer rows."""
+    return kth_and_next(df, k, by, small_k)[0]
+
+
+def kth_and_next(
+    df: DataFrame, k: int, by: str, small_k: int = SMALL_K
+) -> tuple[float | None, float | None]:
+    """The ``k``-th and the ``k + 1``-th largest ``by``, where they exist."""
     if k <= 0:
-        return None, 0
+        return None, None
     if k <= small_k:
         row = (
-            df.select(by).orderBy(F.desc(by)).limit(k)
-            .agg(F.min(by).alias("value"), F.count("*").alias("rows")).first()
+            df.select(by).orderBy(F.desc(by)).limit(k + 1)
+            .agg(F.count("*").alias("rows"), F.slice(F.sort_array(F.collect_list(by)), 1, 2).alias("tail"))
+            .first()
         )
-        return (row["value"] if row["rows"] == k else None), row["rows"]
+        if row["rows"] == k + 1:
+            return row["tail"][1], row["tail"][0]
+        return (row["tail"][0] if row["rows"] == k else None), None
     grouped = df.select(F.lit(0).alias("__all"), by)
-    found = nth_by_group(grouped, "__all", by, {0: k}, largest=True)
-    return (found[0][0], k) if 0 in found else (None, df.count())
+    found = [nth_by_group(grouped, "__all", by, {0: n}, largest=True) for n in (k, k + 1)]
+    return found[0].get(0, (None, 0))[0], found[1].get(0, (None, 0))[0]
 
 
 def nth_by_group(
@@ -88,109 +97,112 @@ def nth_by_group(
     outside the pivots around the wanted rank; a group with at most ``settle``
     rows left is finished with a window. The driver holds a few numbers per group.
     """
-    open_groups = {g: _Bracket(w) for g, w in want.items() if w > 0}
+    sizes = {r[group]: r["rows"] for r in df.groupBy(group).agg(F.count("*").alias("rows")).collect()}
+    open_groups = {}
+    for g, w in want.items():
+        rows = sizes.get(g, 0)
+        if 1 <= w <= rows:
+            open_groups[g] = _Bracket(rows - w + 1 if largest else w, rows)
     found: dict[int, tuple[object, int]] = {}
-    first_round = True
     while open_groups:
-        inside = _within(df, group, col, open_groups)
-        sizes = {
-            r[group]: r
-            for r in inside.groupBy(group).agg(F.count("*").alias("rows"), _pivots(df, col).alias("pivots")).collect()
-        }
-        for g in list(open_groups):
-            rows = sizes[g]["rows"] if g in sizes else 0
-            b = open_groups[g]
-            if first_round and largest:
-                b.rank = rows - b.rank + 1
-            if not 1 <= b.rank <= rows:
-                del open_groups[g]
-                continue
-            b.rows = rows
-            if first_round:
-                b.total = rows
-        first_round = False
         small = {g: b for g, b in open_groups.items() if b.rows <= settle}
         if small:
-            ranks = _group_table(df, group, [(g, b.rank) for g, b in small.items()], "__rank bigint")
-            place = F.row_number().over(Window.partitionBy(group).orderBy(F.asc(col)))
-            upto = F.sum("same").over(Window.partitionBy(group).orderBy(F.asc(col)))
-            hits = (
-                _within(df, group, col, small)
-                .groupBy(group, col).agg(F.count("*").alias("same"))
-                .withColumn("upto", upto)
-                .join(F.broadcast(ranks), group)
-                .filter("upto >= __rank and upto - same < __rank")
-                .collect()
-            )
-            for r in hits:
-                b = open_groups.pop(r[group])
-                below = b.below + r["upto"] - r["same"]
-                above = b.total - b.below - r["upto"]
-                found[r[group]] = (r[col], above if largest else below)
+            _finish_small(df, group, col, small, found, largest)
+            open_groups = {g: b for g, b in open_groups.items() if g not in small}
         if open_groups:
-            _narrow(df, group, col, open_groups, sizes, found, largest)
+            _narrow(df, group, col, open_groups, found, largest)
+            open_groups = {g: b for g, b in open_groups.items() if g not in found}
     return found
 
 
 class _Bracket:
-    """Where a group's wanted row may still be: strictly between two pivots."""
+    """Where a group's wanted row may still be: strictly between two pivots.
+
+    ``rank`` counts from the smallest of the ``rows`` left; ``below`` rows of the
+    group's ``total`` lie under them.
+    """
 
-    def __init__(self, rank: int) -> None:
+    def __init__(self, rank: int, rows: int) -> None:
         self.rank = rank
+        self.rows = self.total = rows
+        self.below = 0
         self.low: object = None
         self.high: object = None
-        self.below = 0
-        self.rows = 0
-        self.total = 0
+
+    def before(self, below: int, upto: int, largest: bool) -> int:
+        """Rows ranked strictly before a value, by its counts in the bracket."""
+        return self.total - self.below - upto if largest else self.below + below
+
+
+def _finish_small(df, group, col, brackets, found, largest) -> None:
+    ranks = _group_table(df, group, [(g, b.rank) for g, b in brackets.items()], "__rank bigint")
+    upto = F.sum("same").over(Window.partitionBy(group).orderBy(F.asc(col)))
+    hits = (
+        _within(df, group, col, brackets)
+        .groupBy(group, col).agg(F.count("*").alias("same"))
+        .withColumn("upto", upto)
+        .join(F.broadcast(ranks), group)
+        .filter("upto >= __rank and upto - same < __rank")
+        .collect()
+    )
+    for r in hits:
+        b = brackets[r[group]]
+        found[r[group]] = (r[col], b.before(r["upto"] - r["same"], r["upto"], largest))
 
 
 def _pivots(df: DataFrame, col: str) -> Column:
     """Pivot candidates. They only steer the search, so approximate quantiles or,
     for types that have none, randomly drawn rows will do."""
     if isinstance(df.schema[col].dataType, T.NumericType):
-        return F.percentile_approx(col, [i / _GRID for i in range(_GRID + 1)], 10 * _GRID)
+        return quantiles(col, _GRID)
     return F.array(*[F.min_by(col, F.rand(seed)) for seed in range(_RANDOM_PIVOTS)])
 
 
-def _narrow(df, group, col, open_groups, sizes, found, largest) -> None:
+def quantiles(col: str, parts: int) -> Column:
+    """The inner cut points of about ``parts`` equal parts."""
+    grid = ",".join(f"{i / parts!r}D" for i in range(1, parts))
+    return F.expr(f"percentile_approx(`{col}`, array({grid}), {10 * parts})")
+
+
+def _narrow(df, group, col, brackets, found, largest) -> None:
+    """One round: draw pivots, count around them, keep the part with the rank."""
+    drawn = (
+        _within(df, group, col, brackets).groupBy(group).agg(_pivots(df, col).alias("pivots")).collect()
+    )
     rows = []
-    for g, b in open_groups.items():
-        pivots = sizes[g]["pivots"]
+    for r in drawn:
+        b, pivots = brackets[r[group]], r["pivots"]
         if len(pivots) > _RANDOM_PIVOTS:  # quantiles: only those around the rank
             centre = b.rank * _GRID // b.rows
-            pivots = pivots[max(0, centre - 1) : centre + 3]
-        rows.append((g, sorted(set(pivots))))
+            pivots = pivots[max(0, min(centre, len(pivots) - 1) - 2) : centre + 2]
+        rows.append((r[group], sorted(set(pivots))))
     item = df.schema[col].dataType.simpleString()
     table = _group_table(df, group, rows, f"__pivots array<{item}>")
-    width = max(len(p) for _, p in rows)
     counts = []
-    for i in range(width):
+    for i in range(max(len(p) for _, p in rows)):
         pivot = F.try_element_at("__pivots", F.lit(i + 1))
         counts += [
             F.count_if(F.col(col) < pivot).alias(f"below{i}"),
             F.count_if(F.col(col) <= pivot).alias(f"upto{i}"),
         ]
-    tallied = {
-        r[group]: r
-        for r in _within(df, group, col, open_groups).join(F.broadcast(table), group).groupBy(group).agg(*counts).collect()
-    }
+    within = _within(df, group, col, brackets).join(F.broadcast(table), group)
+    tallies = {r[group]: r for r in within.groupBy(group).agg(*counts).collect()}
     for g, pivots in rows:
-        b, tally = open_groups[g], tallied[g]
-        shift = 0
+        b, tally = brackets[g], tallies[g]
+        skipped, left = 0, b.rows
         for i, pivot in enumerate(pivots):
-            if tally[f"below{i}"] < b.rank <= tally[f"upto{i}"]:
-                before = b.below + tally[f"below{i}"]
-                after = b.total - b.below - tally[f"upto{i}"]
-                found[g] = (pivot, after if largest else before)
-                del open_groups[g]
+            below, upto = tally[f"below{i}"], tally[f"upto{i}"]
+            if below < b.rank <= upto:
+                found[g] = (pivot, b.before(below, upto, largest))
                 break
-            if b.rank > tally[f"upto{i}"]:
-                b.low, shift = pivot, tally[f"upto{i}"]
+            if b.rank > upto:
+                b.low, skipped = pivot, upto
             else:
-                b.high = pivot
+                b.high, left = pivot, below
                 break
-        b.rank -= shift
-        b.below += shift
+        b.rank -= skipped
+        b.below += skipped
+        b.rows = left - skipped
 
 
 def _group_table(df: DataFrame, group: str, rows: list[tuple], column: str) -> DataFrame:

@@ -28,31 +28,33 @@ FIXED_TOP = 100
 
 @dataclass(frozen=True)
 class TraceSpan:
-    """Clock facts of a trace: newest and oldest by arrival, and the largest."""
+    """Clock facts of a trace: the first and last by arrival, and the extremes."""
 
     rows: int
     first: int
     last: int
-    top: int
+    low: int
+    high: int
 
     def interval(self, slices: int) -> int:
         return max(1, (self.last - self.first) // slices)
 
 
 def span_frame(accesses: DataFrame) -> DataFrame:
-    """``(rows, first, last, top)``. Without an arrival column the clock is the order."""
+    """``(rows, first, last, low, high)``. Without an arrival column the clock is the order."""
     by_arrival = "arrival" in accesses.columns
     return accesses.agg(
         F.count("*").alias("rows"),
         (F.min_by("ts", "arrival") if by_arrival else F.min("ts")).alias("first"),
         (F.max_by("ts", "arrival") if by_arrival else F.max("ts")).alias("last"),
-        F.max("ts").alias("top"),
+        F.min("ts").alias("low"),
+        F.max("ts").alias("high"),
     )
 
 
 def trace_span(accesses: DataFrame) -> TraceSpan:
     row = span_frame(accesses).first()
-    return TraceSpan(row["rows"], row["first"] or 0, row["last"] or 0, row["top"] or 0)
+    return TraceSpan(row["rows"], *(row[c] or 0 for c in ("first", "last", "low", "high")))
 
 
 def _ranked(heat: DataFrame, params: HeatParams) -> DataFrame:
@@ -105,7 +107,8 @@ def clock_heat(
     """
     interval = span.interval(params.slice_count)
     number = sl.timestamp_slice("ts", span.first, interval)
-    newest = (span.top - span.first) // interval
+    # slices before the first one need the general fold
+    newest = (span.high - span.first) // interval if span.low >= span.first else None
     if in_order:
         sliced = accesses.select("key", number.alias("slice"))
         return heat_forward(slice_dedup(sliced), params.alpha, newest)
