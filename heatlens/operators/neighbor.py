@@ -9,7 +9,7 @@ single value, the value of its head, so only heads are solved:
 
 where the parent chain holds the previous event of the head's key. A parent
 event lies in an earlier slice, so a path of parents is shorter than the number
-of slices, and pointer doubling needs about ``log2(slices)`` joins.
+of slices, and pointer doubling needs about ``log2(slices)`` rounds.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from heatlens.functions.decay import decay
 from heatlens.functions.slices import int_div
+from heatlens.operators.forward import slice_dedup
 from heatlens.params import DEFAULT_ALPHA
 from heatlens.staging import stage
 
@@ -27,13 +28,13 @@ ROWS_PER_BIN = 1_000_000
 MAX_BINS = 65_536
 
 
-def repeat_events(df: DataFrame) -> DataFrame:
+def repeat_events(counted: DataFrame) -> DataFrame:
     """``(key, slice, n, prev_n, gap)``, one row per counted repeat access.
 
+    ``counted`` has one row per key and slice with its first ordinal ``n``.
     ``prev_n`` is the key's previous event (null for its first), ``gap`` the
-    slices since the key was last counted. A key has at most one row per slice.
+    slices since the key was last counted.
     """
-    counted = df.groupBy("key", "slice").agg(F.min("n").alias("n"))
     of_key = Window.partitionBy("key").orderBy("slice")
     return (
         counted.withColumn("gap", F.col("slice") - F.lag("slice").over(of_key))
@@ -100,35 +101,42 @@ def solve_chains(events: DataFrame, alpha: float = DEFAULT_ALPHA) -> DataFrame:
         F.lit(alpha).alias("b"),
     )
     links = stage(links, "chains")
-    # many chains may share one parent: the parent side has one row per chain,
-    # so AQE can split the crowded side of this join
     while not links.filter("parent is not null").isEmpty():
-        above = links.select(
-            F.col("chain").alias("parent"),
-            F.col("parent").alias("grand"),
-            F.col("a").alias("up_a"),
-            F.col("b").alias("up_b"),
-        )
-        stepped = (
-            links.filter("parent is not null")
-            .join(above, "parent")
-            .select(
-                "chain",
-                F.col("grand").alias("parent"),
-                (F.col("a") * F.col("up_a")).alias("a"),
-                (F.col("a") * F.col("up_b") + F.col("b")).alias("b"),
-            )
-        )
-        links = stage(links.filter("parent is null").unionByName(stepped), "chains")
+        # two doublings for each written table
+        links = stage(_double(_double(links)), "chains")
     return links.select("chain", F.col("b").alias("value"))
 
 
+def _double(links: DataFrame) -> DataFrame:
+    """Let every unsolved chain skip to its parent's parent.
+
+    Many chains may share one parent; the parent side has one row per chain, so
+    AQE can split the crowded side of this join.
+    """
+    above = links.select(
+        F.col("chain").alias("parent"),
+        F.col("parent").alias("grand"),
+        F.col("a").alias("up_a"),
+        F.col("b").alias("up_b"),
+    )
+    stepped = links.filter("parent is not null").join(above, "parent")
+    return links.filter("parent is null").unionByName(
+        stepped.select(
+            "chain",
+            F.col("grand").alias("parent"),
+            (F.col("a") * F.col("up_a")).alias("a"),
+            (F.col("a") * F.col("up_b") + F.col("b")).alias("b"),
+        )
+    )
+
+
 def heat_neighbor_reuse(
     df: DataFrame, rows: int, alpha: float = DEFAULT_ALPHA, reach: int = REACH, rows_per_bin: int = ROWS_PER_BIN
 ) -> DataFrame:
     """``(key, est)`` for accesses with ``key``, ``slice`` and ordinal ``n``."""
-    events = stage(chain_events(repeat_events(df), rows, reach, rows_per_bin), "events")
+    counted = stage(slice_dedup(df, order="n").select("key", "slice", "n"), "counted")
+    events = stage(chain_events(repeat_events(counted), rows, reach, rows_per_bin), "events")
     latest = events.groupBy("key").agg(F.max_by("chain", "n").alias("chain"))
     valued = latest.join(solve_chains(events, alpha), "chain").select("key", "value")
-    keys = df.select("key").distinct()
+    keys = counted.select("key").distinct()
     return keys.join(valued, "key", "left").select("key", F.coalesce("value", F.lit(0.0)).alias("est"))

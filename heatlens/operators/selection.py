@@ -18,7 +18,7 @@ from heatlens.staging import small_table, stage
 SMALL_K = 10_000
 SETTLE_ROWS = 1_000_000
 _GRID = 1000
-_RANDOM_PIVOTS = 15
+_DRAWN_PIVOTS = 15
 
 
 def top_k(df: DataFrame, k: int, by: str = "est", tie: str = "key", small_k: int = SMALL_K) -> DataFrame:
@@ -152,10 +152,10 @@ def _finish_small(df, group, col, brackets, found, largest) -> None:
 
 def _pivots(df: DataFrame, col: str) -> Column:
     """Pivot candidates. They only steer the search, so approximate quantiles or,
-    for types that have none, randomly drawn rows will do."""
+    for types that have none, values drawn by hash will do."""
     if isinstance(df.schema[col].dataType, T.NumericType):
         return quantiles(col, _GRID)
-    return F.array(*[F.min_by(col, F.rand(seed)) for seed in range(_RANDOM_PIVOTS)])
+    return F.array(*[F.min_by(col, F.xxhash64(col, F.lit(seed))) for seed in range(_DRAWN_PIVOTS)])
 
 
 def quantiles(col: str, parts: int) -> Column:
@@ -172,7 +172,7 @@ def _narrow(df, group, col, brackets, found, largest) -> None:
     rows = []
     for r in drawn:
         b, pivots = brackets[r[group]], r["pivots"]
-        if len(pivots) > _RANDOM_PIVOTS:  # quantiles: only those around the rank
+        if len(pivots) > _DRAWN_PIVOTS:  # quantiles: only those around the rank
             centre = b.rank * _GRID // b.rows
             pivots = pivots[max(0, min(centre, len(pivots) - 1) - 2) : centre + 2]
         rows.append((r[group], sorted(set(pivots))))

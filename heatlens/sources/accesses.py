@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+# Session time zones in which a zoneless timestamp is cast without a shift.
+_UTC = ("UTC", "Etc/UTC", "Z", "+00:00")
+
 
 def as_micros(df: DataFrame, column: str) -> Column:
     """A timestamp column as microseconds since 1970, whatever the session's
@@ -12,6 +15,8 @@ def as_micros(df: DataFrame, column: str) -> Column:
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(column)
     if isinstance(kind, T.TimestampNTZType):
+        if df.sparkSession.conf.get("spark.sql.session.timeZone") in _UTC:
+            return F.unix_micros(F.col(column).cast("timestamp"))
         day = F.date_diff(F.col(column).cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
         second = (F.extract(F.lit("SECOND"), column) * F.lit(1_000_000)).cast("bigint")
         minutes = (day * 24 + F.hour(column)) * 60 + F.minute(column)
