@@ -11,9 +11,13 @@ from heatlens.plans.classify import (
     classify_neighbor,
     classify_total_by_block,
     classify_total_by_time,
+    search_backward,
+    search_backward_bucketed,
+    search_backward_fixed,
 )
 from heatlens.sources.accesses import accesses_from
 from heatlens.sources.trace import read_trace, trace_accesses, with_file_order
+from heatlens.staging import drop_staged
 
 __all__ = [
     "HeatParams",
@@ -27,7 +31,11 @@ __all__ = [
     "classify_neighbor",
     "classify_total_by_block",
     "classify_total_by_time",
+    "drop_staged",
     "read_trace",
+    "search_backward",
+    "search_backward_bucketed",
+    "search_backward_fixed",
     "trace_accesses",
     "with_file_order",
 ]

@@ -34,7 +34,7 @@ TIGHT_SPAN = 60
 
 EVENTS = HeatParams(slices=SLICES, hot_fraction=FRACTION, buckets=BUCKETS, digits=DIGITS)
 WIDE = HeatParams(slices=SLICES, hot_fraction=0.005, buckets=BUCKETS, digits=DIGITS)
-LINES = HeatParams(slices=SLICES, hot_fraction=0.01, buckets=BUCKETS, digits=DIGITS)
+LINES = HeatParams(slices=SLICES, hot_fraction=0.005, buckets=BUCKETS, digits=DIGITS)
 FIXED = HeatParams(slices=SLICES, hot_fraction=0.01, buckets=BUCKETS, digits=DIGITS)
 TOTAL = HeatParams(slices=SLICES, hot_fraction=0.5, buckets=BUCKETS, digits=DIGITS)
 LOCAL_FRACTION = 0.1

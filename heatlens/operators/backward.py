@@ -113,12 +113,16 @@ def finalize_hot_set(bounds: DataFrame, threshold: float) -> DataFrame:
 class BackwardResult:
     """A hot set and how it was reached.
 
-    ``hot`` has the final ``(key, est)``, coolest first. ``horizon`` is the slice
-    at which membership was settled; ``threshold`` separates the set, unless a
-    tie at the K-th place was broken by key.
+    ``settled`` has the members with what was known of them at ``horizon``, the
+    slice at which membership was settled: ``est`` there is a lower bound, and
+    older slices are not read. ``hot`` completes the estimates of the members,
+    coolest first; it is lazy, and only computing it reads the rest of the trace.
+    ``threshold`` separates the set, unless a tie at the K-th place was broken by
+    key.
     """
 
     hot: DataFrame
+    settled: DataFrame
     horizon: int
     threshold: float
     horizons: tuple[int, ...]
@@ -133,7 +137,8 @@ def backward_hot_set(
     bound and no unseen key can. Otherwise at least doubles the slices read.
     """
     if k <= 0:
-        return BackwardResult(_exact(tail, end, alpha, digits).limit(0), end, math.inf, ())
+        nothing = _exact(tail, end, alpha, digits).limit(0)
+        return BackwardResult(nothing, nothing, end, math.inf, ())
     slack = _slack(digits)
     span, seen = min(first_span, end), []
     while span < end:
@@ -145,10 +150,10 @@ def backward_hot_set(
         if kth is not None and unseen < kth - slack:
             # all bounds are equally wide: one comparison counts the survivors
             if following is None or following + _width(span, end, alpha) < kth - slack:
-                members = prune_candidates(bounds, kth - slack).select("key")
-                hot = _finish(tail, members, k, end, alpha, digits)
+                settled = stage(prune_candidates(bounds, kth - slack).select("key", "est"), "settled")
                 bounds.unpersist()
-                return BackwardResult(hot, t, kth, tuple(seen))
+                hot = _finish(tail, settled, k, end, alpha, digits)
+                return BackwardResult(hot, settled, t, kth, tuple(seen))
         bounds.unpersist()
         span = _next_span(span, end, kth, slack, alpha)
     return _settle_exactly(tail, end, k, alpha, digits, seen)
@@ -171,7 +176,8 @@ def threshold_search(
     the bounds overlap at the threshold, older slices are read.
     """
     if k <= 0:
-        return BackwardResult(_exact(tail, end, alpha, digits).limit(0), end, math.inf, ())
+        nothing = _exact(tail, end, alpha, digits).limit(0)
+        return BackwardResult(nothing, nothing, end, math.inf, ())
     slack = _slack(digits)
     span, seen = min(first_span, end), []
     while span < end:
@@ -182,10 +188,10 @@ def threshold_search(
         candidates = sorted(c["kth"] for c in filled.select("kth").distinct().collect())
         theta, gap = _separate(bounds, k, candidates, _width(span, end, alpha), slack)
         if theta is not None and (1.0 - alpha) ** span < theta - slack:
-            members = bounds.filter(F.col("upper") > F.lit(theta)).select("key")
-            hot = _finish(tail, members, k, end, alpha, digits)
+            settled = stage(bounds.filter(F.col("upper") > F.lit(theta)).select("key", "est"), "settled")
             bounds.unpersist()
-            return BackwardResult(hot, t, theta, tuple(seen))
+            hot = _finish(tail, settled, k, end, alpha, digits)
+            return BackwardResult(hot, settled, t, theta, tuple(seen))
         bounds.unpersist()
         # the gap is only a guess before the older slices are read
         span = min(_next_span(span, end, gap, slack, alpha), 4 * span)
@@ -265,12 +271,12 @@ def _settle_exactly(tail, end, k, alpha, digits, seen) -> BackwardResult:
     """Everything is read: both bounds equal the estimate, up to a constant."""
     hot = stage(top_k(_exact(tail, end, alpha, digits), k), "backward")
     coolest = hot.agg(F.min("est").alias("est")).first()["est"]
-    return BackwardResult(hot.orderBy("est", "key"), 1, coolest or 0.0, (*seen, 1))
+    return BackwardResult(hot.orderBy("est", "key"), hot, 1, coolest or 0.0, (*seen, 1))
 
 
-def _finish(tail, members, k, end, alpha, digits) -> DataFrame:
+def _finish(tail, settled, k, end, alpha, digits) -> DataFrame:
     """Final estimates of the settled members only."""
-    members = stage(members, "members")
+    members = settled.select("key")
     if k <= SMALL_K:
         members = F.broadcast(members)
     kept = tail(1).join(members, "key", "left_semi")

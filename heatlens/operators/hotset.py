@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation, functions as F
 
-from heatlens.operators.selection import SMALL_K, top_k
+from heatlens.operators.selection import at_or_before, kth_row, top_k
 
 
 def hot_set_overlap(a: DataFrame, b: DataFrame, key: str = "key") -> DataFrame:
@@ -21,11 +21,16 @@ def hot_set_overlap(a: DataFrame, b: DataFrame, key: str = "key") -> DataFrame:
 
 
 def label_hot(heat: DataFrame, k: int, key: str = "key") -> DataFrame:
-    """Every key with ``is_hot``; the cold side is ``~is_hot``."""
-    hot = top_k(heat, k, tie=key).select(key, F.lit(True).alias("is_hot"))
-    if k <= SMALL_K:
-        hot = F.broadcast(hot)
-    return heat.join(hot, key, "left").withColumn("is_hot", F.coalesce("is_hot", F.lit(False)))
+    """Every key with ``is_hot``; the cold side is ``~is_hot``.
+
+    The K-th row is looked up first, so labelling is a projection without a join.
+    """
+    if k <= 0:
+        return heat.withColumn("is_hot", F.lit(False))
+    cut = kth_row(heat, k, tie=key)
+    if cut is None:
+        return heat.withColumn("is_hot", F.lit(True))
+    return heat.withColumn("is_hot", at_or_before(F.lit(cut[0]), F.lit(cut[1]), tie=key))
 
 
 def merge_ranked(lists: list[DataFrame], k: int, by: str = "est", tie: str = "key") -> DataFrame:

@@ -1,8 +1,9 @@
 """Exact arrival ordinals and ordinal slices without a global sort.
 
 The arrival column is profiled once: its row count, quantile cut points and the
-rows between neighbouring cuts. Cuts and counts are at most ``MAX_BINS`` numbers
-whatever the data, and arrivals are unique, so no bin can outgrow its quantile.
+exact number of rows between neighbouring cuts. Cuts and counts are at most
+``MAX_BINS`` numbers whatever the data, and arrivals are unique, so no bin can
+hold much more than its share, however the arrivals crowd together.
 A row's ordinal is then its bin's offset plus its rank inside the bin.
 
 Slices need less than that: a bin that lies wholly inside one slice gives all its
@@ -25,6 +26,8 @@ from heatlens.staging import small_table
 
 ROWS_PER_BIN = 1_000_000
 MAX_BINS = 16_384
+# Rows sampled per bin to place the cuts.
+SAMPLE_PER_BIN = 200
 _BIN = "__bin"
 _POS = "__pos"
 
@@ -71,7 +74,9 @@ def profile_arrival(
     wanted = min(max_bins, -(-rows // rows_per_bin))
     if wanted <= 1:
         return ArrivalProfile(rows)
-    found = df.agg(quantiles(arrival, wanted).alias("cuts")).first()["cuts"]
+    # which cuts is no matter, as long as the counts below belong to them
+    sampled = df.select(arrival).filter(F.rand() < F.lit(SAMPLE_PER_BIN * wanted / rows))
+    found = sampled.agg(quantiles(arrival, wanted).alias("cuts")).first()["cuts"] or []
     # bins compare doubles, so cuts that round alike count once
     cuts = tuple(sorted({float(cut): cut for cut in found}.values()))
     binned = _with_bin(df.select(arrival), arrival, cuts)
@@ -87,7 +92,8 @@ def _with_bin(df: DataFrame, arrival: str, cuts: tuple[int, ...]) -> DataFrame:
         splits=[-math.inf, *map(float, cuts), math.inf], inputCol=_POS, outputCol=_BIN, handleInvalid="keep"
     )
     placed = search.transform(df.withColumn(_POS, F.col(arrival).cast("double")))
-    return placed.withColumn(_BIN, F.col(_BIN).cast("int")).drop(_POS)
+    # never null, so that joins on it need not evaluate it once more to filter
+    return placed.withColumn(_BIN, F.coalesce(F.col(_BIN).cast("int"), F.lit(-1))).drop(_POS)
 
 
 def _rank_in_bin(arrival: str) -> Column:

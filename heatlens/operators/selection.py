@@ -16,17 +16,22 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from heatlens.staging import small_table, stage
 
 SMALL_K = 10_000
+# Above this (spark.sql.optimizer.windowGroupLimitThreshold) a ranking by group is
+# no longer cut down before the shuffle.
+SMALL_GROUP_K = 1_000
 SETTLE_ROWS = 1_000_000
-_GRID = 1000
+# Rows sampled for the pivots of a group, and quantiles taken of them.
+_SAMPLE = 200_000
+_GRID = 500
 _DRAWN_PIVOTS = 15
 
 
-def top_k(df: DataFrame, k: int, by: str = "est", tie: str = "key", small_k: int = SMALL_K) -> DataFrame:
+def top_k(df: DataFrame, k: int, by: str = "est", tie: str = "key", small_k: int | None = None) -> DataFrame:
     """The first ``k`` rows by ``by`` descending, ``tie`` ascending (unique)."""
     if k <= 0:
         return df.limit(0)
     order = [F.desc(by), F.asc(tie)]
-    if k <= small_k:
+    if k <= (SMALL_K if small_k is None else small_k):
         return df.orderBy(*order).limit(k)
     held = stage(df.withColumn("__all", F.lit(0)), "ranked")
     return _keep_cut(held, "__all", {0: k}, by, tie).drop("__all").orderBy(*order)
@@ -38,13 +43,13 @@ def top_k_by_group(
     k: int | Mapping[int, int],
     by: str = "est",
     tie: str = "key",
-    small_k: int = SMALL_K,
+    small_k: int | None = None,
 ) -> DataFrame:
     """The first ``k`` rows of each group; ``k`` may differ by group."""
     largest = k if isinstance(k, int) else max(k.values(), default=0)
     if largest <= 0:
         return df.limit(0)
-    if largest <= small_k:
+    if largest <= (SMALL_GROUP_K if small_k is None else small_k):
         place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(by), F.asc(tie)))
         ranked = df.withColumn("__place", place).filter(F.col("__place") <= F.lit(largest))
         if not isinstance(k, int):
@@ -57,18 +62,18 @@ def top_k_by_group(
     return _keep_cut(held, group, k, by, tie).select(*df.columns)
 
 
-def kth_value(df: DataFrame, k: int, by: str, small_k: int = SMALL_K) -> float | None:
+def kth_value(df: DataFrame, k: int, by: str, small_k: int | None = None) -> float | None:
     """The ``k``-th largest ``by``; ``None`` when there are fewer rows."""
     return kth_and_next(df, k, by, small_k)[0]
 
 
 def kth_and_next(
-    df: DataFrame, k: int, by: str, small_k: int = SMALL_K
+    df: DataFrame, k: int, by: str, small_k: int | None = None
 ) -> tuple[float | None, float | None]:
     """The ``k``-th and the ``k + 1``-th largest ``by``, where they exist."""
     if k <= 0:
         return None, None
-    if k <= small_k:
+    if k <= (SMALL_K if small_k is None else small_k):
         row = (
             df.select(by).orderBy(F.desc(by)).limit(k + 1)
             .agg(F.count("*").alias("rows"), F.slice(F.sort_array(F.collect_list(by)), 1, 2).alias("tail"))
@@ -88,7 +93,7 @@ def nth_by_group(
     col: str,
     want: Mapping[int, int],
     largest: bool,
-    settle: int = SETTLE_ROWS,
+    settle: int | None = None,
 ) -> dict[int, tuple[object, int]]:
     """Per group the ``want``-th largest (or smallest) ``col``.
 
@@ -97,6 +102,7 @@ def nth_by_group(
     outside the pivots around the wanted rank; a group with at most ``settle``
     rows left is finished with a window. The driver holds a few numbers per group.
     """
+    settle = SETTLE_ROWS if settle is None else settle
     sizes = {r[group]: r["rows"] for r in df.groupBy(group).agg(F.count("*").alias("rows")).collect()}
     open_groups = {}
     for g, w in want.items():
@@ -150,31 +156,36 @@ def _finish_small(df, group, col, brackets, found, largest) -> None:
         found[r[group]] = (r[col], b.before(r["upto"] - r["same"], r["upto"], largest))
 
 
-def _pivots(df: DataFrame, col: str) -> Column:
-    """Pivot candidates. They only steer the search, so approximate quantiles or,
-    for types that have none, values drawn by hash will do."""
-    if isinstance(df.schema[col].dataType, T.NumericType):
-        return quantiles(col, _GRID)
-    return F.array(*[F.min_by(col, F.xxhash64(col, F.lit(seed))) for seed in range(_DRAWN_PIVOTS)])
+def _pivots(df: DataFrame, group: str, col: str, brackets: Mapping[int, _Bracket]) -> DataFrame:
+    """``(group, pivots)``. Pivots only steer the search, so quantiles of about
+    ``_SAMPLE`` rows per group or, for types that have none, values drawn by hash
+    will do."""
+    within = _within(df, group, col, brackets)
+    if not isinstance(df.schema[col].dataType, T.NumericType):
+        drawn = [F.min_by(col, F.xxhash64(col, F.lit(seed))) for seed in range(_DRAWN_PIVOTS)]
+        return within.groupBy(group).agg(F.array(*drawn).alias("pivots"))
+    shares = _group_table(
+        df, group, [(g, min(1.0, _SAMPLE / b.rows)) for g, b in brackets.items()], "__share double"
+    )
+    sampled = within.join(F.broadcast(shares), group).filter(F.rand() < F.col("__share"))
+    return sampled.groupBy(group).agg(quantiles(col, _GRID).alias("pivots"))
 
 
 def quantiles(col: str, parts: int) -> Column:
-    """The inner cut points of about ``parts`` equal parts."""
+    """The inner cut points of about ``parts`` equal parts. For samples only: a
+    sketch this fine of every task's rows would be too much for one reducer."""
     grid = ",".join(f"{i / parts!r}D" for i in range(1, parts))
     return F.expr(f"percentile_approx(`{col}`, array({grid}), {10 * parts})")
 
 
 def _narrow(df, group, col, brackets, found, largest) -> None:
     """One round: draw pivots, count around them, keep the part with the rank."""
-    drawn = (
-        _within(df, group, col, brackets).groupBy(group).agg(_pivots(df, col).alias("pivots")).collect()
-    )
     rows = []
-    for r in drawn:
+    for r in _pivots(df, group, col, brackets).collect():
         b, pivots = brackets[r[group]], r["pivots"]
         if len(pivots) > _DRAWN_PIVOTS:  # quantiles: only those around the rank
-            centre = b.rank * _GRID // b.rows
-            pivots = pivots[max(0, min(centre, len(pivots) - 1) - 2) : centre + 2]
+            centre = min(b.rank * _GRID // b.rows, len(pivots) - 1)
+            pivots = pivots[max(0, centre - 3) : centre + 3]
         rows.append((r[group], sorted(set(pivots))))
     item = df.schema[col].dataType.simpleString()
     table = _group_table(df, group, rows, f"__pivots array<{item}>")
@@ -221,23 +232,50 @@ def _within(df: DataFrame, group: str, col: str, brackets: Mapping[int, _Bracket
     return df.select(group, col).join(F.broadcast(table), group).filter(keep).drop("__low", "__high")
 
 
-def _keep_cut(df: DataFrame, group: str, want: Mapping[int, int], by: str, tie: str) -> DataFrame:
-    """Filter each group down to its first ``want`` rows by (by desc, tie)."""
+def kth_row(
+    df: DataFrame, k: int, by: str = "est", tie: str = "key", small_k: int | None = None
+) -> tuple[object, object] | None:
+    """``(by, tie)`` of the ``k``-th row; ``None`` when there are fewer rows."""
+    pairs = df.select(by, tie)
+    if k <= (SMALL_K if small_k is None else small_k):
+        ranked = pairs.orderBy(F.desc(by), F.asc(tie)).limit(k)
+        row = (
+            ranked.withColumn("__place", F.row_number().over(Window.orderBy(F.desc(by), F.asc(tie))))
+            .filter(F.col("__place") == F.lit(k)).first()
+        )
+        return (row[by], row[tie]) if row else None
+    value, last = _cuts(stage(pairs.withColumn("__all", F.lit(0)), "ranked"), "__all", {0: k}, by, tie)[0]
+    return None if value is None else (value, last)
+
+
+def _cuts(
+    df: DataFrame, group: str, want: Mapping[int, int], by: str, tie: str
+) -> dict[int, tuple[object, object]]:
+    """``(by, tie)`` of each group's last wanted row; nulls when all are wanted."""
     by_type = df.schema[by].dataType.simpleString()
-    tie_type = df.schema[tie].dataType.simpleString()
     values = nth_by_group(df, group, by, want, largest=True)
-    cuts = _group_table(df, group, [(g, v) for g, (v, _) in values.items()], f"__value {by_type}")
-    tied = df.join(F.broadcast(cuts), group).filter(F.col(by) == F.col("__value")).select(group, tie)
+    shared = _group_table(df, group, [(g, v) for g, (v, _) in values.items()], f"__value {by_type}")
+    tied = df.join(F.broadcast(shared), group).filter(F.col(by) == F.col("__value")).select(group, tie)
     room = {g: want[g] - before for g, (_, before) in values.items()}
     last = nth_by_group(tied, group, tie, room, largest=False)
+    return {
+        g: (values[g][0], last[g][0]) if g in values else (None, None) for g, w in want.items() if w > 0
+    }
+
+
+def _keep_cut(df: DataFrame, group: str, want: Mapping[int, int], by: str, tie: str) -> DataFrame:
+    """Filter each group down to its first ``want`` rows by (by desc, tie)."""
     limits = _group_table(
         df,
         group,
-        [(g, *((values[g][0], last[g][0]) if g in values else (None, None))) for g in want if want[g] > 0],
-        f"__value {by_type}, __last {tie_type}",
-    )
-    # a group without a cut has no more rows than wanted
-    keep = F.col("__value").isNull() | (F.col(by) > F.col("__value")) | (
-        (F.col(by) == F.col("__value")) & (F.col(tie) <= F.col("__last"))
+        [(g, *cut) for g, cut in _cuts(df, group, want, by, tie).items()],
+        f"__value {df.schema[by].dataType.simpleString()}, __last {df.schema[tie].dataType.simpleString()}",
     )
+    inside = at_or_before(F.col("__value"), F.col("__last"), by, tie)
+    keep = F.col("__value").isNull() | inside
     return df.join(F.broadcast(limits), group).filter(keep).drop("__value", "__last")
+
+
+def at_or_before(value: Column, last: Column, by: str = "est", tie: str = "key") -> Column:
+    """Whether a row ranks no later than the row ``(value, last)``."""
+    return (F.col(by) > value) | ((F.col(by) == value) & (F.col(tie) <= last))

@@ -52,8 +52,20 @@ def staging_dir(spark: SparkSession) -> str:
     return f"file:{folder}"
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{staging_dir(spark)}/heatlens-{spark.sparkContext.applicationId}"
+
+
 def staging_path(spark: SparkSession, name: str) -> str:
-    return f"{staging_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application. Results that still
+    read from them can no longer be computed."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

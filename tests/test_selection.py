@@ -70,3 +70,11 @@ def test_kth_and_next(ranked, k, small_k):
     values = sorted((r[3] for r in rows), reverse=True) + [None, None]
     expected = (values[k - 1], values[k]) if k <= 6000 else (None, None)
     assert sel.kth_and_next(df, k, "est", small_k) == expected
+
+
+@pytest.mark.parametrize("k", [1, 3000, 6000, 6001])
+@pytest.mark.parametrize("small_k", [100_000, 0])
+def test_kth_row(ranked, k, small_k):
+    rows, df = ranked
+    expected = (order(rows)[k - 1][3], order(rows)[k - 1][1]) if k <= 6000 else None
+    assert sel.kth_row(df, k, small_k=small_k) == expected
