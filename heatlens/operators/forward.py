@@ -39,8 +39,10 @@ def run_starts(
     """
     rows = df.select(key, slice_col, order).withColumn("__bin", int_div(order, rows_per_bin))
     inside = Window.partitionBy(key, "__bin").orderBy(order)
+    # over the whole run: a frame from here on would be summed anew for every row
+    whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     marked = rows.withColumn("__before", F.lag(slice_col).over(inside)).withColumn(
-        "__last", F.last(slice_col).over(inside.rowsBetween(0, Window.unboundedFollowing))
+        "__last", F.last(slice_col).over(whole)
     )
     changed = marked.filter(F.col("__before").isNotNull() & (F.col("__before") != F.col(slice_col)))
     across = Window.partitionBy(key).orderBy("__bin")

@@ -24,7 +24,7 @@ from heatlens.staging import stage
 
 # Fixed value: addresses at most this far apart are neighbours.
 REACH = 16
-ROWS_PER_BIN = 1_000_000
+ROWS_PER_BIN = 100_000
 MAX_BINS = 65_536
 
 
@@ -101,17 +101,22 @@ def solve_chains(events: DataFrame, alpha: float = DEFAULT_ALPHA) -> DataFrame:
         F.lit(alpha).alias("b"),
     )
     links = stage(links, "chains")
-    while not links.filter("parent is not null").isEmpty():
-        # two doublings for each written table
-        links = stage(_double(_double(links)), "chains")
-    return links.select("chain", F.col("b").alias("value"))
-
-
-def _double(links: DataFrame) -> DataFrame:
-    """Let every unsolved chain skip to its parent's parent.
-
-    Many chains may share one parent; the parent side has one row per chain, so
-    AQE can split the crowded side of this join.
+    solved, unsolved = links.filter("parent is null"), links.filter("parent is not null")
+    while not unsolved.isEmpty():
+        # two doublings for each written table, of what was not solved before
+        once = _skip(unsolved, solved.unionByName(unsolved))
+        twice = _skip(once.filter("parent is not null"), solved.unionByName(once))
+        written = stage(once.filter("parent is null").unionByName(twice), "chains")
+        solved = solved.unionByName(written.filter("parent is null"))
+        unsolved = written.filter("parent is not null")
+    return solved.select("chain", F.col("b").alias("value"))
+
+
+def _skip(unsolved: DataFrame, links: DataFrame) -> DataFrame:
+    """Let every unsolved chain skip from its parent to what that one links to.
+
+    Many chains may share one parent; the other side has one row per chain, so AQE
+    can split the crowded side of this join.
     """
     above = links.select(
         F.col("chain").alias("parent"),
@@ -119,14 +124,11 @@ def _double(links: DataFrame) -> DataFrame:
         F.col("a").alias("up_a"),
         F.col("b").alias("up_b"),
     )
-    stepped = links.filter("parent is not null").join(above, "parent")
-    return links.filter("parent is null").unionByName(
-        stepped.select(
-            "chain",
-            F.col("grand").alias("parent"),
-            (F.col("a") * F.col("up_a")).alias("a"),
-            (F.col("a") * F.col("up_b") + F.col("b")).alias("b"),
-        )
+    return unsolved.join(above, "parent").select(
+        "chain",
+        F.col("grand").alias("parent"),
+        (F.col("a") * F.col("up_a")).alias("a"),
+        (F.col("a") * F.col("up_b") + F.col("b")).alias("b"),
     )
 
 

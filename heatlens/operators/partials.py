@@ -81,7 +81,7 @@ def roll_up_growing(partials: DataFrame, slices_per_part: int, alpha: float = DE
 def _fold(partials: DataFrame, step: Column, alpha: float) -> DataFrame:
     # a partial is decayed by the steps of all later appearances of its key;
     # a key has at most one row per part here
-    later = Window.partitionBy("key").orderBy("part").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("key").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
     power = F.coalesce(F.sum("__step").over(later), F.lit(0))
     return (
         partials.withColumn("__step", step)

@@ -83,8 +83,15 @@ def kth_and_next(
             return row["tail"][1], row["tail"][0]
         return (row["tail"][0] if row["rows"] == k else None), None
     grouped = df.select(F.lit(0).alias("__all"), by)
-    found = [nth_by_group(grouped, "__all", by, {0: n}, largest=True) for n in (k, k + 1)]
-    return found[0].get(0, (None, 0))[0], found[1].get(0, (None, 0))[0]
+    found = nth_by_group(grouped, "__all", by, {0: k}, largest=True)
+    if 0 not in found:
+        return None, None
+    kth = found[0][0]
+    row = df.agg(
+        F.count_if(F.col(by) >= F.lit(kth)).alias("upto"),
+        F.max(F.when(F.col(by) < F.lit(kth), F.col(by))).alias("following"),
+    ).first()
+    return kth, kth if row["upto"] > k else row["following"]
 
 
 def nth_by_group(
