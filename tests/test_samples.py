@@ -1,8 +1,7 @@
 """Known results on two sample block traces.
 
-Set ``TRACE_SAMPLES`` to a folder that holds them as ``*.blkparse`` files; they are
-told apart by their number of rows. Values come from an independent sequential
-derivation.
+Set ``TRACE_SAMPLES`` to a file pattern that matches them; they are told apart by
+their number of rows. Values come from an independent sequential derivation.
 """
 
 import glob
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from heatlens import HeatParams, read_trace, trace_accesses, with_file_order
 from heatlens.functions.buckets import key_bucket
-from heatlens.functions.slices import slice_size_from_bytes
+from heatlens.functions.slices import file_time_partition, slice_size_from_bytes
 from heatlens.operators import backward as bw
 from heatlens.operators.ordinal import profile_arrival
 from heatlens.operators.neighbor import repeat_events
@@ -21,8 +20,8 @@ from heatlens.operators.partials import roll_up
 from heatlens.operators.selection import top_k
 from heatlens.plans import classify as cl
 
-FOLDER = os.environ.get("TRACE_SAMPLES")
-pytestmark = pytest.mark.skipif(not FOLDER, reason="TRACE_SAMPLES is not set")
+PATTERN = os.environ.get("TRACE_SAMPLES")
+pytestmark = pytest.mark.skipif(not PATTERN, reason="TRACE_SAMPLES is not set")
 PARAMS = HeatParams(slices=100, hot_fraction=0.01, digits=9)
 
 # Fixed values, by number of rows.
@@ -60,7 +59,7 @@ BY_ROWS = {
 }
 
 
-@pytest.fixture(scope="module", params=sorted(glob.glob(f"{FOLDER}/*.blkparse")) if FOLDER else [])
+@pytest.fixture(scope="module", params=sorted(glob.glob(PATTERN)) if PATTERN else [])
 def sample(request, spark):
     accesses = trace_accesses(with_file_order(read_trace(spark, request.param))).cache()
     rows = accesses.count()
@@ -112,8 +111,6 @@ def test_clock(sample):
 def test_time_partitions(sample):
     accesses, _, known, _ = sample
     span = cl.trace_span(accesses)
-    from heatlens.functions.slices import file_time_partition
-
     part, _ = file_time_partition("ts", span.first, span.interval(100), 100, 4)
     counts = accesses.groupBy(part.alias("p")).count().orderBy("p")
     assert [r["count"] for r in counts.collect()] == known["parts"]
