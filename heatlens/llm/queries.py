@@ -7,9 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from heatlens.llm import packing, token_files
+from heatlens.llm import exact_dedup, packing, token_files, url_filter
 from heatlens.llm.common import read_table
-from heatlens.staging import staging_path
+from heatlens.staging import small_table, staging_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,54 @@ def query(fn: Query) -> Query:
     return fn
 
 
+# Fixed rules of the URL query: host, path, verdict.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+@query
+def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.duplicate_report(read_table(spark, folder, "documents"))
+
+
+ORACLE["op2_exact_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
+)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       doc_id IS NOT DISTINCT FROM min(doc_id) OVER w AS kept, text_sha256
+FROM d WINDOW w AS (PARTITION BY text_sha256)
+"""
+
+
+@query
+def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    rules = small_table(spark, URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge(read_table(spark, folder, "pages"), rules)
+
+
+ORACLE["op7_url_filter"] = f"""
+WITH p AS (
+  SELECT row_number() OVER () AS r, page_id,
+         lower(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1)) AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+  FROM pages
+), rules(h, p, verdict) AS (VALUES {", ".join(map(str, URL_RULES))}),
+fits AS (
+  SELECT r, h || rules.p AS rule, verdict,
+         row_number() OVER (PARTITION BY r ORDER BY length(h || rules.p) DESC, length(h) DESC) AS n
+  FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, rules.p)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM p LEFT JOIN (SELECT * FROM fits WHERE n = 1) f ON p.r = f.r
+"""
+
+
 @query
 def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = staging_path(spark, "token-files")
