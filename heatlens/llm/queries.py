@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from heatlens.llm import exact_dedup, packing, token_files, url_filter
+from heatlens.llm import exact_dedup, language, packing, token_files, toxicity, url_filter
 from heatlens.llm.common import read_table
 from heatlens.staging import small_table, staging_path
 
@@ -49,6 +49,28 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def _remainder(name: str, modulus: int):
+    """crc32 of the id as text, modulo; null where the id is."""
+    return F.crc32(F.col(name).cast("string").cast("binary")) % modulus
+
+
+@query
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    held = F.coalesce(_remainder("doc_id", 4) == 2, F.lit(False))
+    model = language.train(docs.filter(~held & F.col("lang").isNotNull()).select("doc_id", "text", "lang"))
+    return language.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    held = F.coalesce(_remainder("doc_id", 5) == 0, F.lit(False))
+    labels = read_table(spark, folder, "labels").filter(~held)
+    scored = toxicity.score(docs, toxicity.train(docs, labels))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query
 def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     rules = small_table(spark, URL_RULES, "host string, path string, verdict string")
