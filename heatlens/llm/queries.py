@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from heatlens.llm import exact_dedup, language, packing, token_files, toxicity, url_filter
+from heatlens.llm import exact_dedup, language, near_dedup, packing, token_files, toxicity, url_filter
 from heatlens.llm.common import read_table
 from heatlens.staging import small_table, staging_path
 
@@ -24,6 +24,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op6_odd_sketch(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, folder, "documents"))
+
+
 # Fixed rules of the URL query: host, path, verdict.
 URL_RULES = [
     ("com", "/", "allow"),
