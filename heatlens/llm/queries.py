@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from heatlens.llm import exact_dedup, language, near_dedup, packing, token_files, toxicity, url_filter
+from heatlens.llm import ego_join, exact_dedup, language, near_dedup, packing, token_files, toxicity, url_filter
 from heatlens.llm.common import read_table
 from heatlens.staging import small_table, staging_path
 
@@ -39,6 +39,11 @@ URL_RULES = [
 ]
 
 
+@query
+def op1_ego_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ego_join.near_vectors(read_table(spark, folder, "embeddings"), cosine=0.95)
+
+
 @query
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.duplicate_report(read_table(spark, folder, "documents"))
