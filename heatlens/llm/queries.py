@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from heatlens.llm import ego_join, exact_dedup, language, near_dedup, packing, token_files, toxicity, url_filter
+from heatlens.llm import ego_join, exact_dedup, language, near_dedup, packing, pii, token_files, toxicity, url_filter
 from heatlens.llm.common import read_table
 from heatlens.staging import small_table, staging_path
 
@@ -72,6 +72,20 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find_spans(read_table(spark, folder, "documents"), "doc_id")
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = map(count, pii.BASE_KINDS)
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans")
+    )
+
+
 @query
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents").select("doc_id", "text")
