@@ -11,7 +11,7 @@ Closed classes (pronouns, negators, verbs of speech and of harm) are listed belo
 learned: a word or stem is an arc if labelled documents that hold it are toxic beyond
 chance, by a likelihood ratio above a bound that grows with the number of forms tested.
 All training rows are counted; equal texts count once. Weights are fitted on a bounded
-sample of training rows that the arcs have not seen.
+sample of training rows, each read with arcs learned from the other folds.
 
 A null or empty text matches nothing and gets the score of a text without matches. Without
 training labels of both kinds every score is 0.
@@ -40,10 +40,12 @@ CLAUSE = re.compile(r"[.!?;:\n]+")
 # A negation covers this many words after it.
 NEGATION_REACH = 3
 STEMS = (4, 5)
-# The insult transducer has this many arcs at most, those with the highest ratio.
+# The insult transducer has this many arcs at most, those that most toxic rows hold.
 MAX_ARCS = 4096
 # The weights are fitted on this many labelled rows at most.
 SAMPLE_DOCS = 20_000
+# A row's features for the fit come from arcs learned without the row's fold.
+FOLDS = 5
 KINDS = ("plain", "targeted", "negated", "reported", "threat")
 WIDTH = 2 * len(KINDS) + 3
 
@@ -123,36 +125,61 @@ class ToxicityModel:
 def forms_of(text: Column) -> Column:
     """The distinct words of a text, and stems (marked by a star) of the longer ones."""
     words = F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))
-    stems = [
-        F.transform(F.filter(words, lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*")))
-        for n in STEMS
-    ]
-    return F.filter(F.array_distinct(F.concat(words, *stems)), lambda w: w != "")
-
-
-def learn_arcs(rows: DataFrame) -> dict[str, float]:
-    """Forms that toxic rows hold beyond chance, with their log odds; all rows are counted."""
-    distinct = rows.groupBy(F.xxhash64("text").alias("print"), "toxic").agg(F.first("text").alias("text"))
-    totals = {r.toxic: r["count"] for r in distinct.groupBy("toxic").count().collect()}
-    if len(totals) < 2:
-        return {}
-    base = totals[1] / (totals[0] + totals[1])
-    forms = distinct.select("toxic", F.explode(forms_of(F.col("text"))).alias("form"))
-    toxic = F.sum("toxic")
-    counted = forms.groupBy("form").agg(toxic.cast("double").alias("t"), F.count("*").cast("double").alias("n"))
-    share = F.col("t") / F.col("n")
-    ratio = 2 * (
-        F.col("t") * F.log(share / base)
-        + F.when(F.col("n") > F.col("t"), (F.col("n") - F.col("t")) * F.log((1 - share) / (1 - base))).otherwise(0.0)
-    )
-    odds = F.log((F.col("t") + 0.5) / (F.col("n") - F.col("t") + 0.5)) - float(np.log(base / (1 - base)))
-    tested = counted.filter((F.col("t") > 1) & (share > 2 * base)).withColumn("ratio", ratio).withColumn("odds", odds)
-    kept = tested.orderBy(F.desc("ratio"), "form").limit(MAX_ARCS).collect()
-    bound = 2 * float(np.log(max(2, sum(totals.values())))) + 10
-    return {r.form: r.odds for r in kept if r.ratio > bound and r.t / r.n > 0.5 and r.odds > 0}
-
 
-def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 30) -> np.ndarray:
+    def stems(n: int) -> Column:
+        longer = F.filter(words, lambda w: F.length(w) > n)
+        return F.transform(longer, lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
+
+    return F.filter(F.array_distinct(F.concat(words, *map(stems, STEMS))), lambda w: w != "")
+
+
+def _evidence(t: float, n: float, base: float) -> tuple[float, float]:
+    """Likelihood ratio and log odds of a form that ``t`` toxic rows of ``n`` hold."""
+    if t < 2 or t / n <= base:
+        return 0.0, 0.0
+    ratio = 2 * (t * np.log(t / n / base) + ((n - t) * np.log((1 - t / n) / (1 - base)) if n > t else 0.0))
+    return ratio, np.log((t + 0.5) / (n - t + 0.5)) - np.log(base / (1 - base))
+
+
+def learn_arcs(rows: DataFrame) -> list[dict[str, float]]:
+    """Forms that toxic rows hold beyond chance, with their log odds: learned without each of the
+    ``FOLDS`` folds in turn, and last from all. ``rows``: ``fold, text, toxic``; each is counted."""
+    distinct = rows.groupBy(F.xxhash64("text").alias("print"), "toxic").agg(F.first("text").alias("text"), F.first("fold").alias("fold"))
+    totals = np.zeros((FOLDS, 2))
+    for r in distinct.groupBy("fold", "toxic").count().collect():
+        totals[r.fold, r.toxic] = r["count"]
+    if not totals.sum(axis=0).all():
+        return [{}] * (FOLDS + 1)
+    folded = lambda value, f: F.sum(F.when(F.col("fold") == f, value).otherwise(0)).cast("double")
+    counted = (
+        distinct.select("fold", "toxic", F.explode(forms_of(F.col("text"))).alias("form"))
+        .groupBy("form")
+        .agg(
+            F.sum("toxic").cast("double").alias("t"),
+            F.count("*").cast("double").alias("n"),
+            *[folded(F.col("toxic"), f).alias(f"t{f}") for f in range(FOLDS)],
+            *[folded(F.lit(1), f).alias(f"n{f}") for f in range(FOLDS)],
+        )
+    )
+    # Forms of a high share of toxic rows, those with most of them first.
+    share = F.col("t") / F.col("n")
+    kept = counted.filter((F.col("t") > 1) & (share > 0.5)).orderBy(F.desc(F.col("t") * share), "form").limit(MAX_ARCS).collect()
+    learned = []
+    for out in range(FOLDS + 1):
+        left = totals.sum(axis=0) - (totals[out] if out < FOLDS else 0)
+        arcs = {}
+        if left.all():
+            bound = 2 * np.log(left.sum()) + 10
+            for r in kept:
+                t, n = (r.t - r[f"t{out}"], r.n - r[f"n{out}"]) if out < FOLDS else (r.t, r.n)
+                ratio, odds = _evidence(t, n, left[1] / left.sum())
+                if ratio > bound and t / n > 0.5:
+                    arcs[r.form] = float(odds)
+        learned.append(arcs)
+    return learned
+
+
+def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 30) -> np.ndarray:
     """Logistic regression by Newton steps; the last weight is the bias."""
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
@@ -172,23 +199,22 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     small = known.count() <= BROADCAST_ROWS
     texts = docs.select(F.col("doc_id").alias("__id"), text_of().alias("text"))
     rows = texts.join(F.broadcast(known) if small else known, "__id")
-    turn = F.pmod(F.xxhash64("__id", F.lit("toxicity")), F.lit(1 << 20))
-    # Four fifths teach the arcs, the rest the weights.
-    arcs = learn_arcs(rows.filter(turn % 5 != 0).select("text", "toxic"))
-    grammar = Grammar(arcs)
-    fit_rows = rows.filter(turn % 5 == 0)
-    share = min(1.0, SAMPLE_DOCS / max(1, known.count() / 5))
+    place = F.pmod(F.xxhash64("text", F.lit("toxicity")), F.lit(FOLDS << 20))
+    rows = rows.withColumn("fold", (place % FOLDS).cast("int"))
+    *without, arcs = learn_arcs(rows.select("fold", "text", "toxic"))
+    grammars = [Grammar(a) for a in without]
+    share = min(1.0, SAMPLE_DOCS / max(1, known.count()))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            found = [grammar.features(t).tolist() for t in batch["text"].to_pylist()]
+            found = [grammars[f].features(t).tolist() for f, t in zip(batch["fold"].to_pylist(), batch["text"].to_pylist())]
             yield pa.record_batch({"x": pa.array(found, pa.list_(pa.float64())), "toxic": batch["toxic"].cast(pa.int32())})
 
-    sample = fit_rows.filter(turn < int(share * (1 << 20))).select("text", "toxic").mapInArrow(measure, "x array<double>, toxic int")
-    got = sorted((tuple(r.x), r.toxic) for r in sample.collect())
+    sampled = rows.filter(F.floor(place / FOLDS) < int(share * (1 << 20))).select("fold", "text", "toxic")
+    got = sorted((tuple(r.x), r.toxic) for r in sampled.mapInArrow(measure, "x array<double>, toxic int").collect())
     if len({y for _, y in got}) < 2:
-        return ToxicityModel(grammar, _fit(np.zeros((0, WIDTH)), np.zeros(0)) if arcs else None)
-    return ToxicityModel(grammar, _fit(np.array([x for x, _ in got]), np.array([y for _, y in got], float)))
+        return ToxicityModel(Grammar(arcs))
+    return ToxicityModel(Grammar(arcs), _fit(np.array([x for x, _ in got]), np.array([y for _, y in got], float)))
 
 
 def score(docs: DataFrame, model: ToxicityModel, column: str = "score") -> DataFrame:
