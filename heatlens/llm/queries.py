@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from heatlens.llm import ego_join, exact_dedup, language, near_dedup, packing, pii, token_files, toxicity, url_filter
+from heatlens.llm import ego_join, exact_dedup, language, lexicon_bpe, near_dedup, packing, pii, token_files, toxicity, url_filter
 from heatlens.llm.common import read_table
 from heatlens.staging import small_table, staging_path
 
@@ -16,6 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -118,6 +119,17 @@ FROM p LEFT JOIN (SELECT * FROM fits WHERE n = 1) f ON p.r = f.r
 """
 
 
+@query
+def op8_lexicon_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = lexicon_bpe.encode(read_table(spark, folder, "documents"), WORD_BPE)
+    return encoded.select(
+        "doc_id",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 @query
 def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = staging_path(spark, "token-files")
