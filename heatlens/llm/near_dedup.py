@@ -13,9 +13,10 @@ compared by a 64-bit hash.
    shares no band with a probability of 5e-6.
 2. Equal sets form a class, represented by the smallest doc_id; only these go on.
 3. In each band's bucket, members are checked against the smallest one. Where some fail,
-   they are compared with the rest of the bucket by sketches, inside blocks of bounded
-   size, and only likely pairs between components that are still apart come out: first
-   the four likeliest for each member and component, then all others.
+   they are compared with the rest of the bucket by odd sketches of their full sets (4,096
+   bits, a few hundredths of similarity wide), inside blocks of bounded size, and only
+   likely pairs between components that are still apart come out: first the four likeliest
+   for each member and component, then all others.
 4. Links confirmed on full sets give the components.
 
 A null ``doc_id`` can't be named: such a row is reported by itself with a null
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,9 +43,10 @@ HASHES = BANDS * ROWS
 SKETCH_BITS = 512
 SKETCH_WORDS = SKETCH_BITS // 64
 SIFT_SIMILARITY = 0.5
+PARITY_BITS = 4096
 PERCENT = 75
 # Blocks of a bucket in which sketches are compared.
-BLOCK_FAILED, BLOCK_MEMBERS = 512, 4096
+BLOCK_FAILED, BLOCK_MEMBERS = 256, 2048
 FIRST_BEST = 4
 
 _RANDOM = np.random.default_rng(20240607)
@@ -146,32 +148,53 @@ def _signatures(docs: DataFrame) -> DataFrame:
     )
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``id, shingles`` of the rows named by ``wanted`` (``id, digest``)."""
+def _from_texts(docs: DataFrame, wanted: DataFrame, column: str, make: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """``id, n`` and ``column`` (made of the full set) of the rows named by ``wanted`` (``id, digest``)."""
     small = wanted.count() <= BROADCAST_ROWS
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text"))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, 256):
-            keep, found = [], []
+            keep, sizes, found = [], [], []
             for i, (text, want) in enumerate(zip(batch["text"].to_pylist(), batch["digest"].to_pylist())):
                 shingles = shingle_set(text)
                 if digest(shingles) == want:
                     keep.append(i)
-                    found.append(shingles.view(np.int64))
+                    sizes.append(len(shingles))
+                    found.append(make(shingles).view(np.int64))
             yield pa.record_batch(
-                {"id": batch["id"].take(pa.array(keep, pa.int64())), "shingles": pa.array(found, pa.list_(pa.int64()))}
+                {
+                    "id": batch["id"].take(pa.array(keep, pa.int64())),
+                    "n": pa.array(sizes, pa.int64()),
+                    column: pa.array(found, pa.list_(pa.int64())),
+                }
             )
 
     named = rows.join(F.broadcast(wanted) if small else wanted, "id")
-    return staged(named.mapInArrow(sets, "id long, shingles array<long>").dropDuplicates(["id"]), "full-sets")
+    return staged(named.mapInArrow(read, f"id long, n long, {column} array<long>").dropDuplicates(["id"]), column)
+
+
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """The odd sketch of the full set itself: each shingle flips one of ``PARITY_BITS`` bits."""
+    flipped = np.bincount((shingles % np.uint64(PARITY_BITS)).astype(int), minlength=PARITY_BITS)
+    return np.packbits((flipped & 1).astype(np.uint8)).view(np.uint64)
+
+
+def most_odd_bits(sizes: np.ndarray) -> np.ndarray:
+    """Bits that the parities of linked sets with these summed sizes differ in at most: the
+    mean at the largest difference that makes a link, and six standard deviations."""
+    m, d = PARITY_BITS, sizes * (100 - PERCENT) / (100 + PERCENT)
+    once, twice = (1 - 2 / m) ** d, (1 - 4 / m) ** d
+    variance = m / 4 * (1 - twice) + m * m / 4 * (twice - once**2)
+    return m / 2 * (1 - once) + 6 * np.sqrt(np.maximum(variance, 0)) + 1
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     """The ``pairs`` (``u, v``) that are links, from the full sets. ``u`` may be in many pairs: its set
     goes to one place for each share of them."""
     ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    sets = _full_sets(docs, staged(reps.select("id", "digest").join(ids, "id", "left_semi"), "wanted"))
+    wanted = staged(reps.select("id", "digest").join(ids, "id", "left_semi"), "wanted")
+    sets = _from_texts(docs, wanted, "shingles", lambda s: s)
     shares = max(16, pairs.count() // 1024)
     dealt = pairs.withColumn("share", F.pmod(F.xxhash64("v"), F.lit(shares)))
     hubs = dealt.select("u", "share").distinct().join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u")
@@ -198,12 +221,11 @@ def _sift(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return join_groups(members, hubs, "u", "degree").filter(fits & close).select("u", "v")
 
 
-def _likely_in_buckets(members: DataFrame, reps: DataFrame, known: DataFrame, best: int | None) -> DataFrame:
+def _likely_in_buckets(members: DataFrame, odd: DataFrame, known: DataFrame, best: int | None) -> DataFrame:
     """Likely pairs (``u, v``) of a failed member and any other of its bucket, in different
-    components. ``members``: ``bucket, id, failed``. ``known``: ``id, component``. With ``best``, only so
-    many for each failed member and component of a block."""
-    light = reps.select("id", "n", "sketch").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    rows = members.join(light, "id")
+    components. ``members``: ``bucket, id, failed``. ``odd``: ``id, n, parity``. ``known``: ``id,
+    component``. With ``best``, only so many for each failed member and component of a block."""
+    rows = members.join(odd.join(known, "id", "left").withColumn("component", F.coalesce("component", "id")), "id")
     sizes = rows.groupBy("bucket").agg(
         F.count("*").alias("all"),
         F.sum(F.col("failed").cast("long")).alias("bad"),
@@ -223,25 +245,26 @@ def _likely_in_buckets(members: DataFrame, reps: DataFrame, known: DataFrame, be
     down = placed.select(
         "*", F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("i"), place("columns").alias("j")
     )
-    limit = most_differing_bits()
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
         asked, others = block[block["query"]], block[~block["query"]]
         found = []
         if len(asked) and len(others):
-            bits = np.array(others["sketch"].tolist(), dtype=np.int64).view(np.uint64).reshape(-1, SKETCH_WORDS)
+            bits = np.array(others["parity"].tolist(), dtype=np.int64).view(np.uint64)
             n, ids, comp = others["n"].to_numpy(), others["id"].to_numpy(), others["component"].to_numpy()
-            for q in asked.itertuples():
-                mine = np.array(q.sketch, dtype=np.int64).view(np.uint64)
-                differ = np.bitwise_count(bits ^ mine).sum(axis=1)
-                ok = (differ <= limit) & (comp != q.component) & (100 * np.minimum(n, q.n) >= PERCENT * np.maximum(n, q.n))
+            mine = np.array(asked["parity"].tolist(), dtype=np.int64).view(np.uint64)
+            for q, own, own_n, own_comp in zip(asked["id"], mine, asked["n"], asked["component"]):
+                ok = (comp != own_comp) & (100 * np.minimum(n, own_n) >= PERCENT * np.maximum(n, own_n))
                 at = np.flatnonzero(ok)
+                differ = np.zeros(len(ids), np.int64)
+                differ[at] = np.bitwise_count(bits[at] ^ own).sum(axis=1)
+                at = at[differ[at] <= most_odd_bits(n[at] + own_n)]
                 if best is not None and len(at):
                     at = at[np.lexsort((ids[at], differ[at], comp[at]))]
                     starts = np.flatnonzero(np.append(True, np.diff(comp[at]) != 0))
                     nth = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
                     at = at[nth < best]
-                found.append(np.column_stack([np.minimum(ids[at], q.id), np.maximum(ids[at], q.id)]))
+                found.append(np.column_stack([np.minimum(ids[at], q), np.maximum(ids[at], q)]))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
         return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
 
@@ -281,9 +304,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             .select("bucket", "id", F.coalesce("failed", F.lit(False)).alias("failed"))
         )
         rows = staged(rows, "open-members")
+        open_ids = rows.select("id").distinct()
+        odd = _from_texts(docs, staged(reps.select("id", "digest").join(open_ids, "id", "left_semi"), "open"), "parity", parities)
         tried = pairs
         for best in (FIRST_BEST, None):
-            more = staged(_likely_in_buckets(rows, reps, known, best).join(tried, ["u", "v"], "left_anti"), "likely")
+            more = staged(_likely_in_buckets(rows, odd, known, best).join(tried, ["u", "v"], "left_anti"), "likely")
             if more.isEmpty():
                 break
             links = staged(links.unionByName(_confirm(more, docs, reps)), "links")
