@@ -52,18 +52,27 @@ def recent_distinct_keys(df: DataFrame, k: int, order: str = "n") -> DataFrame:
     return top_k(newest, k + 1, by=order)
 
 
-def admission_threshold(kth: float, end: int, alpha: float = DEFAULT_ALPHA) -> float:
-    """A key first seen at or before this slice cannot reach ``kth``."""
+def admission_threshold(kth: float | None, end: int, alpha: float = DEFAULT_ALPHA) -> float:
+    """A key first seen at or before this slice cannot reach ``kth``. Without a K-th, or
+    with one of 0, every key can: minus infinity."""
+    if not kth:
+        return float("-inf")
     return end - slices_to_reach(alpha, kth)
 
 
-def overlap_slice_bound(overlap: float, end: int, alpha: float = DEFAULT_ALPHA) -> float:
-    """How far back to read until bounds are narrower than ``overlap``."""
+def overlap_slice_bound(overlap: float | None, end: int, alpha: float = DEFAULT_ALPHA) -> float:
+    """How far back to read until bounds are narrower than ``overlap``. Without an overlap,
+    or with one of 0, everything: minus infinity."""
+    if not overlap:
+        return float("-inf")
     return end + 1 - slices_to_reach(alpha, overlap)
 
 
-def prune_candidates(bounds: DataFrame, kth: float) -> DataFrame:
-    """Keys that can still be among the K hottest. Ties with the K-th stay."""
+def prune_candidates(bounds: DataFrame, kth: float | None) -> DataFrame:
+    """Keys that can still be among the K hottest. Ties with the K-th stay; without a K-th
+    all do."""
+    if kth is None:
+        return bounds
     return bounds.filter(F.col("upper") >= F.lit(kth))
 
 

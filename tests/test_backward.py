@@ -98,3 +98,12 @@ def test_classifiers_on_ordinal_slices(spark, rows_per_bin):
     fixed = twins.backward(keys, [(n + 2) // 30 + 1 for n in range(2000)], 2001 // 30 + 1)
     found = cl.search_backward_fixed(df, params, profile, interval=30)
     assert set(pairs(found.hot)) == set(twins.top(fixed, 6))
+
+
+def test_missing_kth_excludes_nothing(spark):
+    from heatlens.operators.backward import admission_threshold, overlap_slice_bound, prune_candidates
+
+    bounds = spark.createDataFrame([(1, 0.1, 0.2), (2, 0.0, 0.0)], "key long, lower double, upper double")
+    assert prune_candidates(bounds, None).count() == 2 and prune_candidates(bounds, 0.1).count() == 1
+    assert admission_threshold(None, 9) == admission_threshold(0.0, 9) == overlap_slice_bound(None, 9) == float("-inf")
+    assert 0 < admission_threshold(0.05, 100) < 100
