@@ -9,11 +9,15 @@ from __future__ import annotations
 from heatlens.checks.queries import (
     BUCKETS,
     DIGITS,
+    FINE,
+    FINE_EVENTS,
     FIXED,
     FRACTION,
     HORIZON_SPAN,
+    LATE,
     LINES,
     LOCAL_FRACTION,
+    LOG_DIGITS,
     SLICES,
     TIGHT_SPAN,
     TOTAL,
@@ -71,16 +75,42 @@ span AS (SELECT min(ts) AS first, greatest(1, (max(ts) - min(ts)) // {SLICES}) A
 counted AS (SELECT DISTINCT key, (ts - first) // interval_ AS slice FROM acc, span),
 {FORWARD}"""
 
-ORDER_RUNS = f"""acc AS (
-  SELECT o_custkey AS key, epoch_us(o_orderdate) AS ts, row_number() OVER (ORDER BY o_orderkey) - 1 AS n
-  FROM orders),
-span AS (SELECT min(ts) AS first, greatest(1, (max(ts) - min(ts)) // {SLICES}) AS interval_ FROM acc),
+def _runs(acc: str, first: str, last: str, slices: int) -> str:
+    place = "(ts - first) // interval_"
+    return f"""acc AS ({acc}),
+tot AS (SELECT count(*) AS total FROM acc),
+span AS (SELECT {first} AS first, greatest(1, ({last} - {first}) // {slices}) AS interval_ FROM acc),
 marked AS (
-  SELECT key, n, (ts - first) // interval_ AS slice,
-         lag((ts - first) // interval_) OVER (PARTITION BY key ORDER BY n) AS before
+  SELECT key, n, {place} AS slice, lag({place}) OVER (PARTITION BY key ORDER BY n) AS before
   FROM acc, span),
 runs AS (SELECT key, slice, n FROM marked WHERE before IS NULL OR before <> slice)"""
 
+
+ORDERS = """
+  SELECT o_custkey AS key, epoch_us(o_orderdate) AS ts, row_number() OVER (ORDER BY o_orderkey) - 1 AS n
+  FROM orders"""
+ORDER_RUNS = _runs(ORDERS, "min(ts)", "max(ts)", SLICES)
+ORDER_RUNS_FINE = _runs(ORDERS, "min(ts)", "max(ts)", FINE)
+LATE_RUNS = _runs(
+    f"SELECT user_id AS key, epoch_us(ts) AS ts, event_id + {LATE - 1} - 2 * (event_id % {LATE}) AS n FROM events",
+    "arg_min(ts, n)",
+    "arg_max(ts, n)",
+    FINE,
+)
+
+# step by step, as the estimate is defined
+FOLD = f"""placed AS (SELECT key, slice, row_number() OVER (PARTITION BY key ORDER BY n) AS pos FROM runs),
+fold(key, pos, slice, first_slice, est) AS (
+  SELECT key, pos, slice, slice, 0::DOUBLE FROM placed WHERE pos = 1
+  UNION ALL
+  SELECT p.key, p.pos, p.slice, f.first_slice, {A} + f.est * pow({L}, p.slice - f.slice)
+  FROM fold f JOIN placed p ON p.key = f.key AND p.pos = f.pos + 1),
+folded AS (
+  SELECT key, max(pos) AS counted, arg_max(slice, pos) AS last_slice, any_value(first_slice) AS first_slice,
+         arg_max(est, pos) AS est
+  FROM fold GROUP BY key)"""
+LOG_EST = f"CASE WHEN est > 0 THEN round(ln(est), {LOG_DIGITS}) END AS log_est"
+
 NEIGHBOR = f"""placed AS (
   SELECT key, slice, n, slice - lag(slice) OVER w AS gap, row_number() OVER w AS pos,
          lag(n) OVER w AS before_n
@@ -277,6 +307,9 @@ SELECT key, {HASH} AS hash, {BUCKET} AS bucket FROM (SELECT DISTINCT l_partkey A
 FROM runs JOIN (SELECT key, min(n) AS fn, arg_min(slice, n) AS f, arg_max(slice, n) AS l FROM runs GROUP BY key)
 USING (key) GROUP BY key""",
     ),
+    "heat_forward_runs_fine": _with(
+        f"{ORDER_RUNS_FINE}, {FOLD}", f"SELECT key, {LOG_EST}, first_slice, last_slice, counted FROM folded"
+    ),
     "heat_forward_by_clock": _with(LINE_HEAT, "SELECT key, est, first_slice, last_slice, counted FROM heat"),
     "heat_as_of": _with(
         f"{COUNT_SLICED}, {FORWARD.replace(f', {DIGITS}) AS est', ', 17) AS est')}",
@@ -375,6 +408,14 @@ sizes AS (SELECT (SELECT count(*) FROM a WHERE key IN (SELECT key FROM b)) AS n_
         f"SELECT {_budget('total', LINES.hot_fraction)} FROM tot",
         source="kept",
     ),
+    "classify_by_block_runs": _top(
+        f"""{LATE_RUNS}, {FOLD},
+heat AS (SELECT key, round(est, {DIGITS}) AS est FROM folded),
+{PER_BUCKET},
+kept AS (SELECT key, est FROM listed, tot WHERE r <= {_budget('total', FINE_EVENTS.hot_fraction)} // {BUCKETS})""",
+        f"SELECT {_budget('total', FINE_EVENTS.hot_fraction)} FROM tot",
+        source="kept",
+    ),
     "classify_by_time": _top(FILE_HEAT, str(FIXED_TOP)),
     "classify_by_time_mem": _top(MEM_HEAT, str(FIXED_TOP)),
     "classify_backward": _top(f"{TAIL_SLICED}, {_horizon('end_')}", "SELECT k FROM fin", source="bounds"),

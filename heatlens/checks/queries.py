@@ -39,6 +39,11 @@ WIDE = HeatParams(slices=SLICES, hot_fraction=0.005, buckets=BUCKETS, digits=DIG
 LINES = HeatParams(slices=SLICES, hot_fraction=0.005, buckets=BUCKETS, digits=DIGITS)
 FIXED = HeatParams(slices=SLICES, hot_fraction=0.01, buckets=BUCKETS, digits=DIGITS)
 TOTAL = HeatParams(slices=SLICES, hot_fraction=0.5, buckets=BUCKETS, digits=DIGITS)
+# Slices fine enough for a clock to run back by many of them.
+FINE = 1000
+LOG_DIGITS = 8
+LATE = 64
+FINE_EVENTS = HeatParams(slices=FINE, hot_fraction=0.005, buckets=BUCKETS, digits=DIGITS)
 LOCAL_FRACTION = 0.1
 # Low enough that the test tables span several bins.
 ROWS_PER_BIN = 4096
@@ -268,18 +273,18 @@ def slice_dedup(spark, folder):
     return fw.slice_dedup(_count_sliced(spark, folder)[0], order="n")
 
 
-def _order_runs(spark, folder) -> DataFrame:
+def _order_runs(spark, folder, slices=SLICES) -> DataFrame:
     """Order dates are random along the keys: slices are cut over all dates."""
     orders = _orders(spark, folder)
     span = cl.trace_span(orders.select("key", "ts"))
     numbered = with_ordinal(orders, profile_arrival(orders, rows_per_bin=ROWS_PER_BIN))
-    number = sl.timestamp_slice("ts", span.first, span.interval(SLICES))
+    number = sl.timestamp_slice("ts", span.first, span.interval(slices))
     return fw.run_starts(numbered.select("key", "n", number.alias("slice")), rows_per_bin=ROWS_PER_BIN)
 
 
 @query
 def slice_dedup_runs(spark, folder):
-    return _order_runs(spark, folder)
+    return _order_runs(spark, folder).drop("opens")
 
 
 @query
@@ -294,6 +299,18 @@ def heat_forward_runs(spark, folder):
     return _rounded(fw.heat_forward(runs, EVENTS.alpha, SLICES, order="n"), "est")
 
 
+def _logged(df: DataFrame) -> DataFrame:
+    """``log_est`` for ``est``, which clocks that jump back make very large; null for 0."""
+    found = F.when(F.col("est") > 0, F.round(F.ln("est"), LOG_DIGITS))
+    return df.withColumn("log_est", found).drop("est")
+
+
+@query
+def heat_forward_runs_fine(spark, folder):
+    """Slices jump back by up to ``FINE``: a later slice may outweigh all others."""
+    return _logged(fw.heat_forward(_order_runs(spark, folder, FINE), EVENTS.alpha, FINE, order="n"))
+
+
 @query
 def heat_forward_by_clock(spark, folder):
     lines = _lines(spark, folder)
@@ -547,6 +564,14 @@ def classify_by_block(spark, folder):
     return cl.classify_by_block(_lines(spark, folder), LINES)
 
 
+@query
+def classify_by_block_runs(spark, folder):
+    """Events that arrive newest first in blocks of ``LATE``."""
+    place = F.col("arrival") % LATE
+    late = _events(spark, folder).withColumn("arrival", F.col("arrival") - place + (LATE - 1) - place)
+    return cl.classify_by_block(late, FINE_EVENTS)
+
+
 @query
 def classify_by_time(spark, folder):
     return cl.classify_by_time(_events(spark, folder), EVENTS)

@@ -31,7 +31,8 @@ def slice_dedup(df: DataFrame, key: str = "key", slice_col: str = "slice", order
 def run_starts(
     df: DataFrame, key: str = "key", slice_col: str = "slice", order: str = "n", rows_per_bin: int = 1_000_000
 ) -> DataFrame:
-    """Rows whose slice differs from the same key's previous row in arrival order.
+    """Rows whose slice differs from the same key's previous row in arrival order;
+    ``opens`` marks a key's very first one.
 
     Needed when slices may go back in time. ``order`` is the dense arrival
     ordinal. A hot key is cut into runs of ``rows_per_bin`` arrivals, each checked
@@ -45,13 +46,15 @@ def run_starts(
         "__last", F.last(slice_col).over(whole)
     )
     changed = marked.filter(F.col("__before").isNotNull() & (F.col("__before") != F.col(slice_col)))
+    changed = changed.withColumn("opens", F.lit(False))
     across = Window.partitionBy(key).orderBy("__bin")
     opened = (
         marked.filter(F.col("__before").isNull())
         .withColumn("__before", F.lag("__last").over(across))
         .filter(F.col("__before").isNull() | (F.col("__before") != F.col(slice_col)))
+        .withColumn("opens", F.col("__before").isNull())
     )
-    return changed.unionByName(opened).select(key, slice_col, order)
+    return changed.unionByName(opened).select(key, slice_col, order, "opens")
 
 
 def heat_forward(
@@ -64,38 +67,42 @@ def heat_forward(
 ) -> DataFrame:
     """``(key, est, first_slice, last_slice, counted)`` from counted accesses.
 
-    ``order`` names the arrival column when slices may go back in time; without
-    it the slice number itself is the order. Weights are summed relative to the
-    end of a block of slices, which needs no knowledge of the key's last slice
-    and so aggregates map-side. With at most one block (``max_slices``) that sum
-    is rescaled at once; otherwise a key's few block rows are combined by a window.
+    ``order`` names the arrival column when slices may go back in time, and ``counted``
+    comes from :func:`run_starts`; without it the slice number itself is the order.
+    Weights are summed relative to the end of a block of slices, which needs no
+    knowledge of the key's last slice and so aggregates map-side. With at most one
+    block (``max_slices``) that sum is rescaled at once; otherwise a key's few block
+    rows are combined by a window.
+
+    A key's first access scores nothing. On a clock that goes back it may be the largest
+    term of all, so there it is never added; otherwise it is the smallest term and is
+    taken out of the sum.
     """
     span = block_span(alpha)
     block_end = int_div(slice_col, span) * F.lit(span) + F.lit(span - 1)
     if order is None:
-        first, last = F.min(slice_col), F.max(slice_col)
-        extent = [first.alias("first_slice"), last.alias("last_slice")]
+        scores = F.lit(True)
+        extent = [F.min(slice_col).alias("first_slice"), F.max(slice_col).alias("last_slice")]
     else:
+        scores = ~F.col("opens")
         extent = [
             F.min_by(slice_col, order).alias("first_slice"),
             F.max_by(slice_col, order).alias("last_slice"),
         ]
+    finish = _without_first if order is None else _as_summed
     if max_slices is not None and max_slices < span:
         # slices 0 .. span-1 share the one block that ends at span-1
+        term = F.when(scores, weight(alpha, F.lit(span - 1) - F.col(slice_col))).otherwise(0.0)
         folded = counted.groupBy(key).agg(
-            F.sum(weight(alpha, F.lit(span - 1) - F.col(slice_col))).alias("mass"),
-            F.count("*").alias("counted"),
-            *extent,
-        ).withColumn("mass", F.col("mass") * decay(alpha, F.col("last_slice") - F.lit(span - 1)))
-        return _without_first(folded, alpha, key)
+            F.sum(term).alias("mass"), F.count("*").alias("counted"), *extent
+        ).withColumn("mass", _scaled(alpha, "mass", F.col("last_slice") - F.lit(span - 1)))
+        return finish(folded, alpha, key)
     ordering = [] if order is None else [
         F.min(order).alias("first_at"), F.max(order).alias("last_at"),
     ]
+    term = F.when(scores, weight(alpha, F.col("block_end") - F.col(slice_col))).otherwise(0.0)
     blocks = counted.withColumn("block_end", block_end).groupBy(key, "block_end").agg(
-        F.sum(weight(alpha, F.col("block_end") - F.col(slice_col))).alias("mass"),
-        F.count("*").alias("counted"),
-        *extent,
-        *ordering,
+        F.sum(term).alias("mass"), F.count("*").alias("counted"), *extent, *ordering
     )
     whole = Window.partitionBy(key)
     if order is None:
@@ -108,13 +115,22 @@ def heat_forward(
         .withColumn("__first", first_of_key.over(whole))
         .groupBy(key)
         .agg(
-            F.sum(F.col("mass") * decay(alpha, F.col("__last") - F.col("block_end"))).alias("mass"),
+            F.sum(_scaled(alpha, "mass", F.col("__last") - F.col("block_end"))).alias("mass"),
             F.sum("counted").alias("counted"),
             F.max("__first").alias("first_slice"),
             F.max("__last").alias("last_slice"),
         )
     )
-    return _without_first(folded, alpha, key)
+    return finish(folded, alpha, key)
+
+
+def _scaled(alpha: float, mass: str, slices: Column) -> Column:
+    """``mass`` decayed. Nothing stays nothing, however far a clock jumped back."""
+    return F.when(F.col(mass) == 0.0, F.lit(0.0)).otherwise(F.col(mass) * decay(alpha, slices))
+
+
+def _as_summed(folded: DataFrame, alpha: float, key: str) -> DataFrame:
+    return folded.select(key, F.col("mass").alias("est"), "first_slice", "last_slice", "counted")
 
 
 def _without_first(folded: DataFrame, alpha: float, key: str) -> DataFrame:

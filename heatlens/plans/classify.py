@@ -99,12 +99,16 @@ def classify_neighbor(
 
 
 def clock_heat(
-    accesses: DataFrame, params: HeatParams, span: TraceSpan, in_order: bool = True
+    accesses: DataFrame, params: HeatParams, span: TraceSpan, in_order: bool | None = None
 ) -> DataFrame:
     """Forward heat of every key over equally long slices of the clock.
 
-    ``in_order`` says that the clock never runs backwards along ``arrival``.
+    ``in_order`` says that the clock never runs backwards along ``arrival``, which saves
+    a shuffle. Unless told so, a table with arrivals is folded in their order; without
+    arrivals the clock is the order.
     """
+    if in_order is None:
+        in_order = "arrival" not in accesses.columns
     interval = span.interval(params.slice_count)
     number = sl.timestamp_slice("ts", span.first, interval)
     # slices before the first one need the general fold
@@ -118,7 +122,7 @@ def clock_heat(
 
 
 def classify_by_block(
-    accesses: DataFrame, params: HeatParams = HeatParams(), in_order: bool = True
+    accesses: DataFrame, params: HeatParams = HeatParams(), in_order: bool | None = None
 ) -> DataFrame:
     """Slices by clock, an equal share of the budget for each key bucket."""
     span = trace_span(accesses)

@@ -61,6 +61,32 @@ def test_slices_that_go_back(spark, rows_per_bin, max_slices):
     assert found == pytest.approx(twins.forward(keys, slices), abs=1e-13)
 
 
+@pytest.mark.parametrize(
+    "slices", [[900, 1, 3], [990, 10, 20, 30], [4999, 1, 2, 3], [12_000, 3, 5], [30_000, 2, 4], [5, 3, 5, 5, 2, 900, 3]]
+)
+@pytest.mark.parametrize("rows_per_bin", [2, 10_000])
+def test_clocks_that_jump_far_back(spark, slices, rows_per_bin):
+    runs = run_starts(accesses(spark, [1] * len(slices), slices), rows_per_bin=rows_per_bin)
+    try:
+        want = twins.forward([1] * len(slices), slices)
+    except OverflowError:  # the step from 0 may not be weighed: 0.05 + 0 * 0.95**-29998
+        want = twins.forward([1] * (len(slices) - 1), slices[1:])
+        want = {1: want[1] + 0.05 * twins.LAMBDA ** (slices[-1] - slices[1])}
+    for max_slices in (None, 5_000 if max(slices) <= 5_000 else None):
+        found = heat_of(heat_forward(runs, max_slices=max_slices, order="n"))
+        assert found == pytest.approx(want, rel=1e-9)
+
+
+@pytest.mark.parametrize("top", [1_000, 5_000, 9_000])
+def test_random_slices(spark, top):
+    rng = random.Random(top)
+    keys = [rng.randint(0, 9) for _ in range(120)]
+    slices = [rng.randint(1, top) for _ in keys]
+    runs = run_starts(accesses(spark, keys, slices), rows_per_bin=30)
+    found = heat_of(heat_forward(runs, max_slices=top if top < 5_848 else None, order="n"))
+    assert found == pytest.approx(twins.forward(keys, slices), rel=1e-8)
+
+
 def test_decay_without_access(spark):
     df = heat_forward(slice_dedup(accesses(spark, [1, 1], [1, 3])), max_slices=10)
     assert heat_of(heat_as_of(df, 5)) == {1: pytest.approx(0.05 * 0.95**2)}
