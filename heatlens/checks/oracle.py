@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from heatlens.checks.queries import (
     BUCKETS,
+    BURST,
+    DEEP,
     DIGITS,
     FINE,
     FINE_EVENTS,
@@ -205,7 +207,7 @@ def _horizon(span: str, name: str = "bounds") -> str:
   FROM (SELECT DISTINCT key, slice FROM sliced), fin WHERE slice >= {t} GROUP BY key),
 {name} AS (
   SELECT key, round(e, {DIGITS}) AS est, round(e + pow({L}, end_), {DIGITS}) AS lower,
-         round(e + pow({L}, end_ - {t} + 1), {DIGITS}) AS upper
+         round(e + pow({L}, end_ - {t} + 1), {DIGITS}) AS upper, round(ln(e), {DIGITS}) AS rank
   FROM {name}_est)"""
 
 
@@ -219,6 +221,19 @@ COUNTS = """counts AS (
          min(upper - kth) FILTER (upper > kth) AS overlap
   FROM bounds, kth)"""
 
+DEEP_SLICED = f"""acc AS (
+  SELECT o_orderkey // 3 AS key, row_number() OVER (ORDER BY o_orderkey) - 1 AS n FROM orders),
+tot AS (SELECT count(*) AS total, greatest(1, count(*) // {DEEP.slices}) AS size FROM acc),
+sliced AS (SELECT key, (n + 1) // size + 1 AS slice FROM acc, tot),
+fin AS (SELECT total // size + 1 AS end_, {_budget('total + 1', DEEP.hot_fraction)} AS k FROM tot)"""
+
+BURST_SLICED = f"""acc AS (SELECT {BURST} AS key, arrival AS n FROM (SELECT user_id AS key, event_id AS arrival FROM events)),
+tot AS (SELECT count(*) AS total, greatest(1, count(*) // {FINE}) AS size FROM acc),
+ranked AS (SELECT key, row_number() OVER (ORDER BY n) - 1 AS n FROM acc),
+ends AS (SELECT greatest({FINE} + 1, (total + size - 1) // size) AS end_ FROM tot),
+sliced AS (SELECT key, end_ - (total - 1 - n) // size AS slice FROM ranked, tot, ends),
+fin AS (SELECT end_, 2 AS k FROM ends)"""
+
 TAIL_SLICED = f"""{ACC},
 ends AS (SELECT greatest({SLICES} + 1, (total + size - 1) // size) AS end_ FROM tot),
 sliced AS (SELECT key, end_ - (total - 1 - n) // size AS slice FROM acc, tot, ends),
@@ -230,9 +245,9 @@ fin AS (SELECT (total + 1) // {FIXED_INTERVAL} + 1 AS end_, {_budget('total + 1'
         FROM tot)"""
 
 
-def _top(ctes: str, k: str, cols: str = "key, est", source: str = "heat") -> str:
+def _top(ctes: str, k: str, cols: str = "key, est", source: str = "heat", by: str = "est") -> str:
     return f"""WITH RECURSIVE {ctes},
-top AS (SELECT *, row_number() OVER (ORDER BY est DESC, key) AS place FROM {source})
+top AS (SELECT *, row_number() OVER (ORDER BY {by} DESC, key) AS place FROM {source})
 SELECT {cols} FROM top WHERE place <= ({k})"""
 
 
@@ -345,7 +360,7 @@ placed AS (SELECT *, row_number() OVER (ORDER BY n DESC) AS r FROM newest)""",
     "prune_candidates": _with(
         f"{BOUNDS}, {KTH}", "SELECT key, est, lower, upper FROM bounds, kth WHERE upper >= kth"
     ),
-    "backward_hot_set": _top(EXACT, "SELECT k FROM fin", source="bounds"),
+    "backward_hot_set": _top(EXACT, "SELECT k FROM fin", source="bounds", by="rank"),
     "bucket_status": _with(
         f"""{BOUNDS},
 bucketed AS (SELECT *, {BUCKET} AS bucket FROM bounds),
@@ -364,13 +379,16 @@ FROM shares LEFT JOIN kths USING (bucket) LEFT JOIN bucketed USING (bucket) GROU
     "overlap_slice_bound": _with(
         f"{BOUNDS}, {KTH}, {COUNTS}", f"SELECT round(end_ + 1 - ln(overlap) / ln({L}), 3) AS t_min FROM counts, fin"
     ),
-    "threshold_search": _top(EXACT, "SELECT k FROM fin", source="bounds"),
+    "threshold_search": _top(EXACT, "SELECT k FROM fin", source="bounds", by="rank"),
     "tighten_bounds": _with(
         f"{BOUNDS}, {KTH}, {_horizon(str(TIGHT_SPAN), 'tight')}",
         """SELECT key, est, lower, upper FROM tight
 WHERE key IN (SELECT key FROM bounds, kth WHERE upper >= kth)""",
     ),
-    "finalize_hot_set": _with(f"{EXACT}, {KTH}", "SELECT key, est FROM bounds, kth WHERE upper > kth"),
+    "finalize_hot_set": _with(
+        f"{EXACT}, placed AS (SELECT *, row_number() OVER (ORDER BY lower DESC) AS r FROM bounds)",
+        "SELECT key, est FROM placed, fin WHERE r <= k",
+    ),
     "topk_per_bucket": _with(
         f"{HEAT}, {PER_BUCKET}",
         f"SELECT key, est, bucket FROM listed, tot WHERE r <= {_budget('total', FRACTION)} // {BUCKETS}",
@@ -418,8 +436,25 @@ kept AS (SELECT key, est FROM listed, tot WHERE r <= {_budget('total', FINE_EVEN
     ),
     "classify_by_time": _top(FILE_HEAT, str(FIXED_TOP)),
     "classify_by_time_mem": _top(MEM_HEAT, str(FIXED_TOP)),
-    "classify_backward": _top(f"{TAIL_SLICED}, {_horizon('end_')}", "SELECT k FROM fin", source="bounds"),
-    "classify_backward_bucketed": _top(EXACT, "SELECT k FROM fin", source="bounds"),
+    "classify_backward": _top(f"{TAIL_SLICED}, {_horizon('end_')}", "SELECT k FROM fin", source="bounds", by="rank"),
+    "classify_backward_bucketed": _top(EXACT, "SELECT k FROM fin", source="bounds", by="rank"),
+    "classify_backward_deep": _top(
+        f"""{DEEP_SLICED},
+exact AS (SELECT key, sum({A} * pow({L}, end_ - slice)) AS est FROM (SELECT DISTINCT key, slice FROM sliced), fin
+          GROUP BY key),
+ranked AS (SELECT *, round(ln(est), {DIGITS}) AS rank FROM exact)""",
+        "SELECT k FROM fin",
+        cols=f"key, {LOG_EST}",
+        source="ranked",
+        by="rank",
+    ),
+    "classify_backward_early": _top(
+        f"{BURST_SLICED}, {_horizon('end_')}",
+        "SELECT k FROM fin",
+        cols="key, true AS stopped_early",
+        source="bounds",
+        by="rank",
+    ),
     "classify_total_by_block": _top(
         TOTAL_HEAT, f"SELECT {_budget('total', TOTAL.hot_fraction)} FROM tot"
     ),
@@ -427,6 +462,6 @@ kept AS (SELECT key, est FROM listed, tot WHERE r <= {_budget('total', FINE_EVEN
         TOTAL_TIME_HEAT, f"SELECT {_budget('total', TOTAL.hot_fraction)} FROM tot"
     ),
     "classify_backward_fixed": _top(
-        f"{FIXED_SLICED}, {_horizon('end_')}", "SELECT k FROM fin", source="bounds"
+        f"{FIXED_SLICED}, {_horizon('end_')}", "SELECT k FROM fin", source="bounds", by="rank"
     ),
 }

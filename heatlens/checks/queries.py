@@ -44,6 +44,10 @@ FINE = 1000
 LOG_DIGITS = 8
 LATE = 64
 FINE_EVENTS = HeatParams(slices=FINE, hot_fraction=0.005, buckets=BUCKETS, digits=DIGITS)
+DEEP = HeatParams(slices=2000, hot_fraction=0.2, buckets=BUCKETS, digits=DIGITS)
+# Two keys get most of the accesses, and differ.
+BURST = "CASE WHEN arrival % 2 = 0 THEN -1 WHEN arrival % 40 < 10 THEN -2 ELSE key END"
+EARLY = HeatParams(slices=FINE, buckets=BUCKETS, digits=DIGITS)
 LOCAL_FRACTION = 0.1
 # Low enough that the test tables span several bins.
 ROWS_PER_BIN = 4096
@@ -429,7 +433,7 @@ def prune_candidates(spark, folder):
 @query
 def backward_hot_set(spark, folder):
     tail, end, k = _tail(spark, folder)
-    return bw.backward_hot_set(tail, end, k, EVENTS.alpha, DIGITS).hot
+    return _rounded(bw.backward_hot_set(tail, end, k, EVENTS.alpha, DIGITS).hot, "est")
 
 
 @query
@@ -459,7 +463,7 @@ def overlap_slice_bound(spark, folder):
 @query
 def threshold_search(spark, folder):
     events, profile = _profiled(spark, folder)
-    return cl.search_backward_bucketed(events, EVENTS, profile).hot
+    return _rounded(cl.search_backward_bucketed(events, EVENTS, profile).hot, "est")
 
 
 @query
@@ -475,7 +479,7 @@ def tighten_bounds(spark, folder):
 def finalize_hot_set(spark, folder):
     tail, end, k = _tail(spark, folder)
     bounds = _bounds(tail, end, span=end)
-    return bw.finalize_hot_set(bounds, sel.kth_value(bounds, k, "lower")).select("key", "est")
+    return bw.finalize_hot_set(bounds, bw.threshold_between(bounds, k)).select("key", "est")
 
 
 # Rankings and comparisons
@@ -584,12 +588,28 @@ def classify_by_time_mem(spark, folder):
 
 @query
 def classify_backward(spark, folder):
-    return cl.classify_backward(_events(spark, folder), EVENTS)
+    return _rounded(cl.classify_backward(_events(spark, folder), EVENTS), "est")
 
 
 @query
 def classify_backward_bucketed(spark, folder):
-    return cl.classify_backward_bucketed(_events(spark, folder), EVENTS)
+    return _rounded(cl.classify_backward_bucketed(_events(spark, folder), EVENTS), "est")
+
+
+@query
+def classify_backward_deep(spark, folder):
+    """More members than keys in the newest 480 slices, where estimates fall below 1e-12."""
+    orders = _table(spark, folder, "orders").select((F.col("o_orderkey") / 3).cast("bigint").alias("key"), "o_orderkey")
+    return _logged(cl.classify_backward_bucketed(accesses_from(orders, "key", arrival="o_orderkey"), DEEP))
+
+
+@query
+def classify_backward_early(spark, folder):
+    """Two keys far hotter than the rest: membership is settled without the older slices."""
+    events = _events(spark, folder).withColumn("key", F.expr(BURST))
+    tail, end = cl.serial_tail(events, EARLY, profile_arrival(events, rows_per_bin=ROWS_PER_BIN))
+    found = bw.backward_hot_set(tail, end, 2, EARLY.alpha, DIGITS)
+    return found.settled.select("key", F.lit(found.horizon > 1).alias("stopped_early"))
 
 
 @query
@@ -604,4 +624,4 @@ def classify_total_by_time(spark, folder):
 
 @query
 def classify_backward_fixed(spark, folder):
-    return cl.classify_backward_fixed(_events(spark, folder), FIXED)
+    return _rounded(cl.classify_backward_fixed(_events(spark, folder), FIXED), "est")

@@ -73,8 +73,9 @@ def timestamp_slice(ts: Column | str, first: int, interval: int) -> Column:
 def file_time_partition(
     ts: Column | str, first: int, interval: int, slices: int, parts: int
 ) -> tuple[Column, Column]:
-    """(part, slice) with the part taken from the 1-based slice."""
-    raw = timestamp_slice(ts, first, interval) + F.lit(1)
+    """(part, slice) with the part taken from the 1-based slice. Times past the last
+    part belong to the last slice, times before the first access to the first."""
+    raw = F.greatest(timestamp_slice(ts, first, interval), F.lit(0).cast("bigint")) + F.lit(1)
     part = int_div(raw, slices // parts)
     late = part >= F.lit(parts)
     return (
@@ -86,8 +87,9 @@ def file_time_partition(
 def memory_time_partition(
     ts: Column | str, first: int, interval: int, slices: int, parts: int
 ) -> tuple[Column, Column]:
-    """(part, slice) with the part taken from the 0-based slice."""
-    raw = timestamp_slice(ts, first, interval)
+    """(part, slice) with the part taken from the 0-based slice, bounded as in
+    :func:`file_time_partition`."""
+    raw = F.greatest(timestamp_slice(ts, first, interval), F.lit(0).cast("bigint"))
     part = int_div(raw, slices // parts)
     late = part >= F.lit(parts)
     return (

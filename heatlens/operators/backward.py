@@ -13,9 +13,10 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from heatlens.functions.decay import decay, slices_to_reach, weight
+from heatlens.functions.decay import block_span, decay, slices_to_reach, weight
+from heatlens.functions.slices import int_div
 from heatlens.operators.selection import SMALL_K, kth_and_next, nth_by_group, top_k
 from heatlens.params import DEFAULT_ALPHA
 from heatlens.staging import small_table, stage
@@ -24,6 +25,8 @@ from heatlens.staging import small_table, stage
 Tail = Callable[[int], DataFrame]
 
 FIRST_SPAN = 16
+# Below this doubles lose digits: such bounds settle nothing.
+TINY = 1e-290
 
 
 def tail_of(accesses: DataFrame) -> Tail:
@@ -113,9 +116,19 @@ def threshold_counts(bounds: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def finalize_hot_set(bounds: DataFrame, threshold: float) -> DataFrame:
-    """Keys whose upper bound exceeds the threshold, coolest first."""
-    return bounds.filter(F.col("upper") > F.lit(threshold)).orderBy("est", "key")
+def finalize_hot_set(bounds: DataFrame, threshold: float | None) -> DataFrame:
+    """Keys whose upper bound exceeds the threshold, coolest first. The threshold should lie
+    between the K-th and the next bound (:func:`threshold_between`): at the K-th itself,
+    bounds that have met would leave that key out."""
+    kept = bounds if threshold is None else bounds.filter(F.col("upper") > F.lit(threshold))
+    return kept.orderBy("est", "key")
+
+
+def threshold_between(bounds: DataFrame, k: int) -> float | None:
+    """Half way between the K-th and the next lower bound, so that ``k`` keys clear it
+    unless the two tie; ``None``, which all clear, with no more keys than ``k``."""
+    kth, following = kth_and_next(bounds, k, "lower")
+    return None if kth is None or following is None else (kth + following) / 2
 
 
 @dataclass(frozen=True)
@@ -127,7 +140,7 @@ class BackwardResult:
     older slices are not read. ``hot`` completes the estimates of the members,
     coolest first; it is lazy, and only computing it reads the rest of the trace.
     ``threshold`` separates the set, unless a tie at the K-th place was broken by
-    key.
+    key. Estimates are not rounded, but keys rank by their rounded logarithms.
     """
 
     hot: DataFrame
@@ -143,12 +156,13 @@ def backward_hot_set(
     """The exact ``k`` hottest keys, reading no further back than needed.
 
     Stops at a horizon where exactly ``k`` keys can still reach the K-th lower
-    bound and no unseen key can. Otherwise at least doubles the slices read.
+    bound and no unseen key can. Otherwise at least doubles the slices read. Keys whose
+    estimates agree in about ``digits`` significant digits tie, however small they are.
     """
     if k <= 0:
-        nothing = _exact(tail, end, alpha, digits).limit(0)
+        nothing = heat_backward(tail(1), end, alpha).limit(0)
         return BackwardResult(nothing, nothing, end, math.inf, ())
-    slack = _slack(digits)
+    near = _near(end, alpha, digits)
     span, seen = min(first_span, end), []
     while span < end:
         t = end - span + 1
@@ -156,15 +170,16 @@ def backward_hot_set(
         bounds = _held(with_bounds(heat_backward(tail(t), end, alpha), t, end, 1, alpha), k)
         kth, following = kth_and_next(bounds, k, "lower")
         unseen = (1.0 - alpha) ** span
-        if kth is not None and unseen < kth - slack:
+        sure = kth * (1.0 - near) if kth is not None and kth > TINY else None
+        if sure is not None and unseen < sure:
             # all bounds are equally wide: one comparison counts the survivors
-            if following is None or following + _width(span, end, alpha) < kth - slack:
-                settled = stage(prune_candidates(bounds, kth - slack).select("key", "est"), "settled")
+            if following is None or following + _width(span, end, alpha) < sure:
+                settled = stage(prune_candidates(bounds, sure).select("key", "est"), "settled")
                 bounds.unpersist()
                 hot = _finish(tail, settled, k, end, alpha, digits)
                 return BackwardResult(hot, settled, t, kth, tuple(seen))
         bounds.unpersist()
-        span = _next_span(span, end, kth, slack, alpha)
+        span = _next_span(span, end, sure, alpha)
     return _settle_exactly(tail, end, k, alpha, digits, seen)
 
 
@@ -185,9 +200,9 @@ def threshold_search(
     the bounds overlap at the threshold, older slices are read.
     """
     if k <= 0:
-        nothing = _exact(tail, end, alpha, digits).limit(0)
+        nothing = heat_backward(tail(1), end, alpha).limit(0)
         return BackwardResult(nothing, nothing, end, math.inf, ())
-    slack = _slack(digits)
+    near = _near(end, alpha, digits)
     span, seen = min(first_span, end), []
     while span < end:
         t = end - span + 1
@@ -195,20 +210,20 @@ def threshold_search(
         bounds = bucket_of(with_bounds(heat_backward(tail(t), end, alpha), t, end, 1, alpha)).persist()
         filled = bucket_status(bounds, budgets).filter("kth > 0")
         candidates = sorted(c["kth"] for c in filled.select("kth").distinct().collect())
-        theta, gap = _separate(bounds, k, candidates, _width(span, end, alpha), slack)
-        if theta is not None and (1.0 - alpha) ** span < theta - slack:
+        theta, gap = _separate(bounds, k, candidates, _width(span, end, alpha), near)
+        if theta is not None and (1.0 - alpha) ** span < theta * (1.0 - near):
             settled = stage(bounds.filter(F.col("upper") > F.lit(theta)).select("key", "est"), "settled")
             bounds.unpersist()
             hot = _finish(tail, settled, k, end, alpha, digits)
             return BackwardResult(hot, settled, t, theta, tuple(seen))
         bounds.unpersist()
         # the gap is only a guess before the older slices are read
-        span = min(_next_span(span, end, gap, slack, alpha), 4 * span)
+        span = min(_next_span(span, end, gap, alpha), 4 * span)
     return _settle_exactly(tail, end, k, alpha, digits, seen)
 
 
 def _separate(
-    bounds: DataFrame, k: int, candidates: list[float], width: float, slack: float
+    bounds: DataFrame, k: int, candidates: list[float], width: float, near: float
 ) -> tuple[float | None, float | None]:
     """A threshold that exactly ``k`` keys clear whichever bound is used.
 
@@ -221,7 +236,7 @@ def _separate(
         mid = (low + high) // 2
         counts = threshold_counts(bounds, candidates[mid]).first()
         if counts["lower_count"] == counts["upper_count"] == k:
-            if counts["overlap"] - width > slack:
+            if counts["overlap"] - width > near * candidates[mid] and candidates[mid] > TINY:
                 return candidates[mid], None
             break
         if counts["lower_count"] >= k:
@@ -231,8 +246,9 @@ def _separate(
         else:
             break
     kth, following = kth_and_next(bounds, k, "lower")
-    if kth is None:
+    if kth is None or kth <= TINY:
         return None, None
+    slack = near * kth
     if following is None:
         return kth - 2 * slack, None
     gap = kth - following
@@ -245,7 +261,8 @@ def tighten_bounds(
     tail: Tail, candidates: DataFrame, t: int, end: int, alpha: float = DEFAULT_ALPHA
 ) -> DataFrame:
     """Bounds of the candidate keys at an earlier horizon ``t``."""
-    kept = tail(t).join(candidates.select("key"), "key", "left_semi")
+    counted = tail(t).select("key", "slice").distinct()
+    kept = counted.join(candidates.select("key"), "key", "left_semi")
     return with_bounds(heat_backward(kept, end, alpha), t, end, 1, alpha)
 
 
@@ -259,28 +276,63 @@ def _held(bounds: DataFrame, k: int) -> DataFrame:
     return bounds.persist() if k > SMALL_K else bounds
 
 
-def _slack(digits: int) -> float:
-    """Estimates closer than this may tie once rounded: never separate them."""
-    return 10.0**-digits
+def _rank_digits(end: int, alpha: float, digits: int) -> int:
+    """Decimals of a logarithm that sums in any order agree on: a double has fewer the
+    larger the logarithm can be."""
+    largest = 1.0 - end * math.log1p(-alpha)
+    return max(1, min(digits, 13 - math.ceil(math.log10(largest))))
+
+
+def _near(end: int, alpha: float, digits: int) -> float:
+    """Estimates that differ by a smaller part of theirs may tie once their logarithms are
+    rounded: never separate them."""
+    return 2.0 * 10.0 ** -_rank_digits(end, alpha, digits)
 
 
-def _next_span(span: int, end: int, kth: float | None, slack: float, alpha: float) -> int:
-    """At least double, and far enough that unseen keys fall below ``kth``."""
-    needed = span
-    if kth is not None and kth > 2 * slack:
-        needed = math.floor(slices_to_reach(alpha, kth - slack)) + 1
+def _next_span(span: int, end: int, value: float | None, alpha: float) -> int:
+    """At least double, and far enough that unseen keys fall below ``value``."""
+    needed = math.floor(slices_to_reach(alpha, value)) + 1 if value else span
     return min(end, max(2 * span, needed))
 
 
-def _exact(tail: Tail, end: int, alpha: float, digits: int) -> DataFrame:
-    return heat_backward(tail(1), end, alpha).withColumn("est", F.round("est", digits))
+def _exact(heat_tail: DataFrame, end: int, alpha: float, digits: int) -> DataFrame:
+    """``(key, est, rank)`` of whole slices, ``rank`` the rounded logarithm of ``est``.
+
+    Beyond the slices that doubles can span, weights are summed by blocks of slices. A
+    key's sum is then taken relative to its newest block, and only the logarithm is
+    carried to the end slice, so old keys keep their order where ``est`` is 0.
+    """
+    places = _rank_digits(end, alpha, digits)
+    span = block_span(alpha)
+    if end <= span:
+        heat = heat_backward(heat_tail, end, alpha)
+        return heat.withColumn("rank", F.round(F.ln("est"), places))
+    age = F.lit(end) - F.col("slice")
+    blocks = (
+        heat_tail.select("key", "slice").distinct()
+        .groupBy("key", int_div(age, span).alias("block"))
+        .agg(F.sum(weight(alpha, age % F.lit(span))).alias("mass"))
+    )
+    newest = F.min("block").over(Window.partitionBy("key"))
+    folded = (
+        blocks.withColumn("newest", newest)
+        .groupBy("key", "newest")
+        .agg(F.sum(F.col("mass") * decay(alpha, (F.col("block") - F.col("newest")) * F.lit(span))).alias("mass"))
+    )
+    older = F.col("newest") * F.lit(span)
+    return folded.select(
+        "key",
+        (F.col("mass") * decay(alpha, older)).alias("est"),
+        F.round(F.ln("mass") + older * F.lit(math.log1p(-alpha)), places).alias("rank"),
+    )
 
 
 def _settle_exactly(tail, end, k, alpha, digits, seen) -> BackwardResult:
     """Everything is read: both bounds equal the estimate, up to a constant."""
-    hot = stage(top_k(_exact(tail, end, alpha, digits), k), "backward")
+    hot = stage(top_k(_exact(tail(1), end, alpha, digits), k, by="rank"), "backward")
     coolest = hot.agg(F.min("est").alias("est")).first()["est"]
-    return BackwardResult(hot.orderBy("est", "key"), hot, 1, coolest or 0.0, (*seen, 1))
+    ranked = hot.orderBy("rank", "key").select("key", "est")
+    return BackwardResult(ranked, hot.select("key", "est"), 1, coolest or 0.0, (*seen, 1))
 
 
 def _finish(tail, settled, k, end, alpha, digits) -> DataFrame:
@@ -288,6 +340,6 @@ def _finish(tail, settled, k, end, alpha, digits) -> DataFrame:
     members = settled.select("key")
     if k <= SMALL_K:
         members = F.broadcast(members)
-    kept = tail(1).join(members, "key", "left_semi")
-    heat = heat_backward(kept, end, alpha).withColumn("est", F.round("est", digits))
-    return heat.orderBy("est", "key")
+    # once per (key, slice) before the join: a hot key is then a row per slice at most
+    kept = tail(1).select("key", "slice").distinct().join(members, "key", "left_semi")
+    return _exact(kept, end, alpha, digits).orderBy("rank", "key").select("key", "est")

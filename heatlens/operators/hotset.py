@@ -23,13 +23,14 @@ def hot_set_overlap(a: DataFrame, b: DataFrame, key: str = "key") -> DataFrame:
 def label_hot(heat: DataFrame, k: int, key: str = "key") -> DataFrame:
     """Every key with ``is_hot``; the cold side is ``~is_hot``.
 
-    The K-th row is looked up first, so labelling is a projection without a join.
+    The K-th row is looked up first, so labelling is a projection without a join. A row
+    without a key or an estimate has no rank and is cold.
     """
     if k <= 0:
         return heat.withColumn("is_hot", F.lit(False))
     cut = kth_row(heat, k, tie=key)
     if cut is None:
-        return heat.withColumn("is_hot", F.lit(True))
+        return heat.withColumn("is_hot", F.col("est").isNotNull() & F.col(key).isNotNull())
     return heat.withColumn("is_hot", at_or_before(F.lit(cut[0]), F.lit(cut[1]), tie=key))
 
 

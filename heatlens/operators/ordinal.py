@@ -69,7 +69,9 @@ def profile_arrival(
     rows_per_bin: int = ROWS_PER_BIN,
     max_bins: int = MAX_BINS,
 ) -> ArrivalProfile:
-    """Profile ``arrival``. Up to ``rows_per_bin`` rows cost one count only."""
+    """Profile ``arrival``. Up to ``rows_per_bin`` rows cost one count only. Rows
+    without an arrival have no place in the order: they count nowhere."""
+    df = df.filter(F.col(arrival).isNotNull())
     rows = df.count()
     wanted = min(max_bins, -(-rows // rows_per_bin))
     if wanted <= 1:
@@ -103,7 +105,8 @@ def _rank_in_bin(arrival: str) -> Column:
 def with_ordinal(
     df: DataFrame, profile: ArrivalProfile, arrival: str = "arrival", n: str = "n"
 ) -> DataFrame:
-    """Add the exact 0-based arrival ordinal ``n``."""
+    """Add the exact 0-based arrival ordinal ``n``. Rows without an arrival are left out."""
+    df = df.filter(F.col(arrival).isNotNull())
     binned = _with_bin(df, arrival, profile.cuts)
     if profile.bins == 1:
         return binned.withColumn(n, _rank_in_bin(arrival)).drop(_BIN)
@@ -126,8 +129,9 @@ def with_ordinal_slice(
     """Add ``slice_of(ordinal)`` for a slice rule that never decreases.
 
     Any suffix of ``df`` that starts at a cut may be passed with the profile of
-    the whole table.
+    the whole table. Rows without an arrival are left out.
     """
+    df = df.filter(F.col(arrival).isNotNull())
     if profile.bins == 1:
         ranked = with_ordinal(df, profile, arrival, "__n")
         return ranked.withColumn(slice_col, slice_of(F.col("__n"))).drop("__n")

@@ -4,7 +4,8 @@ A small K is an ordinary ``orderBy().limit()`` or ``row_number() <= k``. A hot
 budget is a fraction of all accesses, though, and K rows of a large table must
 not meet in one task. Beyond ``SMALL_K`` the K-th row is located first, by
 narrowing between pivots with counting jobs that shuffle a handful of rows, and
-the selection becomes a plain filter. Both ways return exactly the same rows.
+the selection becomes a plain filter. Both ways return exactly the same rows. A row
+whose group, value or tie-breaker is null has no rank, and neither way returns it.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ def top_k(df: DataFrame, k: int, by: str = "est", tie: str = "key", small_k: int
     """The first ``k`` rows by ``by`` descending, ``tie`` ascending (unique)."""
     if k <= 0:
         return df.limit(0)
+    df = df.dropna(subset=[by, tie])
     order = [F.desc(by), F.asc(tie)]
     if k <= (SMALL_K if small_k is None else small_k):
         return df.orderBy(*order).limit(k)
@@ -49,6 +51,7 @@ def top_k_by_group(
     largest = k if isinstance(k, int) else max(k.values(), default=0)
     if largest <= 0:
         return df.limit(0)
+    df = df.dropna(subset=[group, by, tie])
     if largest <= (SMALL_GROUP_K if small_k is None else small_k):
         place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(by), F.asc(tie)))
         ranked = df.withColumn("__place", place).filter(F.col("__place") <= F.lit(largest))
@@ -73,6 +76,7 @@ def kth_and_next(
     """The ``k``-th and the ``k + 1``-th largest ``by``, where they exist."""
     if k <= 0:
         return None, None
+    df = df.dropna(subset=[by])
     if k <= (SMALL_K if small_k is None else small_k):
         row = (
             df.select(by).orderBy(F.desc(by)).limit(k + 1)
@@ -110,6 +114,7 @@ def nth_by_group(
     rows left is finished with a window. The driver holds a few numbers per group.
     """
     settle = SETTLE_ROWS if settle is None else settle
+    df = df.dropna(subset=[group, col])
     sizes = {r[group]: r["rows"] for r in df.groupBy(group).agg(F.count("*").alias("rows")).collect()}
     open_groups = {}
     for g, w in want.items():
@@ -243,7 +248,7 @@ def kth_row(
     df: DataFrame, k: int, by: str = "est", tie: str = "key", small_k: int | None = None
 ) -> tuple[object, object] | None:
     """``(by, tie)`` of the ``k``-th row; ``None`` when there are fewer rows."""
-    pairs = df.select(by, tie)
+    pairs = df.select(by, tie).dropna()
     if k <= (SMALL_K if small_k is None else small_k):
         ranked = pairs.orderBy(F.desc(by), F.asc(tie)).limit(k)
         row = (
@@ -284,5 +289,6 @@ def _keep_cut(df: DataFrame, group: str, want: Mapping[int, int], by: str, tie:
 
 
 def at_or_before(value: Column, last: Column, by: str = "est", tie: str = "key") -> Column:
-    """Whether a row ranks no later than the row ``(value, last)``."""
-    return (F.col(by) > value) | ((F.col(by) == value) & (F.col(tie) <= last))
+    """Whether a row ranks no later than the row ``(value, last)``; false without a rank."""
+    inside = (F.col(by) > value) | ((F.col(by) == value) & (F.col(tie) <= last))
+    return F.col(by).isNotNull() & F.col(tie).isNotNull() & inside

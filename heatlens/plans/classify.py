@@ -41,9 +41,10 @@ class TraceSpan:
 
 
 def span_frame(accesses: DataFrame) -> DataFrame:
-    """``(rows, first, last, low, high)``. Without an arrival column the clock is the order."""
+    """``(rows, first, last, low, high)`` of the accesses that have a time. Without an
+    arrival column the clock is the order."""
     by_arrival = "arrival" in accesses.columns
-    return accesses.agg(
+    return accesses.dropna(subset=["ts"]).agg(
         F.count("*").alias("rows"),
         (F.min_by("ts", "arrival") if by_arrival else F.min("ts")).alias("first"),
         (F.max_by("ts", "arrival") if by_arrival else F.max("ts")).alias("last"),
@@ -109,6 +110,7 @@ def clock_heat(
     """
     if in_order is None:
         in_order = "arrival" not in accesses.columns
+    accesses = accesses.dropna(subset=["ts"])
     interval = span.interval(params.slice_count)
     number = sl.timestamp_slice("ts", span.first, interval)
     # slices before the first one need the general fold
@@ -139,7 +141,8 @@ def time_partial_heat(
     """``(part, key, partial)`` of either time-partition rule."""
     rule = sl.memory_time_partition if in_memory else sl.file_time_partition
     part, number = rule("ts", span.first, span.interval(params.slice_count), params.slice_count, params.buckets)
-    tagged = accesses.select("key", "arrival", part.alias("part"), number.alias("slice"))
+    timed = accesses.dropna(subset=["ts"])
+    tagged = timed.select("key", "arrival", part.alias("part"), number.alias("slice"))
     if in_memory:
         return tp.partial_by_slice_number(tagged, params.alpha)
     return tp.partial_by_slice_rank(tagged, params.slices_per_part, params.slice_count, params.alpha)

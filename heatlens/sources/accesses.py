@@ -27,10 +27,15 @@ def as_micros(df: DataFrame, column: str) -> Column:
 def accesses_from(
     df: DataFrame, key: str, ts: str | None = None, arrival: str | None = None
 ) -> DataFrame:
-    """``key`` with ``ts`` and ``arrival`` where given. ``arrival`` must be unique."""
+    """``key`` with ``ts`` and ``arrival`` where given. ``arrival`` must be unique.
+
+    A row without a key or without an arrival is no access and is left out here, once,
+    before anything is counted. Rows without ``ts`` are left out where the clock is used.
+    """
     cols = [F.col(key).alias("key")]
     if ts is not None:
         cols.append(as_micros(df, ts).alias("ts"))
     if arrival is not None:
         cols.append(F.col(arrival).alias("arrival"))
-    return df.select(*cols)
+    needed = ["key"] if arrival is None else ["key", "arrival"]
+    return df.select(*cols).dropna(subset=needed)

@@ -35,7 +35,7 @@ def test_search_finds_the_exact_hot_set(spark, seed, k_hot):
     searched = bw.threshold_search(
         bw.tail_of(df), end, k_hot, budgets, lambda d: d.withColumn("bucket", key_bucket("key", 4)), first_span=8
     )
-    assert pairs(searched.hot) == pairs(found.hot)
+    assert pairs(searched.hot) == pytest.approx(pairs(found.hot), rel=1e-12)
 
 
 def test_some_searches_stop_early(spark):
@@ -64,7 +64,7 @@ def test_large_budgets_take_the_counting_path(spark, monkeypatch):
     for module in (sel, bw):
         monkeypatch.setattr(module, "SMALL_K", 0)
     monkeypatch.setattr(sel, "SETTLE_ROWS", 10)
-    assert pairs(bw.backward_hot_set(bw.tail_of(df), 150, 13).hot) == want
+    assert pairs(bw.backward_hot_set(bw.tail_of(df), 150, 13).hot) == pytest.approx(want, rel=1e-12)
 
 
 def test_bounds_close_in(spark):
@@ -107,3 +107,27 @@ def test_missing_kth_excludes_nothing(spark):
     assert prune_candidates(bounds, None).count() == 2 and prune_candidates(bounds, 0.1).count() == 1
     assert admission_threshold(None, 9) == admission_threshold(0.0, 9) == overlap_slice_bound(None, 9) == float("-inf")
     assert 0 < admission_threshold(0.05, 100) < 100
+
+
+@pytest.mark.parametrize("slices", [2_000, 30_000])
+def test_old_keys_keep_their_order(spark, slices):
+    """Estimates far below 1e-12, and below what a double can hold, still rank."""
+    step = slices // 500
+    rows = [(7 * s % 1_009, s) for s in range(step, slices + 1, step)]
+    df = spark.createDataFrame(rows, "key bigint, slice bigint")
+    newest = {key for key, _ in rows[-250:]}
+    assert set(pairs(bw.backward_hot_set(bw.tail_of(df), slices, 250).hot)) == newest
+    searched = bw.threshold_search(
+        bw.tail_of(df), slices, 250, {0: 60}, lambda d: d.withColumn("bucket", key_bucket("key", 1))
+    )
+    assert set(pairs(searched.hot)) == newest
+
+
+def test_finalized_at_a_threshold_between(spark):
+    bounds = spark.createDataFrame(
+        [(k, 0.1 * k, 0.1 * k, 0.1 * k) for k in range(1, 6)], "key long, est double, lower double, upper double"
+    )
+    for k in (1, 3):
+        found = bw.finalize_hot_set(bounds, bw.threshold_between(bounds, k))
+        assert [r["key"] for r in found.collect()] == [*range(6 - k, 6)]
+    assert bw.finalize_hot_set(bounds, bw.threshold_between(bounds, 9)).count() == 5

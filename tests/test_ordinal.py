@@ -78,3 +78,22 @@ def test_slice_formulas(spark):
         assert r["tail"] == sl.tail_end(rows, size, slices) - (rows - 1 - n) // size >= 1
     assert sl.fixed_end(rows, 26) == (rows + 1) // 26 + 1
     assert sl.slice_size_from_bytes(78_896, 100) == 10
+
+
+@pytest.mark.parametrize("rows_per_bin", [10, 250, 10_000])
+def test_rows_without_an_arrival_are_left_out(spark, skewed, rows_per_bin):
+    values, df = skewed
+    holes = df.unionByName(spark.range(300).select("id", F.lit(None).cast("bigint").alias("arrival")).toDF(*df.columns))
+    profile = profile_arrival(holes, rows_per_bin=rows_per_bin)
+    assert profile.rows == len(values)
+    assert {r["arrival"]: r["n"] for r in with_ordinal(holes, profile).collect()} == {v: i for i, v in enumerate(values)}
+    sliced = with_ordinal_slice(holes, profile, lambda n: sl.forward_slice(n, 33))
+    assert sliced.count() == len(values)
+
+
+def test_times_before_the_first_access_fall_into_the_first_part(spark):
+    df = spark.createDataFrame([(-900,), (0,), (35,), (999,)], "ts bigint")
+    for rule, first in ((sl.file_time_partition, 1), (sl.memory_time_partition, 1)):
+        part, number = rule("ts", 0, 10, 8, 2)
+        found = [(r[0], r[1]) for r in df.orderBy("ts").select(part, number).collect()]
+        assert found[0] == found[1] == (0, first) and all(0 <= p <= 1 for p, _ in found)

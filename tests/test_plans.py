@@ -57,5 +57,5 @@ def test_small_rankings_are_cut_before_the_shuffle(spark):
 
 
 def test_estimates_aggregate_before_they_shuffle(events):
-    found = plan(cl.clock_heat(events, HeatParams(), cl.trace_span(events)))
+    found = plan(cl.clock_heat(events, HeatParams(), cl.trace_span(events), in_order=True))
     assert "partial_sum" in found and "Window" not in found and found.count("Exchange") == 2

@@ -78,3 +78,23 @@ def test_kth_row(ranked, k, small_k):
     rows, df = ranked
     expected = (order(rows)[k - 1][3], order(rows)[k - 1][1]) if k <= 6000 else None
     assert sel.kth_row(df, k, small_k=small_k) == expected
+
+
+@pytest.mark.parametrize("small_k", [100_000, 0])
+def test_nulls_have_no_rank(spark, small_k):
+    rows = [(None, 1, 0.9), (0, None, 0.8), (0, 3, None), (0, 4, 0.5), (0, 5, 0.5), (1, 6, 0.1)]
+    df = spark.createDataFrame(rows, "bucket int, key bigint, est double")
+    assert [r["key"] for r in sel.top_k(df, 2, small_k=small_k).collect()] == [1, 4]
+    assert {r["key"] for r in sel.top_k_by_group(df, "bucket", 2, small_k=small_k).collect()} == {4, 5, 6}
+    assert sel.kth_row(df, 3, small_k=small_k) == (0.5, 5)
+    assert sel.kth_and_next(df, 5, "est", small_k=small_k) == (0.1, None)
+
+
+def test_labels_without_a_rank_are_cold(spark):
+    from heatlens.operators.hotset import label_hot
+
+    df = spark.createDataFrame([(1, 0.5), (None, 0.5), (3, None), (4, 0.1)], "key bigint, est double")
+    for k in (0, 1, 9):
+        hot = [r["key"] for r in label_hot(df, k).filter("is_hot").collect()]
+        assert sorted(hot) == {0: [], 1: [1], 9: [1, 4]}[k]
+        assert label_hot(df, k).filter("is_hot is null").count() == 0
