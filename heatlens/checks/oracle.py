@@ -420,6 +420,10 @@ sizes AS (SELECT (SELECT count(*) FROM a WHERE key IN (SELECT key FROM b)) AS n_
         f"SELECT key, est, r <= {_budget('total', FRACTION)} AS is_hot FROM placed, tot",
     ),
     "classify_forward": _top(HEAT, EVENT_K),
+    "classify_text_trace": _top(
+        HEAT.replace("FROM events)", "FROM events WHERE event_type <> 'error')"),
+        f"SELECT {_budget('total', WIDE.hot_fraction)} FROM tot",
+    ),
     "classify_neighbor": _top(f"{COUNT_SLICED}, {NEIGHBOR}", EVENT_K, source="reused"),
     "classify_by_block": _top(
         f"{LINE_HEAT}, {BLOCK_LISTS}",

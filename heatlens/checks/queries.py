@@ -93,9 +93,12 @@ def _numbered(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
 # Scans, sources, sinks
 
 
-def _trace_text(spark: SparkSession, folder: str) -> str:
-    """The events written as trace lines; those of errors lack the last field."""
+def _trace_text(spark: SparkSession, folder: str, files: int | None = None) -> str:
+    """The events written as trace lines; those of errors lack the last field. With
+    ``files``, so many follow one another in arrival order."""
     events = _table(spark, folder, "events")
+    if files is not None:
+        events = events.repartitionByRange(files, "event_id").sortWithinPartitions("event_id")
     path = staging_path(spark, "lines")
     digest = F.when(F.col("event_type") != "error", F.md5(F.col("props").cast("binary")))
     tr.write_lines(
@@ -502,9 +505,9 @@ def topk_merge(spark, folder):
     heat, rows = _heat(spark, folder)
     k = EVENTS.budget(rows)
     bucketed = heat.withColumn("bucket", key_bucket("key", BUCKETS))
+    # one relation holds all lists, so the merge is one ranking over one plan
     ranked = sel.top_k_by_group(bucketed, "bucket", k)
-    lists = [ranked.filter(F.col("bucket") == b).select("key", "est") for b in range(BUCKETS)]
-    return hotset.merge_ranked(lists, k)
+    return hotset.merge_ranked([ranked.select("key", "est")], k)
 
 
 @query
@@ -558,6 +561,13 @@ def classify_forward(spark, folder):
     return cl.classify_forward(_events(spark, folder), EVENTS)
 
 
+@query
+def classify_text_trace(spark, folder):
+    """From text in several files, by its order in them, to a hot set."""
+    trace = tr.with_file_order(tr.read_trace(spark, _trace_text(spark, folder, files=5)))
+    return cl.classify_forward(tr.trace_accesses(trace), WIDE)
+
+
 @query
 def classify_neighbor(spark, folder):
     return cl.classify_neighbor(_events(spark, folder), EVENTS)

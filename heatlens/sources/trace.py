@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from heatlens.staging import stage
+from heatlens.staging import small_table, stage
 
 # The positional layout of a trace line. Only ``ts`` and ``block``
 # matter to the estimators.
@@ -73,17 +73,13 @@ def with_file_order(rows: DataFrame, n: str = "n") -> DataFrame:
     Rows of a file block are read by one task in file order, so a running id
     numbers them without a shuffle. The numbered rows are written once: a second
     scan of the text could be split differently. Each block's offset then
-    comes from a table with one row per block.
+    comes from a table with one row per block, summed up in ranges of blocks.
     """
     numbered = stage(rows.withColumn("__line", F.monotonically_increasing_id()), "trace")
     blocks = numbered.groupBy("file", "block_start").agg(
         F.min("__line").alias("__first"), F.count("*").alias("__rows")
     )
-    earlier = Window.orderBy("file", "block_start").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = stage(
-        blocks.withColumn("__offset", F.coalesce(F.sum("__rows").over(earlier), F.lit(0))).drop("__rows"),
-        "blocks",
-    )
+    blocks = stage(_with_offset(blocks), "blocks")
     if blocks.count() <= BROADCAST_BLOCKS:
         blocks = F.broadcast(blocks)
     return (
@@ -93,6 +89,36 @@ def with_file_order(rows: DataFrame, n: str = "n") -> DataFrame:
     )
 
 
+def _with_offset(blocks: DataFrame) -> DataFrame:
+    """``__offset``, the rows of all earlier file blocks, in place of ``__rows``.
+
+    Blocks are sorted into ranges, written with their range, and summed within it; the
+    driver holds one total per range, of which there are as many as shuffle partitions.
+    """
+    spark = blocks.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = stage(
+        blocks.repartitionByRange(ranges, "file", "block_start").withColumn("__range", F.spark_partition_id()),
+        "ranges",
+    )
+    totals = placed.groupBy("__range").agg(F.sum("__rows").alias("rows")).orderBy("__range").collect()
+    starts, running = [], 0
+    for r in totals:
+        starts.append((r["__range"], running))
+        running += r["rows"]
+    table = small_table(spark, starts, "__range int, __start bigint")
+    earlier = (
+        Window.partitionBy("__range").orderBy("file", "block_start").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    inside = F.coalesce(F.sum("__rows").over(earlier), F.lit(0))
+    return (
+        placed.withColumn("__offset", inside)
+        .join(F.broadcast(table), "__range")
+        .withColumn("__offset", F.col("__start") + F.col("__offset"))
+        .drop("__rows", "__range", "__start")
+    )
+
+
 def trace_accesses(trace: DataFrame, key: str = "block", ts: str = "ts", arrival: str = "n") -> DataFrame:
     """``(key, ts, arrival)``: the two fields that count, and the order."""
     return trace.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(
@@ -105,10 +131,12 @@ def newest_first(accesses: DataFrame, order: str = "arrival") -> DataFrame:
     return accesses.orderBy(F.desc(order))
 
 
-def write_tagged(tagged: DataFrame, path: str, by: str) -> None:
+def write_tagged(tagged: DataFrame, path: str, by: str, files: int = 16) -> None:
     """Write a tagged trace as Parquet, one folder per ``by`` (a block bucket or a
-    time partition). No shuffle: each task writes its share of each folder."""
-    tagged.write.mode("error").partitionBy(by).parquet(path)
+    time partition). Rows are first spread over up to ``files`` shares of each folder, so
+    a folder has that many files at most and a hot one is still written by many tasks."""
+    share = F.pmod(F.xxhash64(*tagged.columns), F.lit(files))
+    tagged.repartition(F.col(by), share).write.mode("error").partitionBy(by).parquet(path)
 
 
 def read_tagged(spark: SparkSession, path: str) -> DataFrame:
