@@ -6,9 +6,11 @@ exact number of rows between neighbouring cuts. Cuts and counts are at most
 hold much more than its share, however the arrivals crowd together.
 A row's ordinal is then its bin's offset plus its rank inside the bin.
 
-Slices need less than that: a bin that lies wholly inside one slice gives all its
-rows that slice straight from the bin table. Only bins which a slice boundary
-crosses are ranked, so most rows are never shuffled.
+Slices need less than that: only the first arrival of each slice. It is found by
+ranking the bare arrivals of the bins in which a slice starts; a row's slice is then
+looked up among at most ``MAX_STARTS`` starts, and no row is shuffled. With more slices,
+a bin that lies wholly inside one slice gives all its rows that slice straight from
+the bin table, and only the rows of bins which a slice boundary crosses are ranked.
 """
 
 from __future__ import annotations
@@ -26,6 +28,10 @@ from heatlens.staging import small_table
 
 ROWS_PER_BIN = 1_000_000
 MAX_BINS = 16_384
+# Slices are looked up among at most so many starts.
+MAX_STARTS = 16_384
+# Integers up to here are exact as doubles.
+EXACT_DOUBLE = 2**53
 # Rows sampled per bin to place the cuts.
 SAMPLE_PER_BIN = 200
 _BIN = "__bin"
@@ -141,9 +147,18 @@ def with_ordinal_slice(
             [(i, o, o + c - 1) for i, (o, c) in enumerate(zip(profile.offsets, profile.counts)) if c],
             f"{_BIN} int, __offset bigint, __last bigint",
         )
+        .withColumn("__before", slice_of(F.greatest(F.col("__offset") - 1, F.lit(0))))
         .withColumn("__low", slice_of(F.col("__offset")))
         .withColumn("__high", slice_of(F.col("__last")))
     )
+    ends = table.agg(F.min("__low").alias("low"), F.max("__high").alias("high")).first()
+    if ends["high"] - ends["low"] <= MAX_STARTS:
+        starts = _slice_starts(df, profile, slice_of, arrival, table)
+        if not starts:
+            # a suffix inside the last slice
+            return df.withColumn(slice_col, F.lit(ends["high"]).cast(table.schema["__low"].dataType))
+        if starts[-1][0] - starts[0][0] <= EXACT_DOUBLE:
+            return _look_up(df, starts, table.schema["__low"].dataType.simpleString(), arrival, slice_col)
     inside = table.filter("__low = __high").select(_BIN, F.col("__low").alias(slice_col))
     crossed = table.filter("__low < __high").select(_BIN, "__offset")
     binned = _with_bin(df, arrival, profile.cuts)
@@ -154,3 +169,36 @@ def with_ordinal_slice(
         .drop(_BIN, "__offset")
     )
     return settled.unionByName(ranked)
+
+
+def _slice_starts(
+    df: DataFrame, profile: ArrivalProfile, slice_of: Callable[[Column], Column], arrival: str, table: DataFrame
+) -> list[tuple[int, int, int]]:
+    """``(arrival, slice, slice before)`` of the first row of each slice but the first one,
+    in order. Ranks nothing but the arrivals of bins in which a slice starts."""
+    opened = table.filter("__before < __high").select(_BIN, "__offset")
+    n = F.col("__n")
+    ranked = (
+        _with_bin(df.select(arrival), arrival, profile.cuts)
+        .join(F.broadcast(opened), _BIN)
+        .withColumn("__n", F.col("__offset") + _rank_in_bin(arrival))
+        .select(arrival, slice_of(n).alias("slice"), slice_of(F.greatest(n - 1, F.lit(0))).alias("before"))
+    )
+    return sorted(map(tuple, ranked.filter("slice <> before").collect()))
+
+
+def _look_up(
+    df: DataFrame, starts: list[tuple[int, int, int]], number: str, arrival: str, slice_col: str
+) -> DataFrame:
+    """Add the slice by a binary search of the arrival among the starts: no shuffle."""
+    first, last = starts[0][0], starts[-1][0]
+    # distances from the first start: exact as doubles where they are compared
+    near = F.least(F.greatest(F.col(arrival), F.lit(first - 1)), F.lit(last)) - F.lit(first)
+    search = Bucketizer(
+        splits=[-math.inf, *(float(at - first) for at, _, _ in starts), math.inf], inputCol=_POS, outputCol=_BIN
+    )
+    slices = [starts[0][2], *(opened for _, opened, _ in starts)]
+    named = small_table(df.sparkSession, list(enumerate(slices)), f"{_BIN} int, {slice_col} {number}")
+    placed = search.transform(df.withColumn(_POS, near.cast("double")))
+    placed = placed.withColumn(_BIN, F.coalesce(F.col(_BIN).cast("int"), F.lit(-1))).drop(_POS)
+    return placed.join(F.broadcast(named), _BIN).drop(_BIN)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heatlens.functions import slices as sl
+from heatlens.operators import ordinal
 from heatlens.operators.ordinal import profile_arrival, with_ordinal, with_ordinal_slice
 
 
@@ -30,16 +31,28 @@ def test_ordinal(skewed, rows_per_bin):
     assert found == {v: i for i, v in enumerate(values)}
 
 
+@pytest.mark.parametrize("starts", [0, 16_384])
 @pytest.mark.parametrize("rows_per_bin", [10, 250, 10_000])
 @pytest.mark.parametrize("size", [1, 33, 700])
-def test_ordinal_slice(skewed, rows_per_bin, size):
+def test_ordinal_slice(skewed, monkeypatch, rows_per_bin, size, starts):
     values, df = skewed
+    monkeypatch.setattr(ordinal, "MAX_STARTS", starts)
     profile = profile_arrival(df, rows_per_bin=rows_per_bin)
     sliced = with_ordinal_slice(df, profile, lambda n: sl.forward_slice(n, size))
     found = {r["arrival"]: r["slice"] for r in sliced.collect()}
     assert found == {v: 1 + -(-i // size) for i, v in enumerate(values)}
 
 
+@pytest.mark.parametrize("low", [-(2**63), 2**62, 2**63 - 9001])
+def test_slices_of_arrivals_beyond_exact_doubles(spark, low):
+    """Neighbouring arrivals that are equal as doubles, and a range too wide for doubles."""
+    for values in ([low + 3 * i for i in range(3000)], sorted({-(2**63), *range(low, low + 2000), 2**63 - 1})):
+        df = spark.createDataFrame([(v % 7, v) for v in values], "key bigint, arrival bigint").repartition(3)
+        profile = profile_arrival(df, rows_per_bin=400)
+        found = {r["arrival"]: r["slice"] for r in with_ordinal_slice(df, profile, lambda n: sl.total_slice(n, 7)).collect()}
+        assert found == {v: i // 7 + 1 for i, v in enumerate(values)}
+
+
 def test_slices_of_a_suffix(skewed):
     values, df = skewed
     profile = profile_arrival(df, rows_per_bin=100)

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from heatlens import HeatParams, accesses_from
-from heatlens.operators.ordinal import profile_arrival
+from heatlens.operators import ordinal
+from heatlens.operators.ordinal import profile_arrival, with_ordinal_slice
 from heatlens.operators.selection import top_k_by_group
 from heatlens.plans import classify as cl
 
@@ -43,11 +44,27 @@ def test_newest_slices_are_read_with_a_pushed_filter(events):
     assert recent.count() <= 3 * HeatParams(slices=20).slice_size(profile.rows)
 
 
-def test_settled_bins_are_not_shuffled(events):
-    """With slices far longer than bins, some rows get their slice by a lookup."""
+def sliced_plan(events):
     profile = profile_arrival(events, rows_per_bin=20)
-    heat = cl.ordinal_tail(events, profile, lambda n: cl.sl.total_slice(n, 400), lambda t: (t - 1) * 400)(1)
-    found = plan(heat)
+    return plan(with_ordinal_slice(events.select("key", "arrival"), profile, lambda n: cl.sl.total_slice(n, 400)))
+
+
+def test_slices_are_looked_up_in_one_scan_without_a_shuffle(events):
+    found = sliced_plan(events)
+    assert "Exchange hashpartitioning" not in found and "Window" not in found and found.count("FileScan") == 1
+    assert "ReadSchema: struct<event_id:bigint,user_id:bigint>" in found
+
+
+def test_forward_shuffles_keys_only(events):
+    found = plan(cl.forward_heat(events, HeatParams(), profile_arrival(events, rows_per_bin=20)))
+    assert found.count("Exchange hashpartitioning") <= 2 and "hashpartitioning(__bin" not in found
+
+
+def test_settled_bins_are_not_shuffled(events, monkeypatch):
+    """With more slices than are looked up, and slices far longer than bins, some rows get
+    theirs from the bin table."""
+    monkeypatch.setattr(ordinal, "MAX_STARTS", 0)
+    found = sliced_plan(events)
     assert "Union" in found and found.count("Exchange hashpartitioning(__bin") == 1
 
 
