@@ -482,7 +482,7 @@ def tighten_bounds(spark, folder):
 def finalize_hot_set(spark, folder):
     tail, end, k = _tail(spark, folder)
     bounds = _bounds(tail, end, span=end)
-    return bw.finalize_hot_set(bounds, bw.threshold_between(bounds, k)).select("key", "est")
+    return bw.finalize_hot_set(bounds, bw.threshold_between(bounds, k), k).select("key", "est")
 
 
 # Rankings and comparisons

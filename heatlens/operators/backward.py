@@ -116,17 +116,23 @@ def threshold_counts(bounds: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def finalize_hot_set(bounds: DataFrame, threshold: float | None) -> DataFrame:
+def finalize_hot_set(bounds: DataFrame, threshold: float | None, k: int | None = None) -> DataFrame:
     """Keys whose upper bound exceeds the threshold, coolest first. The threshold should lie
     between the K-th and the next bound (:func:`threshold_between`): at the K-th itself,
-    bounds that have met would leave that key out."""
-    kept = bounds if threshold is None else bounds.filter(F.col("upper") > F.lit(threshold))
+    bounds that have met would leave that key out. With ``k``, keys at the threshold fill up
+    the set by key when fewer than ``k`` exceed it."""
+    if threshold is None:
+        return bounds.orderBy("est", "key")
+    kept = bounds.filter(F.col("upper") > F.lit(threshold))
+    if k is not None and kept.count() < k:
+        kept = top_k(bounds, k, by="upper")
     return kept.orderBy("est", "key")
 
 
 def threshold_between(bounds: DataFrame, k: int) -> float | None:
     """Half way between the K-th and the next lower bound, so that ``k`` keys clear it
-    unless the two tie; ``None``, which all clear, with no more keys than ``k``."""
+    unless the two tie (:func:`finalize_hot_set` then takes ``k``); ``None``, which all clear,
+    with no more keys than ``k``."""
     kth, following = kth_and_next(bounds, k, "lower")
     return None if kth is None or following is None else (kth + following) / 2
 

@@ -131,3 +131,15 @@ def test_finalized_at_a_threshold_between(spark):
         found = bw.finalize_hot_set(bounds, bw.threshold_between(bounds, k))
         assert [r["key"] for r in found.collect()] == [*range(6 - k, 6)]
     assert bw.finalize_hot_set(bounds, bw.threshold_between(bounds, 9)).count() == 5
+
+
+@pytest.mark.parametrize("k", [1, 2, 4, 6])
+def test_finalized_with_ties_at_the_threshold(spark, k):
+    """One key on top, four tied, one below; and all tied at the maximum."""
+    schema = "key long, est double, lower double, upper double"
+    bounds = spark.createDataFrame([(x, e, e, e) for x, e in [(9, 0.5), (4, 0.2), (2, 0.2), (3, 0.2), (1, 0.2), (7, 0.1)]], schema)
+    found = bw.finalize_hot_set(bounds, bw.threshold_between(bounds, k), k)
+    assert {r["key"] for r in found.collect()} == set([9, 1, 2, 3, 4, 7][:k])
+    level = spark.createDataFrame([(x, 0.2, 0.2, 0.2) for x in range(8, 0, -1)], schema)
+    found = bw.finalize_hot_set(level, bw.threshold_between(level, k), k)
+    assert [r["key"] for r in found.collect()] == list(range(1, k + 1))
