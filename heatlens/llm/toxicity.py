@@ -40,8 +40,6 @@ CLAUSE = re.compile(r"[.!?;:\n]+")
 # A negation covers this many words after it.
 NEGATION_REACH = 3
 STEMS = (4, 5)
-# The insult transducer has this many arcs at most, those that most toxic rows hold.
-MAX_ARCS = 4096
 # The weights are fitted on this many labelled rows at most.
 SAMPLE_DOCS = 20_000
 # A row's features for the fit come from arcs learned without the row's fold.
@@ -141,6 +139,13 @@ def _evidence(t: float, n: float, base: float) -> tuple[float, float]:
     return ratio, np.log((t + 0.5) / (n - t + 0.5)) - np.log(base / (1 - base))
 
 
+def _beyond_chance(t: Column, n: Column, base: float, bound: float) -> Column:
+    """Whether the likelihood ratio of :func:`_evidence` is above ``bound``, give or take rounding."""
+    clean, rows = n - t, F.greatest(n, F.lit(1.0))
+    ratio = 2 * (t * F.ln(t / rows / base) + F.when(clean > 0, clean * F.ln(clean / rows / (1 - base))).otherwise(0.0))
+    return F.when((t >= 2) & (t / rows > base), ratio > bound - 1e-6).otherwise(False)
+
+
 def learn_arcs(rows: DataFrame) -> list[dict[str, float]]:
     """Forms that toxic rows hold beyond chance, with their log odds: learned without each of the
     ``FOLDS`` folds in turn, and last from all. ``rows``: ``fold, text, toxic``; each is counted."""
@@ -161,18 +166,23 @@ def learn_arcs(rows: DataFrame) -> list[dict[str, float]]:
             *[folded(F.lit(1), f).alias(f"n{f}") for f in range(FOLDS)],
         )
     )
-    # Forms of a high share of toxic rows, those with most of them first.
-    share = F.col("t") / F.col("n")
-    kept = counted.filter((F.col("t") > 1) & (share > 0.5)).orderBy(F.desc(F.col("t") * share), "form").limit(MAX_ARCS).collect()
-    learned = []
+    # Every form that passes the bound on all rows or without one of the folds.
+    split, passes = [], F.lit(False)
     for out in range(FOLDS + 1):
         left = totals.sum(axis=0) - (totals[out] if out < FOLDS else 0)
-        arcs = {}
+        base, bound = float(left[1] / max(1, left.sum())), float(2 * np.log(max(1, left.sum())) + 10)
+        split.append((left.all(), base, bound))
         if left.all():
-            bound = 2 * np.log(left.sum()) + 10
+            t, n = (F.col("t") - F.col(f"t{out}"), F.col("n") - F.col(f"n{out}")) if out < FOLDS else (F.col("t"), F.col("n"))
+            passes = passes | (_beyond_chance(t, n, base, bound) & (t / F.greatest(n, F.lit(1.0)) > 0.5))
+    kept = counted.filter(passes).collect()
+    learned = []
+    for out, (both, base, bound) in enumerate(split):
+        arcs = {}
+        if both:
             for r in kept:
                 t, n = (r.t - r[f"t{out}"], r.n - r[f"n{out}"]) if out < FOLDS else (r.t, r.n)
-                ratio, odds = _evidence(t, n, left[1] / left.sum())
+                ratio, odds = _evidence(t, n, base)
                 if ratio > bound and t / n > 0.5:
                     arcs[r.form] = float(odds)
         learned.append(arcs)

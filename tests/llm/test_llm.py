@@ -257,6 +257,16 @@ def test_grammar_composes_the_transducers():
     assert kinds("not a zonk") == ["negated"] and kinds("he said zonk") == ["reported"] and kinds("kill you kill") == ["threat"]
 
 
+def test_every_significant_form_is_an_arc(spark):
+    """Near copies of one long toxic text hold more forms than any list of best forms had places."""
+    letters = "abcdefghij"
+    many = " ".join("".join(letters[int(d)] for d in f"{n:04d}") for n in range(5000))
+    rows = [(n % 5, f"{many} {'x' * (n + 5)}", 1) for n in range(60)]
+    rows += [(n % 5, f"zonk {'y' * (n + 5)}", 1) for n in range(40)] + [(n % 5, f"fine {'z' * (n + 5)}", 0) for n in range(100)]
+    arcs = toxicity.learn_arcs(spark.createDataFrame(rows, "fold int, text string, toxic int"))
+    assert all("zonk" in a and "aaab" in a and len(a) >= 5000 and "fine" not in a for a in arcs)
+
+
 def test_pipeline(spark, data_dir):
     import corpus_pipeline
 
