@@ -4,7 +4,7 @@ Five small transducers read the words of a clause: insults (whole words, and ste
 ending), threats, targets, negation and reported speech. Composed, they are one automaton
 whose state says whether a target was named, how far a negation reaches and whether speech is
 being reported; each insult or threat is emitted as a match in that state with the weight of
-its arc. A document's matches, summed by kind of state, go to a logistic regression, so what a
+its arc. One read before any target waits for a target later in the clause. A document's matches, summed by kind of state, go to a logistic regression, so what a
 negated or reported insult is worth is learned.
 
 Closed classes (pronouns, negators, verbs of speech and of harm) are listed below. Insults are
@@ -67,8 +67,11 @@ class Grammar:
         return weight
 
     def matches(self, clause: list[str]) -> Iterator[tuple[str, str, float]]:
-        """(word, kind, weight) of each match, reading the clause once."""
+        """(word, kind, weight) of each match, reading the clause once. A threat before the target
+        is the same match as that verb again after it."""
         target, reported, reach = False, False, 0
+        waiting: list[tuple[str, bool, float]] = []
+        made: set[str] = set()
         for word in clause:
             weight = self.insult(word)
             threat = word in self.threats
@@ -77,15 +80,24 @@ class Grammar:
                     kind = "negated"
                 elif reported:
                     kind = "reported"
-                elif threat and target:
+                elif not target:
+                    kind = None
+                    waiting.append((word, threat, weight))
+                elif threat:
                     kind, weight = "threat", max(weight, 1.0)
+                    made.add(word)
                 else:
-                    kind = "targeted" if target else "plain"
-                if weight > 0:
+                    kind = "targeted"
+                if kind and weight > 0:
                     yield word, kind, weight
             reach = NEGATION_REACH if word in self.negators else max(0, reach - 1)
             target = target or word in self.targets
             reported = reported or word in self.reporters
+        for word, threat, weight in waiting:
+            if threat and target and word not in made:
+                yield word, "threat", max(weight, 1.0)
+            elif weight > 0:
+                yield word, "targeted" if target else "plain", weight
 
     def features(self, text: str | None) -> np.ndarray:
         """Weight and number of matches of each kind, forms matched, matched clauses."""

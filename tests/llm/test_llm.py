@@ -257,6 +257,20 @@ def test_grammar_composes_the_transducers():
     assert kinds("not a zonk") == ["negated"] and kinds("he said zonk") == ["reported"] and kinds("kill you kill") == ["threat"]
 
 
+@pytest.mark.parametrize("verb_first, target_first, insult_first", [
+    ("i will kill you", "you i will kill", "zonk, you"),
+    ("ich werde töten dich", "ich werde dich töten", "zonk, du"),
+    ("je vais frapper toi", "toi je vais frapper", "zonk, toi"),
+    ("voy a matar ella", "te voy a matar", "zonk, tu"),
+])
+def test_a_target_completes_a_match_in_either_order(verb_first, target_first, insult_first):
+    grammar = toxicity.Grammar({"zonk": 2.0})
+    kinds = lambda text: [k for _, k, _ in grammar.matches(toxicity.WORD.findall(text))]
+    assert kinds(verb_first) == kinds(target_first) == ["threat"] and kinds(insult_first) == ["targeted"]
+    assert kinds(verb_first.rsplit(" ", 1)[0]) == [] and kinds("not " + insult_first) == ["negated"]
+    assert grammar.features(verb_first).any() and not grammar.features("kill the lamp. you").any()
+
+
 def test_every_significant_form_is_an_arc(spark):
     """Near copies of one long toxic text hold more forms than any list of best forms had places."""
     letters = "abcdefghij"
