@@ -186,7 +186,7 @@ def learn_arcs(rows: DataFrame) -> list[dict[str, float]]:
         split.append((left.all(), base, bound))
         if left.all():
             t, n = (F.col("t") - F.col(f"t{out}"), F.col("n") - F.col(f"n{out}")) if out < FOLDS else (F.col("t"), F.col("n"))
-            passes = passes | (_beyond_chance(t, n, base, bound) & (t / F.greatest(n, F.lit(1.0)) > 0.5))
+            passes = passes | _beyond_chance(t, n, base, bound)
     kept = counted.filter(passes).collect()
     learned = []
     for out, (both, base, bound) in enumerate(split):
@@ -195,7 +195,7 @@ def learn_arcs(rows: DataFrame) -> list[dict[str, float]]:
             for r in kept:
                 t, n = (r.t - r[f"t{out}"], r.n - r[f"n{out}"]) if out < FOLDS else (r.t, r.n)
                 ratio, odds = _evidence(t, n, base)
-                if ratio > bound and t / n > 0.5:
+                if ratio > bound:
                     arcs[r.form] = float(odds)
         learned.append(arcs)
     return learned

@@ -281,6 +281,14 @@ def test_every_significant_form_is_an_arc(spark):
     assert all("zonk" in a and "aaab" in a and len(a) >= 5000 and "fine" not in a for a in arcs)
 
 
+def test_a_form_beyond_chance_needs_no_majority(spark):
+    """A word that 45 % of whose rows are toxic, where 11 % of all rows are."""
+    toxic = [(n % 5, f"{'zonk' if n < 90 else 'other'} {'y' * (n + 5)}", 1) for n in range(110)]
+    clean = [(n % 5, f"{'zonk' if n < 110 else 'fine'} {'z' * (n + 5)}", 0) for n in range(890)]
+    arcs = toxicity.learn_arcs(spark.createDataFrame(toxic + clean, "fold int, text string, toxic int"))
+    assert all(a["zonk"] > 0 and "fine" not in a for a in arcs)
+
+
 def test_pipeline(spark, data_dir):
     import corpus_pipeline
 
