@@ -11,7 +11,8 @@ Closed classes (pronouns, negators, verbs of speech and of harm) are listed belo
 learned: a word or stem is an arc if labelled documents that hold it are toxic beyond
 chance, by a likelihood ratio above a bound that grows with the number of forms tested.
 All training rows are counted; equal texts count once. Weights are fitted on a bounded
-sample of training rows, each read with arcs learned from the other folds.
+sample of distinct training texts, each read with arcs learned from the other folds and
+weighted by its rows.
 
 A null or empty text matches nothing and gets the score of a text without matches. Without
 training labels of both kinds every score is 0.
@@ -40,7 +41,7 @@ CLAUSE = re.compile(r"[.!?;:\n]+")
 # A negation covers this many words after it.
 NEGATION_REACH = 3
 STEMS = (4, 5)
-# The weights are fitted on this many labelled rows at most.
+# The weights are fitted on about this many distinct labelled texts at most.
 SAMPLE_DOCS = 20_000
 # A row's features for the fit come from arcs learned without the row's fold.
 FOLDS = 5
@@ -201,16 +202,37 @@ def learn_arcs(rows: DataFrame) -> list[dict[str, float]]:
     return learned
 
 
-def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 30) -> np.ndarray:
-    """Logistic regression by Newton steps; the last weight is the bias."""
+def fit_sample(rows: DataFrame, share: float) -> DataFrame:
+    """``fold, text, toxic, weight``: one row for each drawn text and label. A text is drawn with a
+    probability of ``share`` for each of its rows, and surely with ``1 / share`` of them; those it has
+    beyond that are its weight. ``rows``: ``fold, place, text, toxic``."""
+    held = F.col("copies") * F.lit(share)
+    marked = rows.withColumn("print", F.xxhash64("text"))
+    # one number for each text first; of the texts, only drawn ones are shuffled
+    drawn = (
+        marked.groupBy("print", "toxic")
+        .agg(F.first("place").alias("at"), F.count("*").alias("copies"))
+        .filter(F.floor(F.col("at") / FOLDS) < F.least(held, F.lit(1.0)) * F.lit(1 << 20))
+        .select("print", "toxic", F.greatest(held, F.lit(1.0)).alias("weight"))
+    )
+    return (
+        marked.join(F.broadcast(drawn), ["print", "toxic"])
+        .groupBy("print", "toxic")
+        .agg(*[F.first(c).alias(c) for c in ("fold", "text", "weight")])
+        .select("fold", "text", "toxic", "weight")
+    )
+
+
+def _fit(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.1, rounds: int = 30) -> np.ndarray:
+    """Logistic regression of rows that count ``n`` times, by Newton steps; the last weight is the bias."""
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
-        w -= np.linalg.solve(hessian, x.T @ (p - y) + penalty * w)
+        hessian = (x * (n * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
+        w -= np.linalg.solve(hessian, x.T @ (n * (p - y)) + penalty * w)
     return w
 
 
@@ -222,7 +244,7 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     texts = docs.select(F.col("doc_id").alias("__id"), text_of().alias("text"))
     rows = texts.join(F.broadcast(known) if small else known, "__id")
     place = F.pmod(F.xxhash64("text", F.lit("toxicity")), F.lit(FOLDS << 20))
-    rows = rows.withColumn("fold", (place % FOLDS).cast("int"))
+    rows = rows.withColumn("place", place).withColumn("fold", (F.col("place") % FOLDS).cast("int"))
     *without, arcs = learn_arcs(rows.select("fold", "text", "toxic"))
     grammars = [Grammar(a) for a in without]
     share = min(1.0, SAMPLE_DOCS / max(1, known.count()))
@@ -230,13 +252,14 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             found = [grammars[f].features(t).tolist() for f, t in zip(batch["fold"].to_pylist(), batch["text"].to_pylist())]
-            yield pa.record_batch({"x": pa.array(found, pa.list_(pa.float64())), "toxic": batch["toxic"].cast(pa.int32())})
+            yield pa.record_batch({"x": pa.array(found, pa.list_(pa.float64())), "toxic": batch["toxic"].cast(pa.int32()), "weight": batch["weight"]})
 
-    sampled = rows.filter(F.floor(place / FOLDS) < int(share * (1 << 20))).select("fold", "text", "toxic")
-    got = sorted((tuple(r.x), r.toxic) for r in sampled.mapInArrow(measure, "x array<double>, toxic int").collect())
-    if len({y for _, y in got}) < 2:
+    sampled = fit_sample(rows.select("fold", "place", "text", "toxic"), share)
+    got = sorted((tuple(r.x), r.toxic, r.weight) for r in sampled.mapInArrow(measure, "x array<double>, toxic int, weight double").collect())
+    if len({y for _, y, _ in got}) < 2:
         return ToxicityModel(Grammar(arcs))
-    return ToxicityModel(Grammar(arcs), _fit(np.array([x for x, _ in got]), np.array([y for _, y in got], float)))
+    x, y, n = (np.array(column, float) for column in zip(*got))
+    return ToxicityModel(Grammar(arcs), _fit(x, y, n))
 
 
 def score(docs: DataFrame, model: ToxicityModel, column: str = "score") -> DataFrame:

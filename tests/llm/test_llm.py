@@ -289,6 +289,16 @@ def test_a_form_beyond_chance_needs_no_majority(spark):
     assert all(a["zonk"] > 0 and "fine" not in a for a in arcs)
 
 
+def test_fit_sample_has_a_text_once(spark):
+    """A text that is a third of the rows is one row of the sample, at its weight; a rare one keeps its chance."""
+    rows = [(0, 5 << 18, "copied", 1)] * 2000 + [(n % 5, ((2 * n + 1) * 5 << 20) // 8000, f"text {n}", n % 2) for n in range(4000)]
+    table = spark.createDataFrame(rows, "fold int, place long, text string, toxic int")
+    got = toxicity.fit_sample(table, 0.1).collect()
+    assert [r.weight for r in got if r.text == "copied"] == [pytest.approx(200)]
+    assert len(got) == 401 and {r.weight for r in got if r.text != "copied"} == {1.0}
+    assert sum(r.weight for r in toxicity.fit_sample(table, 1.0).collect()) == 6000
+
+
 def test_pipeline(spark, data_dir):
     import corpus_pipeline
 
