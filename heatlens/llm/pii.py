@@ -3,7 +3,7 @@
 Base spans (email, ip, card, phone) are found by pattern and check, leftmost and
 non-overlapping for each kind, and always stay. Wider patterns give more candidates that do
 not touch a base span: spelled-out mail addresses, phone numbers without a country code,
-national numbers, and secrets. Four labelers look at each candidate, base spans included, and
+national numbers, and secrets, which may touch one. Four labelers look at each candidate, base spans included, and
 vote for, against or abstain: its format, a gazetteer of codes and names, the words before it,
 and its shape. Candidates are counted by kind and votes; on that table, of bounded size,
 expectation-maximisation estimates how reliable each labeler is for each kind, and a logistic
@@ -34,12 +34,13 @@ OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 KINDS = ("email", "ip", "card", "phone", "national", "secret")
 BASE_KINDS = KINDS[:4]
 
-# Wider patterns: kind, a test that few texts pass, pattern.
+# Wider patterns: kind, a test that few texts pass, pattern. Values have no longest length:
+# what is left of a longer one would stay in the text.
 WIDER = (
-    ("email", r"(?i)[(\[]\s?at\s?[)\]]", r"(?i)[A-Za-z0-9._%+-]{1,64} ?[(\[] ?at ?[)\]] ?[A-Za-z0-9-]{1,63}(?:(?:\.| ?[(\[] ?dot ?[)\]] ?)[A-Za-z0-9-]{1,63}){1,8}"),
+    ("email", r"(?i)[(\[]\s?at\s?[)\]]", r"(?i)(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++ ?[(\[] ?at ?[)\]] ?[A-Za-z0-9-]++(?:(?:\.| ?[(\[] ?dot ?[)\]] ?)[A-Za-z0-9-]++)++"),
     ("phone", r"[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}", r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
     ("national", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    ("secret", r"(?i)(?:password|passwd|secret|token|api_?key)[=:]|AKIA[0-9A-Z]{12}", r"(?i:password|passwd|secret|token|api_?key)[=:][^\s,;]{6,128}|AKIA[0-9A-Z]{12,32}"),
+    ("secret", r"(?i)(?:password|passwd|secret|token|api_?key)[=:]|AKIA[0-9A-Z]{12}", r"(?i:password|passwd|secret|token|api_?key)[=:][^\s,;]{6,}+|AKIA[0-9A-Z]{12,}+"),
 )
 
 # What the labelers know.
@@ -118,7 +119,8 @@ def base_spans(text: Column) -> Column:
 def _wider_spans(text: Column, base: Column) -> Column:
     wider = F.concat(*[_matches(text, text.rlike(test), pattern, kind, False) for kind, test, pattern in WIDER])
     touches = lambda s: F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return F.filter(wider, lambda s: ~touches(s))
+    # a long secret may hold what looks like a base span and is a secret all the same
+    return F.filter(wider, lambda s: (s["kind"] == "secret") | ~touches(s))
 
 
 def _by_kind(kind: Column, cases: dict[str, Column], other: Column) -> Column:

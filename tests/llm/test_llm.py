@@ -160,6 +160,19 @@ def test_url_filter(spark):
     assert url_filter.judge(pages, rules).count() == len(urls) * 2 and url_filter.judge(pages, rules.limit(0)).count() == len(urls) * 2
 
 
+def test_mask_takes_long_values_whole(spark):
+    key, name = "Ab1-_" * 200, "n4me" * 30
+    texts = [
+        *[f"login user password={'x1' * n} end" for n in range(4, 24)],
+        f"aws api_key={key} end", f"access token={key}, end", f"user key AKIA{'Z9' * 100} end", f"write to {name} [at] example (dot) com end",
+        f"access token={key}+4111111111111111&to=a@b.com&{key} end",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.mask(rows).collect()}
+    assert [got[n] for n in range(20, 24)] == ["aws [secret] end", "access [secret], end", "user key [secret] end", "write to [email] end"]
+    assert got[24] == "access [secret] end"
+
+
 def test_token_files(spark, docs):
     exact, path = Tokenizer.from_file(BYTE_BPE), staging_path(spark, "test-tokens")
     token_files.write_token_files(docs, path, BYTE_BPE, 2)
