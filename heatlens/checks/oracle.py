@@ -163,6 +163,24 @@ partials AS (
   FROM once JOIN ranked USING (part, slice) JOIN firsts USING (part, key) GROUP BY ALL)"""
 
 
+# in arrival order, change by change
+RUN_PARTIAL = f"""acc AS ({ORDERS}),
+span AS (SELECT min(ts) AS first, greatest(1, (max(ts) - min(ts)) // {SLICES}) AS interval_ FROM acc),
+raw AS (SELECT key, n, (ts - first) // interval_ + 1 AS s FROM acc, span),
+timed AS (
+  SELECT key, n, CASE WHEN s // {SPP} >= {BUCKETS} THEN {SLICES} ELSE s END AS slice,
+         CASE WHEN s // {SPP} >= {BUCKETS} THEN {BUCKETS - 1} ELSE s // {SPP} END AS part
+  FROM raw),
+marked AS (
+  SELECT *, coalesce(slice <> lag(slice) OVER (PARTITION BY part ORDER BY n), true)::INT AS opens,
+         slice <> lag(slice) OVER (PARTITION BY part, key ORDER BY n) AS counts
+  FROM timed),
+stepped AS (SELECT *, sum(opens) OVER (PARTITION BY part ORDER BY n) AS j FROM marked),
+partials AS (
+  SELECT part, key,
+         sum(CASE WHEN counts THEN pow({L}, greatest({SPP} - j + opens, -1)) ELSE 0::DOUBLE END) AS partial
+  FROM stepped GROUP BY ALL)"""
+
 MEM_PARTIAL = f"""numbered AS (SELECT *, row_number() OVER (PARTITION BY part, key ORDER BY arrival) AS r FROM timed),
 partials AS (
   SELECT part, key, sum(CASE WHEN r > 1 THEN pow({L}, slice) ELSE 0::DOUBLE END) AS partial
@@ -336,6 +354,9 @@ FROM heat""",
         f"{FILE_TIMED}, {_rank_partial(SPP)}",
         f"SELECT part, key, round(partial, {DIGITS}) AS partial FROM partials",
     ),
+    "heat_time_partial_runs": _with(
+        RUN_PARTIAL, f"SELECT part, key, round(partial, {DIGITS}) AS partial FROM partials"
+    ),
     "heat_time_partial_mem": _with(
         f"{MEM_TIMED}, {MEM_PARTIAL}", f"SELECT part, key, round(partial, {DIGITS}) AS partial FROM partials"
     ),

@@ -349,6 +349,13 @@ def heat_time_partial(spark, folder):
     return _rounded(_partials(spark, folder), "partial")
 
 
+@query
+def heat_time_partial_runs(spark, folder):
+    """On orders, whose clock runs backwards."""
+    orders = _orders(spark, folder)
+    return _rounded(cl.time_partial_heat(orders, EVENTS, cl.trace_span(orders.select("key", "ts"))), "partial")
+
+
 @query
 def heat_time_partial_mem(spark, folder):
     return _rounded(_partials(spark, folder, in_memory=True), "partial")

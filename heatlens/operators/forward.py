@@ -29,16 +29,17 @@ def slice_dedup(df: DataFrame, key: str = "key", slice_col: str = "slice", order
 
 
 def run_starts(
-    df: DataFrame, key: str = "key", slice_col: str = "slice", order: str = "n", rows_per_bin: int = 1_000_000
+    df: DataFrame, key: str = "key", slice_col: str = "slice", order: str = "n", rows_per_bin: int = 1_000_000,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Rows whose slice differs from the same key's previous row in arrival order;
-    ``opens`` marks a key's very first one.
+    ``opens`` marks a key's very first one. Columns in ``keep`` come along.
 
     Needed when slices may go back in time. ``order`` is the dense arrival
     ordinal. A hot key is cut into runs of ``rows_per_bin`` arrivals, each checked
     on its own; only the first row of each run looks back to the key's run before.
     """
-    rows = df.select(key, slice_col, order).withColumn("__bin", int_div(order, rows_per_bin))
+    rows = df.select(key, slice_col, order, *keep).withColumn("__bin", int_div(order, rows_per_bin))
     inside = Window.partitionBy(key, "__bin").orderBy(order)
     # over the whole run: a frame from here on would be summed anew for every row
     whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -54,7 +55,7 @@ def run_starts(
         .filter(F.col("__before").isNull() | (F.col("__before") != F.col(slice_col)))
         .withColumn("opens", F.col("__before").isNull())
     )
-    return changed.unionByName(opened).select(key, slice_col, order, "opens")
+    return changed.unionByName(opened).select(key, slice_col, order, "opens", *keep)
 
 
 def heat_forward(

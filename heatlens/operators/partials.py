@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from heatlens.functions.decay import decay
+from heatlens.functions.slices import int_div
+from heatlens.operators.forward import run_starts
 from heatlens.params import DEFAULT_ALPHA
 
 # More (part, slice) rows than this are joined by shuffle, not by broadcast.
@@ -52,6 +54,43 @@ def partial_by_slice_rank(
     )
 
 
+def partial_by_slice_run(
+    df: DataFrame,
+    slices_per_part: int,
+    alpha: float = DEFAULT_ALPHA,
+    order: str = "n",
+    rows_per_bin: int = 1_000_000,
+) -> DataFrame:
+    """As :func:`partial_by_slice_rank`, for slices that may go back: ``j`` counts the changes
+    of slice in the part so far, and a key counts each change of its own slice.
+
+    ``order`` is the dense arrival ordinal. A part is cut into runs of ``rows_per_bin``
+    arrivals; only the edges of runs are compared across runs.
+    """
+    rows = df.select("part", "key", "slice", order).withColumn("__bin", int_div(order, rows_per_bin))
+    inside = Window.partitionBy("part", "__bin").orderBy(order)
+    before = F.lag("slice").over(inside)
+    rows = rows.withColumn("__before", before).withColumn(
+        "__change", F.coalesce(F.col("__before") != F.col("slice"), F.lit(False)).cast("long")
+    )
+    rows = rows.withColumn("__run", F.sum("__change").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    bins = rows.groupBy("part", "__bin").agg(
+        F.sum("__change").alias("changes"), F.min_by("slice", order).alias("head"), F.max_by("slice", order).alias("last")
+    )
+    along = Window.partitionBy("part").orderBy("__bin")
+    bins = bins.withColumn("__opened", F.coalesce(F.lag("last").over(along) != F.col("head"), F.lit(True)).cast("long"))
+    so_far = F.sum(F.col("changes") + F.col("__opened")).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    bins = bins.select("part", "__bin", "__opened", (so_far - F.col("changes")).alias("__offset"))
+    opens_run = F.when(F.col("__before").isNull(), F.col("__opened")).otherwise(F.col("__change"))
+    step = F.lit(slices_per_part) - F.col("__offset") - F.col("__run") + opens_run
+    placed = rows.join(F.broadcast(bins), ["part", "__bin"]).select(
+        F.struct("part", "key").alias("__key"), "slice", order, F.greatest(step, F.lit(-1)).alias("__power")
+    )
+    counted = run_starts(placed, "__key", order=order, rows_per_bin=rows_per_bin, keep=("__power",))
+    scored = F.when(F.col("opens"), F.lit(0.0)).otherwise(decay(alpha, F.col("__power")))
+    return counted.groupBy("__key").agg(F.sum(scored).alias("partial")).select("__key.part", "__key.key", "partial")
+
+
 def partial_by_slice_number(df: DataFrame, alpha: float = DEFAULT_ALPHA, order: str = "arrival") -> DataFrame:
     """``(part, key, partial)``: every access of a key in a part but its first
     adds ``(1 - alpha) ** slice``; accesses of one slice are not merged."""

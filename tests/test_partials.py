@@ -3,7 +3,7 @@ import random
 import pytest
 
 import twins
-from heatlens.operators.partials import partial_by_slice_number, partial_by_slice_rank, roll_up, roll_up_growing
+from heatlens.operators.partials import partial_by_slice_number, partial_by_slice_rank, partial_by_slice_run, roll_up, roll_up_growing
 
 
 def tagged(spark, seed, rows=500, keys=20, slices=40, parts=4):
@@ -42,6 +42,17 @@ def test_rank_partials_and_roll_up(spark, per_part):
     assert growing == pytest.approx(twins.rolled(expected, lambda q: (q + 1) * per_part - 1), abs=1e-13)
 
 
+@pytest.mark.parametrize("rows_per_bin", [7, 60, 1_000_000])
+@pytest.mark.parametrize("per_part", [400, 10])
+def test_run_partials_on_a_clock_that_goes_back(spark, per_part, rows_per_bin):
+    rng = random.Random(4)
+    s = [max(1, min(40, i // 12 + rng.randint(-6, 6))) for i in range(500)]
+    p, k = [min(x // 10, 3) for x in s], [rng.randint(1, 20) for _ in s]
+    df = spark.createDataFrame(list(zip(k, s, p, range(500))), "key bigint, slice bigint, part bigint, n bigint")
+    found = partial_by_slice_run(df.repartition(3), per_part, rows_per_bin=rows_per_bin)
+    assert_tables(tables_of(found), twins.rank_partials(k, s, p, per_part))
+
+
 def test_number_partials(spark):
     k, s, p, df = tagged(spark, 2)
     assert_tables(tables_of(partial_by_slice_number(df)), twins.number_partials(k, s, p))
