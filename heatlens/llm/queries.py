@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from heatlens.llm import ego_join, exact_dedup, language, lexicon_bpe, near_dedup, packing, pii, token_files, toxicity, url_filter
+from heatlens.llm import (
+    ego_join, exact_dedup, hard_negatives, language, lexicon_bpe, license_scan, near_dedup, packing, pii, prefix_trie,
+    token_files, toxicity, url_filter,
+)
 from heatlens.llm.common import read_table
 from heatlens.staging import small_table, staging_path
 
@@ -145,3 +148,93 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query
+def op11_diagonal_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    found = license_scan.scan(read_table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    starts = F.transform(base, lambda s: s["start"])
+
+    def labels(spans):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), labels(base).alias("base_labels"), labels(F.col("spans")).alias("labels"), "score",
+    )
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(read_table(spark, folder, "conversations"))
+
+
+# A turn's number is its rank; a node's path is the list of the numbers. crc32 by its table, from the polynomial.
+ORACLE["op12_prefix_trie"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS print
+  FROM conversations WHERE conv_id IS NOT NULL
+), numbered AS (
+  SELECT conv_id, dense_rank() OVER (ORDER BY role, text) AS id, length(text) AS chars,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, print) AS place
+  FROM t
+), own AS (
+  SELECT conv_id, list(id ORDER BY place) AS ids, list(chars ORDER BY place) AS chars FROM numbered GROUP BY conv_id
+), bits AS (
+  SELECT list(v ORDER BY i) AS v FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))) AS v FROM range(256) r(i))
+), kept AS (
+  SELECT conv_id, ids, chars,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(str_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+                         lambda x, y: xor(v[(xor(x, y) & 255) + 1], x >> 8)), 4294967295::BIGINT) % 6 AS h
+  FROM own, bits
+), rebuilt AS (
+  SELECT k.conv_id, coalesce(a.ids[1:h], []) || k.ids[h + 1:] AS ids, coalesce(a.chars[1:h], []) || k.chars[h + 1:] AS chars
+  FROM kept k LEFT JOIN own a ON a.conv_id = k.conv_id - k.conv_id % 100
+), nodes AS (
+  SELECT ids[1:d] AS path, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars[d]) AS chars,
+         string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len(ids) = d) AS ends
+  FROM rebuilt, unnest(range(len(ids) + 1)) r(d) GROUP BY 1, 2
+), counted AS (
+  SELECT n.*, coalesce(c.n, 0) AS n_children
+  FROM nodes n LEFT JOIN (SELECT path[1:depth - 1] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1) c ON c.path = n.path
+), totals AS (
+  SELECT path[1:d] AS path, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves,
+         sum((n_convs - 1) * CASE WHEN depth = 0 THEN 0 ELSE chars END) AS saved_tokens
+  FROM counted, unnest(range(depth + 1)) r(d) GROUP BY 1
+)
+SELECT c.conv_id, c.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children,
+       n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(c.ends, '')) AS ends_sha256
+FROM counted c JOIN totals USING (path) LEFT JOIN nodes p ON c.depth > 0 AND p.path = c.path[1:c.depth - 1]
+"""
+
+
+@query
+def op13_residue_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = read_table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.select("vec_id", moved.alias("label"), "embedding"), F.col("vec_id") % 50 == 0)
+
+
+ORACLE["op13_residue_negatives"] = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, positive_id, row_number() OVER w AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND NOT same
+  AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id)
+QUALIFY row_number() OVER w <= 3
+"""
