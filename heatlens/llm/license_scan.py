@@ -27,7 +27,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from heatlens.llm.common import BROADCAST_ROWS, text_of
+from heatlens.llm.common import BROADCAST_ROWS, staged, text_of
 from heatlens.staging import small_table
 
 PHRASE_RUN, PASSAGE_RUN = 2, 4
@@ -96,7 +96,8 @@ def _runs(df: DataFrame, words: str, *keep: str) -> DataFrame:
     shifted = [F.col(words)] + [F.slice(words, i + 1, F.greatest(F.size(words), F.lit(1))) for i in range(1, PASSAGE_RUN)]
     named = F.arrays_zip(*[s.alias(f"w{i}") for i, s in enumerate(shifted)])
     zipped = df.select(*keep, named.alias("__zip"))
-    return zipped.select(*keep, F.posexplode("__zip").alias("at", "w"))
+    # the plain form filters by size first, and splits the text once more for each word of a run
+    return zipped.select(*keep, F.posexplode_outer("__zip").alias("at", "w"))
 
 
 def _run_words(k: int | Column) -> Column:
@@ -180,11 +181,10 @@ def scan(docs: DataFrame, templates: Sequence[Template] = PHRASES + PASSAGES) ->
     """
     listed, runs = _template_table(docs, templates)
     bounded = sum(len(t.text) for t in templates) <= BROADCAST_ROWS
-    diagonals = (
-        _hits(docs, runs, bounded)
-        .groupBy("id", "print", "template", (F.col("d") - F.col("t")).alias("diagonal"))
-        .agg(F.collect_set("t").alias("votes"), F.max("n_words").alias("n_words"), F.count("*").alias("rows"))
-        .repartition("id", "print")
+    voted = _hits(docs, runs, bounded).groupBy("id", "print", "template", (F.col("d") - F.col("t")).alias("diagonal"))
+    # written: both kinds of hits are read from here, and the texts once
+    diagonals = staged(
+        voted.agg(F.collect_set("t").alias("votes"), F.max("n_words").alias("n_words"), F.count("*").alias("rows")), "diagonals"
     )
     rows = diagonals.filter(F.col("template") == _ROW_TEMPLATE).select(
         "id", "print", "n_words", "rows", F.lit(None).alias("span")
