@@ -20,6 +20,7 @@ from heatlens.checks.queries import (
     LINES,
     LOCAL_FRACTION,
     LOG_DIGITS,
+    SHORT_INTERVAL,
     SLICES,
     TIGHT_SPAN,
     TOTAL,
@@ -257,9 +258,10 @@ ends AS (SELECT greatest({SLICES} + 1, (total + size - 1) // size) AS end_ FROM
 sliced AS (SELECT key, end_ - (total - 1 - n) // size AS slice FROM acc, tot, ends),
 fin AS (SELECT end_, {_budget(f'size * {SLICES + 1}', FRACTION)} AS k FROM tot, ends)"""
 
-FIXED_SLICED = f"""{ACC},
-sliced AS (SELECT key, (n + 2) // {FIXED_INTERVAL} + 1 AS slice FROM acc),
-fin AS (SELECT (total + 1) // {FIXED_INTERVAL} + 1 AS end_, {_budget('total + 1', FIXED.hot_fraction)} AS k
+def _fixed(interval: int) -> str:
+    return f"""{ACC},
+sliced AS (SELECT key, (n + 2) // {interval} + 1 AS slice FROM acc),
+fin AS (SELECT (total + 1) // {interval} + 1 AS end_, {_budget('total + 1', FIXED.hot_fraction)} AS k
         FROM tot)"""
 
 
@@ -401,6 +403,10 @@ FROM shares LEFT JOIN kths USING (bucket) LEFT JOIN bucketed USING (bucket) GROU
         f"{BOUNDS}, {KTH}, {COUNTS}", f"SELECT round(end_ + 1 - ln(overlap) / ln({L}), 3) AS t_min FROM counts, fin"
     ),
     "threshold_search": _top(EXACT, "SELECT k FROM fin", source="bounds", by="rank"),
+    "threshold_members": _with(
+        f"""{EXACT}, top AS (SELECT key, row_number() OVER (ORDER BY rank DESC, key) AS place FROM bounds)""",
+        f"SELECT {BUCKET} AS bucket, count(*) AS members FROM top, fin WHERE place <= k GROUP BY 1",
+    ),
     "tighten_bounds": _with(
         f"{BOUNDS}, {KTH}, {_horizon(str(TIGHT_SPAN), 'tight')}",
         """SELECT key, est, lower, upper FROM tight
@@ -487,6 +493,10 @@ ranked AS (SELECT *, round(ln(est), {DIGITS}) AS rank FROM exact)""",
         TOTAL_TIME_HEAT, f"SELECT {_budget('total', TOTAL.hot_fraction)} FROM tot"
     ),
     "classify_backward_fixed": _top(
-        f"{FIXED_SLICED}, {_horizon('end_')}", "SELECT k FROM fin", source="bounds", by="rank"
+        f"{_fixed(FIXED_INTERVAL)}, {_horizon('end_')}", "SELECT k FROM fin", source="bounds", by="rank"
+    ),
+    "classify_backward_short": _top(
+        f"{_fixed(SHORT_INTERVAL)}, {_horizon('end_')}", "SELECT k FROM fin", source="bounds", by="rank"
     ),
+    "classify_backward_layout": _top(EXACT, "SELECT k FROM fin", source="bounds", by="rank"),
 }

@@ -17,7 +17,7 @@ from heatlens.functions.buckets import key_bucket, string_hash
 from heatlens.operators import backward as bw, forward as fw, hotset, partials as tp, selection as sel
 from heatlens.operators.ordinal import ArrivalProfile, profile_arrival, with_ordinal, with_ordinal_slice
 from heatlens.params import HeatParams
-from heatlens.plans import classify as cl
+from heatlens.plans import classify as cl, layout
 from heatlens.sources import trace as tr
 from heatlens.sources.accesses import accesses_from, as_micros
 from heatlens.staging import small_table, staging_path
@@ -49,6 +49,7 @@ DEEP = HeatParams(slices=2000, hot_fraction=0.2, buckets=BUCKETS, digits=DIGITS)
 BURST = "CASE WHEN arrival % 2 = 0 THEN -1 WHEN arrival % 40 < 10 THEN -2 ELSE key END"
 EARLY = HeatParams(slices=FINE, buckets=BUCKETS, digits=DIGITS)
 LOCAL_FRACTION = 0.1
+SHORT_INTERVAL = 50
 # Low enough that the test tables span several bins.
 ROWS_PER_BIN = 4096
 
@@ -473,7 +474,14 @@ def overlap_slice_bound(spark, folder):
 @query
 def threshold_search(spark, folder):
     events, profile = _profiled(spark, folder)
-    return _rounded(cl.search_backward_bucketed(events, EVENTS, profile).hot, "est")
+    return _rounded(cl.search_backward_bucketed(events, EVENTS, profile, first_rows=1).hot, "est")
+
+
+@query
+def threshold_members(spark, folder):
+    """Members of the searched hot set by bucket: what the buckets report above the threshold."""
+    events, profile = _profiled(spark, folder)
+    return cl.search_backward_bucketed(events, EVENTS, profile, first_rows=1).counts
 
 
 @query
@@ -642,3 +650,20 @@ def classify_total_by_time(spark, folder):
 @query
 def classify_backward_fixed(spark, folder):
     return _rounded(cl.classify_backward_fixed(_events(spark, folder), FIXED), "est")
+
+
+@query
+def classify_backward_short(spark, folder):
+    """Many short slices, read in several horizons."""
+    events, profile = _profiled(spark, folder)
+    found = cl.search_backward_fixed(events, FIXED, profile, interval=SHORT_INTERVAL, first_rows=1)
+    return _rounded(found.hot, "est")
+
+
+@query
+def classify_backward_layout(spark, folder):
+    """From the tagged layout: folders of slices, read newest first."""
+    events, profile = _profiled(spark, folder)
+    path = staging_path(spark, "layout")
+    layout.write_layout(events, path, EVENTS, profile)
+    return _rounded(layout.search_layout(spark, path, EVENTS, first_rows=1).hot, "est")

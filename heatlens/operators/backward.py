@@ -11,27 +11,38 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import cached_property
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from heatlens.functions.decay import block_span, decay, slices_to_reach, weight
 from heatlens.functions.slices import int_div
-from heatlens.operators.selection import SMALL_K, kth_and_next, nth_by_group, top_k
+from heatlens.operators.selection import kth_and_next, nth_by_group, top_k
 from heatlens.params import DEFAULT_ALPHA
 from heatlens.staging import small_table, stage
 
-# A source of ``(key, slice)`` rows from slice t on; see ``tail_of``.
-Tail = Callable[[int], DataFrame]
+# A source of ``(key, slice)`` rows from slice t on, and before another slice if one is given; see ``tail_of``.
+Tail = Callable[..., DataFrame]
 
 FIRST_SPAN = 16
+# Steps of the histogram of sums for each factor of e, and of a step that is counted again.
+STEPS = 64
+FINER = 1024
+# Candidate keys are broadcast up to so many.
+BROADCAST_KEYS = 100_000
 # Below this doubles lose digits: such bounds settle nothing.
 TINY = 1e-290
 
 
 def tail_of(accesses: DataFrame) -> Tail:
     """Read newest-first from a table: a filter on the slice."""
-    return lambda t: accesses.filter(F.col("slice") >= F.lit(t))
+
+    def tail(t: int, before: int | None = None) -> DataFrame:
+        recent = accesses.filter(F.col("slice") >= F.lit(t))
+        return recent if before is None else recent.filter(F.col("slice") < F.lit(before))
+
+    return tail
 
 
 def heat_backward(tail: DataFrame, end: int, alpha: float = DEFAULT_ALPHA) -> DataFrame:
@@ -144,123 +155,203 @@ class BackwardResult:
     ``settled`` has the members with what was known of them at ``horizon``, the
     slice at which membership was settled: ``est`` there is a lower bound, and
     older slices are not read. ``hot`` completes the estimates of the members,
-    coolest first; it is lazy, and only computing it reads the rest of the trace.
-    ``threshold`` separates the set, unless a tie at the K-th place was broken by
-    key. Estimates are not rounded, but keys rank by their rounded logarithms.
+    coolest first; it is lazy, and only computing it reads the rest of the trace, for the members alone.
+    ``counts`` has the members by bucket, if the search was told of buckets. Estimates are not rounded, but keys rank by their rounded logarithms.
     """
 
     hot: DataFrame
     settled: DataFrame
     horizon: int
-    threshold: float
     horizons: tuple[int, ...]
+    separated: float | None = None
+    counts: DataFrame | None = None
+
+    @cached_property
+    def threshold(self) -> float:
+        """Separates the set, unless a tie at the K-th place was broken by key."""
+        if self.separated is not None:
+            return self.separated
+        return self.hot.agg(F.min("est").alias("est")).first()["est"] or 0.0
 
 
 def backward_hot_set(
     tail: Tail, end: int, k: int, alpha: float = DEFAULT_ALPHA, digits: int = 12, first_span: int = FIRST_SPAN
 ) -> BackwardResult:
-    """The exact ``k`` hottest keys, reading no further back than needed.
+    """The exact ``k`` hottest keys, reading no further back than needed and nothing twice.
+
+    What was read is carried as one sum per key, to which each further span of slices is added. Keys
+    that can no longer reach the K-th lower bound are left out of it, and once no unseen key can
+    reach it either, older rows of other keys are not even shuffled.
 
     Stops at a horizon where exactly ``k`` keys can still reach the K-th lower
     bound and no unseen key can. Otherwise at least doubles the slices read. Keys whose
     estimates agree in about ``digits`` significant digits tie, however small they are.
     """
-    if k <= 0:
-        nothing = heat_backward(tail(1), end, alpha).limit(0)
-        return BackwardResult(nothing, nothing, end, math.inf, ())
-    near = _near(end, alpha, digits)
-    span, seen = min(first_span, end), []
-    while span < end:
-        t = end - span + 1
-        seen.append(t)
-        bounds = _held(with_bounds(heat_backward(tail(t), end, alpha), t, end, 1, alpha), k)
-        kth, following = kth_and_next(bounds, k, "lower")
-        unseen = (1.0 - alpha) ** span
-        sure = kth * (1.0 - near) if kth is not None and kth > TINY else None
-        if sure is not None and unseen < sure:
-            # all bounds are equally wide: one comparison counts the survivors
-            if following is None or following + _width(span, end, alpha) < sure:
-                settled = stage(prune_candidates(bounds, sure).select("key", "est"), "settled")
-                bounds.unpersist()
-                hot = _finish(tail, settled, k, end, alpha, digits)
-                return BackwardResult(hot, settled, t, kth, tuple(seen))
-        bounds.unpersist()
-        span = _next_span(span, end, sure, alpha)
-    return _settle_exactly(tail, end, k, alpha, digits, seen)
+    return _search(tail, end, k, alpha, digits, first_span)
 
 
 def threshold_search(
     tail: Tail,
     end: int,
     k: int,
-    budgets: dict[int, int],
     bucket_of: Callable[[DataFrame], DataFrame],
     alpha: float = DEFAULT_ALPHA,
     digits: int = 12,
     first_span: int = FIRST_SPAN,
 ) -> BackwardResult:
-    """As :func:`backward_hot_set`, by searching a threshold between buckets.
+    """As :func:`backward_hot_set`, by a threshold that ``k`` keys of all buckets clear together.
 
-    The buckets' own K-th lower bounds are the first candidates. All of them are
-    counted in one pass; the search then bisects the two that enclose ``k``. When
-    the bounds overlap at the threshold, older slices are read.
+    At each horizon one job counts the sums of all buckets by step of their logarithm. That histogram
+    holds the counts of every candidate threshold at once, for lower and upper bounds alike, as these
+    are equally far from the sums. Only where the K-th and the next key share a step that is
+    wider than the bounds are apart, that step is counted again in finer ones.
     """
+    found = _search(tail, end, k, alpha, digits, first_span)
+    return replace(found, counts=bucket_of(found.settled).groupBy("bucket").agg(F.count("*").alias("members")))
+
+
+def _search(tail: Tail, end: int, k: int, alpha: float, digits: int, first_span: int) -> BackwardResult:
     if k <= 0:
         nothing = heat_backward(tail(1), end, alpha).limit(0)
-        return BackwardResult(nothing, nothing, end, math.inf, ())
+        return BackwardResult(nothing, nothing, end, (), math.inf)
     near = _near(end, alpha, digits)
-    span, seen = min(first_span, end), []
+    base = (1.0 - alpha) ** end  # lower bounds exceed the sums by this
+    state, keys, span, before, seen = None, None, min(first_span, end), None, []
     while span < end:
         t = end - span + 1
         seen.append(t)
-        bounds = bucket_of(with_bounds(heat_backward(tail(t), end, alpha), t, end, 1, alpha)).persist()
-        filled = bucket_status(bounds, budgets).filter("kth > 0")
-        candidates = sorted(c["kth"] for c in filled.select("kth").distinct().collect())
-        theta, gap = _separate(bounds, k, candidates, _width(span, end, alpha), near)
-        if theta is not None and (1.0 - alpha) ** span < theta * (1.0 - near):
-            settled = stage(bounds.filter(F.col("upper") > F.lit(theta)).select("key", "est"), "settled")
-            bounds.unpersist()
-            hot = _finish(tail, settled, k, end, alpha, digits)
-            return BackwardResult(hot, settled, t, theta, tuple(seen))
-        bounds.unpersist()
-        # the gap is only a guess before the older slices are read
-        span = min(_next_span(span, end, gap, alpha), 4 * span)
-    return _settle_exactly(tail, end, k, alpha, digits, seen)
-
-
-def _separate(
-    bounds: DataFrame, k: int, candidates: list[float], width: float, near: float
-) -> tuple[float | None, float | None]:
-    """A threshold that exactly ``k`` keys clear whichever bound is used.
-
-    Bisects the candidates; if none will do, looks between the K-th and the next
-    lower bound. Failing that, returns how narrow bounds must get to separate the
-    two (``None`` when they tie).
-    """
-    low, high = 0, len(candidates) - 1
-    while low <= high:
-        mid = (low + high) // 2
-        counts = threshold_counts(bounds, candidates[mid]).first()
-        if counts["lower_count"] == counts["upper_count"] == k:
-            if counts["overlap"] - width > near * candidates[mid] and candidates[mid] > TINY:
-                return candidates[mid], None
-            break
-        if counts["lower_count"] >= k:
-            low = mid + 1
-        elif counts["upper_count"] <= k:
-            high = mid - 1
-        else:
+        rows = tail(t, before)
+        if keys is not None:
+            rows = _of_keys(rows, state, keys)
+        state, before = stage(_add(state, rows, end, alpha), "carried"), t
+        unseen, width = (1.0 - alpha) ** span, _width(span, end, alpha)
+        place = _place(state, k, unseen, width)
+        sure, gap = None, None
+        if place is not None and place.kth + base > TINY:
+            kth = place.kth + base
+            sure, slack = kth * (1.0 - near), near * kth
+            theta = None
+            if place.following is None:
+                theta = kth - 2 * slack if place.whole else None
+            else:
+                gap = place.kth - place.following
+                theta = kth - (gap - width) / 2 if gap > width + 4 * slack else None
+            if theta is not None and unseen < theta * (1.0 - near):
+                members = state.filter(F.col("est") + F.lit(unseen) > F.lit(theta))
+                hot = _complete(tail, members, k, t, end, alpha, digits)
+                return BackwardResult(hot, members.select("key", "est"), t, tuple(seen), theta)
+            state = state.filter(F.col("est") + F.lit(unseen) >= F.lit(sure))
+            keys = place.reaching if unseen < sure else None
+        span = _next_span(span, end, sure, gap, alpha)
+    rows = tail(1, before)
+    if keys is not None:
+        rows = _of_keys(rows, state, keys)
+    hot = top_k(_ranked(_add(state, rows, end, alpha), end, alpha, digits), k, by="rank")
+    hot = hot.orderBy("rank", "key").select("key", "est")
+    return BackwardResult(hot, hot, 1, (*seen, 1))
+
+
+@dataclass(frozen=True)
+class _Place:
+    """Where the K-th largest sum is: ``kth`` is at most that sum. With ``whole``, the ``k``
+    keys from it on are told apart from the rest, the largest of which is ``following``. At most
+    ``reaching`` keys can still reach it."""
+
+    kth: float
+    following: float | None
+    whole: bool
+    reaching: int
+
+
+def _place(state: DataFrame, k: int, floor: float, width: float) -> _Place | None:
+    """``None`` when the K-th sum is below ``floor``, which no stop allows."""
+    step = F.when(F.col("est") >= F.lit(floor), F.floor(F.ln("est") * STEPS)).otherwise(F.lit(None))
+    steps = _histogram(state, step)
+    above, inside = 0, None
+    for number in sorted((n for n in steps if n is not None), reverse=True):
+        if above + steps[number].rows >= k:
+            inside = number
             break
-    kth, following = kth_and_next(bounds, k, "lower")
-    if kth is None or kth <= TINY:
-        return None, None
-    slack = near * kth
-    if following is None:
-        return kth - 2 * slack, None
-    gap = kth - following
-    if gap > width + 4 * slack:
-        return kth - (gap - width) / 2, None
-    return None, gap if gap > 4 * slack else None
+        above += steps[number].rows
+    if inside is None:
+        return None
+    cell, wanted, narrowed = steps[inside], k - above, state
+    lower = [s for n, s in steps.items() if n is None or n < inside]
+    following = max((s.high for s in lower), default=None)
+    reaching = sum(s.rows for s in steps.values() if s.high + width >= cell.low)
+    while cell.rows > wanted and cell.high - cell.low > width:
+        low, size = cell.low, (cell.high - cell.low) / FINER
+        narrowed = narrowed.filter(F.col("est").between(cell.low, cell.high))
+        finer = _histogram(narrowed, F.floor((F.col("est") - F.lit(low)) / F.lit(size)))
+        order = sorted(finer, reverse=True)
+        for i, number in enumerate(order):
+            if finer[number].rows >= wanted:
+                break
+            wanted -= finer[number].rows
+        cell = finer[number]
+        following = finer[order[i + 1]].high if i + 1 < len(order) else following
+    if cell.rows > wanted:
+        return _Place(cell.low, cell.low, False, reaching)
+    return _Place(cell.low, following, True, reaching)
+
+
+def _histogram(state: DataFrame, step: Column) -> dict[int | None, Row]:
+    """``rows, low, high`` of the sums by step: at most ``STEPS`` rows for each factor of e."""
+    counted = state.groupBy(step.alias("step")).agg(
+        F.count("*").alias("rows"), F.min("est").alias("low"), F.max("est").alias("high")
+    )
+    return {r["step"]: r for r in counted.collect()}
+
+
+def _of_keys(rows: DataFrame, state: DataFrame, keys: int) -> DataFrame:
+    """The rows of the keys in ``state``, at most ``keys`` of them."""
+    if keys <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(state.select("key")), "key", "left_semi")
+    # once per (key, slice) first: a hot key is then a row per slice at most
+    return rows.select("key", "slice").distinct().join(state.select("key"), "key", "left_semi")
+
+
+def _add(state: DataFrame | None, rows: DataFrame, end: int, alpha: float) -> DataFrame:
+    """``(key, block, mass, est)``: the sums in ``state`` and those of older ``rows`` (``key, slice``).
+
+    Beyond the slices that doubles can span, weights are summed by blocks of slices, and a
+    key's ``mass`` is relative to its newest ``block``.
+    """
+    span = block_span(alpha)
+    age = F.lit(end) - F.col("slice")
+    counted = rows.select("key", "slice").distinct()
+    if end <= span:
+        mass = counted.select("key", weight(alpha, age).alias("mass"))
+        if state is not None:
+            fresh = mass.groupBy("key").agg(F.sum("mass").alias("mass"))
+            mass = state.select("key", "mass").unionByName(fresh)
+        summed = mass.groupBy("key").agg(F.sum("mass").alias("mass"))
+        return summed.select("key", F.lit(0).cast("long").alias("block"), "mass", F.col("mass").alias("est"))
+    blocks = counted.groupBy("key", int_div(age, span).cast("long").alias("block")).agg(
+        F.sum(weight(alpha, age % F.lit(span))).alias("mass")
+    )
+    if state is not None:
+        blocks = state.select("key", "block", "mass").unionByName(blocks)
+    newest = F.min("block").over(Window.partitionBy("key"))
+    folded = (
+        blocks.withColumn("newest", newest)
+        .groupBy("key", F.col("newest"))
+        .agg(F.sum(F.col("mass") * decay(alpha, (F.col("block") - F.col("newest")) * F.lit(span))).alias("mass"))
+    )
+    est = F.col("mass") * decay(alpha, F.col("newest") * F.lit(span))
+    return folded.select("key", F.col("newest").alias("block"), "mass", est.alias("est"))
+
+
+def _ranked(sums: DataFrame, end: int, alpha: float, digits: int) -> DataFrame:
+    """``(key, est, rank)``, ``rank`` the rounded logarithm of ``est``: old keys keep their order where ``est`` is 0."""
+    older = F.col("block") * F.lit(block_span(alpha) * math.log1p(-alpha))
+    return sums.select("key", "est", F.round(F.ln("mass") + older, _rank_digits(end, alpha, digits)).alias("rank"))
+
+
+def _complete(tail, members, k, t, end, alpha, digits) -> DataFrame:
+    """The final estimates of the settled members: what is older than ``t`` is added to their sums."""
+    older = _of_keys(tail(1, t), members, k)
+    return _ranked(_add(members, older, end, alpha), end, alpha, digits).orderBy("rank", "key").select("key", "est")
 
 
 def tighten_bounds(
@@ -277,11 +368,6 @@ def _width(span: int, end: int, alpha: float) -> float:
     return (1.0 - alpha) ** span - (1.0 - alpha) ** end
 
 
-def _held(bounds: DataFrame, k: int) -> DataFrame:
-    """Kept for the several passes that a large ``k`` needs."""
-    return bounds.persist() if k > SMALL_K else bounds
-
-
 def _rank_digits(end: int, alpha: float, digits: int) -> int:
     """Decimals of a logarithm that sums in any order agree on: a double has fewer the
     larger the logarithm can be."""
@@ -295,57 +381,10 @@ def _near(end: int, alpha: float, digits: int) -> float:
     return 2.0 * 10.0 ** -_rank_digits(end, alpha, digits)
 
 
-def _next_span(span: int, end: int, value: float | None, alpha: float) -> int:
-    """At least double, and far enough that unseen keys fall below ``value``."""
-    needed = math.floor(slices_to_reach(alpha, value)) + 1 if value else span
+def _next_span(span: int, end: int, sure: float | None, gap: float | None, alpha: float) -> int:
+    """At least double, and far enough that unseen keys fall below ``sure`` and bounds come closer than ``gap``, which
+    is only a guess before the older slices are read."""
+    needed = math.floor(slices_to_reach(alpha, sure)) + 1 if sure else span
+    if gap:
+        needed = max(needed, min(math.floor(slices_to_reach(alpha, gap)) + 1, 4 * span))
     return min(end, max(2 * span, needed))
-
-
-def _exact(heat_tail: DataFrame, end: int, alpha: float, digits: int) -> DataFrame:
-    """``(key, est, rank)`` of whole slices, ``rank`` the rounded logarithm of ``est``.
-
-    Beyond the slices that doubles can span, weights are summed by blocks of slices. A
-    key's sum is then taken relative to its newest block, and only the logarithm is
-    carried to the end slice, so old keys keep their order where ``est`` is 0.
-    """
-    places = _rank_digits(end, alpha, digits)
-    span = block_span(alpha)
-    if end <= span:
-        heat = heat_backward(heat_tail, end, alpha)
-        return heat.withColumn("rank", F.round(F.ln("est"), places))
-    age = F.lit(end) - F.col("slice")
-    blocks = (
-        heat_tail.select("key", "slice").distinct()
-        .groupBy("key", int_div(age, span).alias("block"))
-        .agg(F.sum(weight(alpha, age % F.lit(span))).alias("mass"))
-    )
-    newest = F.min("block").over(Window.partitionBy("key"))
-    folded = (
-        blocks.withColumn("newest", newest)
-        .groupBy("key", "newest")
-        .agg(F.sum(F.col("mass") * decay(alpha, (F.col("block") - F.col("newest")) * F.lit(span))).alias("mass"))
-    )
-    older = F.col("newest") * F.lit(span)
-    return folded.select(
-        "key",
-        (F.col("mass") * decay(alpha, older)).alias("est"),
-        F.round(F.ln("mass") + older * F.lit(math.log1p(-alpha)), places).alias("rank"),
-    )
-
-
-def _settle_exactly(tail, end, k, alpha, digits, seen) -> BackwardResult:
-    """Everything is read: both bounds equal the estimate, up to a constant."""
-    hot = stage(top_k(_exact(tail(1), end, alpha, digits), k, by="rank"), "backward")
-    coolest = hot.agg(F.min("est").alias("est")).first()["est"]
-    ranked = hot.orderBy("rank", "key").select("key", "est")
-    return BackwardResult(ranked, hot.select("key", "est"), 1, coolest or 0.0, (*seen, 1))
-
-
-def _finish(tail, settled, k, end, alpha, digits) -> DataFrame:
-    """Final estimates of the settled members only."""
-    members = settled.select("key")
-    if k <= SMALL_K:
-        members = F.broadcast(members)
-    # once per (key, slice) before the join: a hot key is then a row per slice at most
-    kept = tail(1).select("key", "slice").distinct().join(members, "key", "left_semi")
-    return _exact(kept, end, alpha, digits).orderBy("rank", "key").select("key", "est")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from heatlens.functions import slices as sl
 from heatlens.functions.buckets import key_bucket
 from heatlens.operators import partials as tp
-from heatlens.operators.backward import BackwardResult, Tail, backward_hot_set, tail_of, threshold_search
+from heatlens.operators.backward import FIRST_SPAN, BackwardResult, Tail, backward_hot_set, tail_of, threshold_search
 from heatlens.operators.forward import heat_forward, run_starts, slice_dedup
 from heatlens.operators.hotset import merge_ranked
 from heatlens.operators.neighbor import heat_neighbor_reuse
@@ -24,6 +24,8 @@ from heatlens.params import FIXED_INTERVAL, TOTAL_SLICES, HeatParams
 from heatlens.staging import stage
 
 FIXED_TOP = 100
+# Accesses that a search reads first at least.
+FIRST_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -169,21 +171,33 @@ def ordinal_tail(
 ) -> Tail:
     """Newest-first reads over ordinal slices.
 
-    ``first_ordinal(t)`` is the ordinal slice ``t`` starts at. The nearest cut
-    before it is a plain comparison on the arrival column, which the scan can use
+    ``first_ordinal(t)`` is the ordinal slice ``t`` starts at. The bins that hold the
+    slices asked for are a plain comparison on the arrival column, which the scan can use
     to skip files and row groups. A table of a single bin has nothing to skip and
-    is sliced once.
+    is sliced once, and written if it is read in parts.
     """
     columns = accesses.select("key", "arrival")
     if profile.bins == 1:
-        once = with_ordinal_slice(columns, profile, slice_of).select("key", "slice").distinct()
-        return tail_of(stage(once, "sliced"))
-
-    def tail(t: int) -> DataFrame:
-        cut = profile.first_cut_before(first_ordinal(t))
-        recent = columns if cut is None else columns.filter(F.col("arrival") >= F.lit(cut))
-        sliced = with_ordinal_slice(recent, profile, slice_of)
-        return sliced.filter(F.col("slice") >= F.lit(t)).select("key", "slice")
+        whole = with_ordinal_slice(columns, profile, slice_of).select("key", "slice")
+        held: list[Tail] = []
+
+        def part(t: int, before: int | None = None) -> DataFrame:
+            if t <= 1 and before is None and not held:
+                return whole
+            if not held:
+                held.append(tail_of(stage(whole.distinct(), "sliced")))
+            return held[0](t, before)
+
+        return part
+
+    def tail(t: int, before: int | None = None) -> DataFrame:
+        last = None if before is None else first_ordinal(before) - 1
+        bins = profile.bins_of(first_ordinal(t), last)
+        low, high = profile.arrivals_of(*bins)
+        span = columns if low is None else columns.filter(F.col("arrival") >= F.lit(low))
+        span = span if high is None else span.filter(F.col("arrival") <= F.lit(high))
+        sliced = with_ordinal_slice(span, profile, slice_of, bins=bins).select("key", "slice")
+        return tail_of(sliced)(t, before)
 
     return tail
 
@@ -229,23 +243,35 @@ def bucket_budgets(accesses: DataFrame, params: HeatParams) -> dict[int, int]:
     return {r["bucket"]: params.budget(r["rows"]) for r in per_bucket.collect()}
 
 
+def first_span(size: int, first_rows: int) -> int:
+    """Slices of ``size`` accesses read first: a job for fewer than ``first_rows`` accesses costs more than reading them."""
+    return max(FIRST_SPAN, -(-first_rows // size))
+
+
 def search_backward(
-    accesses: DataFrame, params: HeatParams = HeatParams(), profile: ArrivalProfile | None = None
+    accesses: DataFrame,
+    params: HeatParams = HeatParams(),
+    profile: ArrivalProfile | None = None,
+    first_rows: int = FIRST_ROWS,
 ) -> BackwardResult:
     """Newest-first with bounds; the budget covers whole slices."""
     profile = profile or profile_arrival(accesses)
     tail, end = serial_tail(accesses, params, profile)
-    covered = params.slice_size(profile.rows) * (params.slice_count + 1)
-    return backward_hot_set(tail, end, params.budget(covered), params.alpha, params.digits)
+    size = params.slice_size(profile.rows)
+    k = params.budget(size * (params.slice_count + 1))
+    return backward_hot_set(tail, end, k, params.alpha, params.digits, first_span(size, first_rows))
 
 
 def search_backward_bucketed(
-    accesses: DataFrame, params: HeatParams = HeatParams(), profile: ArrivalProfile | None = None
+    accesses: DataFrame,
+    params: HeatParams = HeatParams(),
+    profile: ArrivalProfile | None = None,
+    first_rows: int = FIRST_ROWS,
 ) -> BackwardResult:
-    """Newest-first with a threshold searched between key buckets."""
+    """Newest-first with a threshold that all key buckets share."""
     profile = profile or profile_arrival(accesses)
     tail, end = bucketed_tail(accesses, params, profile)
-    return _search_threshold(accesses, tail, end, profile, params)
+    return _search_threshold(tail, end, profile, params, first_span(params.slice_size(profile.rows), first_rows))
 
 
 def search_backward_fixed(
@@ -253,22 +279,23 @@ def search_backward_fixed(
     params: HeatParams = HeatParams(hot_fraction=0.01),
     profile: ArrivalProfile | None = None,
     interval: int = FIXED_INTERVAL,
+    first_rows: int = FIRST_ROWS,
 ) -> BackwardResult:
     """As :func:`search_backward_bucketed` with slices of ``interval`` accesses."""
     profile = profile or profile_arrival(accesses)
     tail, end = fixed_tail(accesses, profile, interval)
-    return _search_threshold(accesses, tail, end, profile, params)
+    return _search_threshold(tail, end, profile, params, first_span(interval, first_rows))
 
 
-def _search_threshold(accesses, tail, end, profile, params) -> BackwardResult:
+def _search_threshold(tail: Tail, end: int, profile: ArrivalProfile, params: HeatParams, span: int) -> BackwardResult:
     return threshold_search(
         tail,
         end,
         params.budget(profile.rows + 1),
-        bucket_budgets(accesses, params),
         lambda df: df.withColumn("bucket", key_bucket("key", params.buckets)),
         params.alpha,
         params.digits,
+        span,
     )
 
 

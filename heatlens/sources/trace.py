@@ -21,6 +21,8 @@ TRACE_FIELDS = (
 )
 
 BROADCAST_BLOCKS = 1_000_000
+# Rows of a file of a tagged trace.
+ROWS_PER_FILE = 5_000_000
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -131,12 +133,25 @@ def newest_first(accesses: DataFrame, order: str = "arrival") -> DataFrame:
     return accesses.orderBy(F.desc(order))
 
 
-def write_tagged(tagged: DataFrame, path: str, by: str, files: int = 16) -> None:
-    """Write a tagged trace as Parquet, one folder per ``by`` (a block bucket or a
-    time partition). Rows are first spread over up to ``files`` shares of each folder, so
-    a folder has that many files at most and a hot one is still written by many tasks."""
-    share = F.pmod(F.xxhash64(*tagged.columns), F.lit(files))
-    tagged.repartition(F.col(by), share).write.mode("error").partitionBy(by).parquet(path)
+def write_tagged(
+    tagged: DataFrame, path: str, by: str, rows_per_file: int = ROWS_PER_FILE, order: str | None = None
+) -> None:
+    """Write a tagged trace as Parquet, one folder per ``by`` (a block bucket, a time partition or a range of
+    slices). A folder's rows are first counted and then spread over shares of about ``rows_per_file``, so
+    a hot one is written by as many tasks as its size asks for. With ``order``, shares are ranges of it and files are
+    sorted by it, so that a filter on it skips files and row groups."""
+    counts = tagged.groupBy(by).agg(F.count("*").alias("__rows"))
+    shares = counts.select(F.col(by).alias("__by"), F.ceil(F.col("__rows") / rows_per_file).cast("int").alias("__shares")).collect()
+    kind = tagged.schema[by].dataType.simpleString()
+    table = small_table(tagged.sparkSession, [tuple(r) for r in shares], f"__by {kind}, __shares int")
+    tasks = max(1, sum(r["__shares"] for r in shares))
+    if order is None:
+        split = tagged.join(F.broadcast(table), F.col(by).eqNullSafe(F.col("__by")), "left")
+        share = F.pmod(F.xxhash64(*tagged.columns), F.col("__shares"))
+        dealt = split.withColumn("__share", share).repartition(tasks, by, "__share").select(*tagged.columns)
+    else:
+        dealt = tagged.repartitionByRange(tasks, by, order).sortWithinPartitions(by, order)
+    dealt.write.mode("error").partitionBy(by).parquet(path)
 
 
 def read_tagged(spark: SparkSession, path: str) -> DataFrame:

@@ -31,9 +31,8 @@ def test_search_finds_the_exact_hot_set(spark, seed, k_hot):
     found = bw.backward_hot_set(bw.tail_of(df), end, k_hot, first_span=8)
     assert sorted(pairs(found.hot)) == sorted(twins.top(exact, k_hot))
     assert pairs(found.hot) == pytest.approx({x: exact[x] for x in twins.top(exact, k_hot)}, abs=1e-11)
-    budgets = {b: 2 for b in range(4)}
     searched = bw.threshold_search(
-        bw.tail_of(df), end, k_hot, budgets, lambda d: d.withColumn("bucket", key_bucket("key", 4)), first_span=8
+        bw.tail_of(df), end, k_hot, lambda d: d.withColumn("bucket", key_bucket("key", 4)), first_span=8
     )
     assert pairs(searched.hot) == pytest.approx(pairs(found.hot), rel=1e-12)
 
@@ -61,8 +60,8 @@ def test_large_budgets_take_the_counting_path(spark, monkeypatch):
 
     k, s, df = trace(spark, 2)
     want = pairs(bw.backward_hot_set(bw.tail_of(df), 150, 13).hot)
-    for module in (sel, bw):
-        monkeypatch.setattr(module, "SMALL_K", 0)
+    monkeypatch.setattr(sel, "SMALL_K", 0)
+    monkeypatch.setattr(bw, "BROADCAST_KEYS", 0)
     monkeypatch.setattr(sel, "SETTLE_ROWS", 10)
     assert pairs(bw.backward_hot_set(bw.tail_of(df), 150, 13).hot) == pytest.approx(want, rel=1e-12)
 
@@ -100,6 +99,54 @@ def test_classifiers_on_ordinal_slices(spark, rows_per_bin):
     assert set(pairs(found.hot)) == set(twins.top(fixed, 6))
 
 
+@pytest.mark.parametrize("seed, k_hot", [(0, 6), (1, 6), (2, 13)])
+def test_no_slice_is_read_twice(spark, seed, k_hot):
+    k, s, df = trace(spark, seed)
+    spans, whole = [], bw.tail_of(df)
+
+    def tail(t, before=None):
+        spans.append((t, before))
+        return whole(t, before)
+
+    found = bw.backward_hot_set(tail, 150, k_hot, first_span=8)
+    assert len(found.horizons) > 1 and spans[0][1] is None
+    # each read ends where the one before it began; the last one completes the members
+    assert all(before == later for (_, before), (later, _) in zip(spans[1:], spans)) and spans[-1][0] == 1
+
+
+@pytest.mark.parametrize("k", [1, 3, 40, 59, 60])
+def test_place_by_histogram(spark, k):
+    """Sums that share a step of the histogram are told apart by counting it again."""
+    rng = random.Random(k)
+    sums = [0.5 + i * 1e-7 for i in range(40)] + [0.5 - 1e-13 * i for i in range(1, 11)] + [rng.random() * 1e-3 for _ in range(10)]
+    state = spark.createDataFrame([(i, e) for i, e in enumerate(sums)], "key long, est double")
+    place, order = bw._place(state, k, 1e-9, 1e-11), sorted(sums, reverse=True)
+    if place.whole:
+        assert place.kth == order[k - 1] and place.following == (order[k] if k < 60 else None)
+    else:
+        assert place.kth <= order[k - 1] and order[k - 1] - order[k] <= 1e-11
+    assert place.whole == (k < 40 or k >= 50)
+    assert place.reaching >= sum(e >= place.kth for e in sums)
+    assert bw._place(state, 61, 1e-9, 1e-11) is None
+
+
+def test_layout_is_searched_by_folder(spark, tmp_path):
+    from heatlens.plans import layout
+
+    rng = random.Random(3)
+    keys = [rng.randint(1, 4) if rng.random() < 0.6 else rng.randint(6, 300) for _ in range(6000)]
+    df = spark.createDataFrame([(k, 10 * n + 3) for n, k in enumerate(keys)], "key bigint, arrival bigint")
+    params = HeatParams(slices=600, hot_fraction=0.0007)
+    layout.write_layout(df, str(tmp_path / "log"), params, profile_arrival(df, rows_per_bin=500))
+    found = layout.search_layout(spark, str(tmp_path / "log"), params, first_rows=1)
+    exact = twins.backward(keys, [(n + 1) // 10 + 1 for n in range(6000)], 601)
+    assert found.horizon > 1 and set(pairs(found.hot)) == set(twins.top(exact, 4))
+    assert pairs(found.hot) == pytest.approx({x: exact[x] for x in twins.top(exact, 4)}, abs=1e-11)
+    rows = layout.layout_tail(spark, str(tmp_path / "log"), 601)(500, 560)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(span" in plan and "Sort" not in plan and "Exchange" not in plan
+
+
 def test_missing_kth_excludes_nothing(spark):
     from heatlens.operators.backward import admission_threshold, overlap_slice_bound, prune_candidates
 
@@ -118,7 +165,7 @@ def test_old_keys_keep_their_order(spark, slices):
     newest = {key for key, _ in rows[-250:]}
     assert set(pairs(bw.backward_hot_set(bw.tail_of(df), slices, 250).hot)) == newest
     searched = bw.threshold_search(
-        bw.tail_of(df), slices, 250, {0: 60}, lambda d: d.withColumn("bucket", key_bucket("key", 1))
+        bw.tail_of(df), slices, 250, lambda d: d.withColumn("bucket", key_bucket("key", 1))
     )
     assert set(pairs(searched.hot)) == newest
 

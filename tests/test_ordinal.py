@@ -66,6 +66,46 @@ def test_slices_of_a_suffix(skewed):
         assert found == {v: i // 40 + 1 for i, v in enumerate(values) if i // 40 + 1 > wanted}
 
 
+@pytest.mark.parametrize("size", [3, 33, 299])
+def test_slice_starts_by_counting(skewed, monkeypatch, size):
+    """Narrowed to single cells: crowded and lonely arrivals, more starts than cells."""
+    values, df = skewed
+    monkeypatch.setattr(ordinal, "RANKED_ROWS", 0)
+    monkeypatch.setattr(ordinal, "MAX_CELLS", 512)
+    profile = profile_arrival(df, rows_per_bin=100)
+    found = {r["arrival"]: r["slice"] for r in with_ordinal_slice(df, profile, lambda n: sl.forward_slice(n, size)).collect()}
+    assert found == {v: 1 + -(-i // size) for i, v in enumerate(values)}
+
+
+def test_few_arrivals_are_ranked(spark, monkeypatch):
+    """1,000 slices over 100 bins: less than a tenth of the arrivals reaches the shuffle."""
+    rows, reached, ranked = 50_000, [], ordinal._in_cells
+    monkeypatch.setattr(ordinal, "RANKED_ROWS", 0)
+    df = spark.range(rows).select((F.col("id") % 11).alias("key"), (F.col("id") * F.col("id")).alias("arrival")).cache()
+    profile = profile_arrival(df, rows_per_bin=rows // 100)
+
+    def ranked_starts(arrivals, slice_of, arrival, cells, real=ordinal._ranked_starts):
+        reached.append(ranked(arrivals, arrival, [(c.low, c.high) for c in cells]).count())
+        return real(arrivals, slice_of, arrival, cells)
+
+    monkeypatch.setattr(ordinal, "_ranked_starts", ranked_starts)
+    sliced = with_ordinal_slice(df, profile, lambda n: sl.forward_slice(n, rows // 1000))
+    wrong = sliced.filter(F.col("slice") != 1 + F.ceil(F.sqrt("arrival").cast("bigint") / (rows // 1000)))
+    assert profile.bins > 80 and wrong.count() == 0 and sum(reached) < rows / 10
+
+
+@pytest.mark.parametrize("bins", [(0, 0), (3, 9), (12, 29)])
+def test_slices_of_some_bins(skewed, bins):
+    values, df = skewed
+    profile = profile_arrival(df, rows_per_bin=100)
+    low, high = profile.arrivals_of(*bins)
+    first, last = profile.offsets[bins[0]], (*profile.offsets, len(values))[min(bins[1], profile.bins - 1) + 1]
+    near = df.filter(F.col("arrival").between(low if low is not None else -1, high if high is not None else 2**60))
+    for size in (40, 5000):
+        sliced = with_ordinal_slice(near, profile, lambda n: sl.total_slice(n, size), bins=(bins[0], min(bins[1], profile.bins - 1)))
+        assert {r["arrival"]: r["slice"] for r in sliced.collect()} == {values[i]: i // size + 1 for i in range(first, last)}
+
+
 def test_slice_formulas(spark):
     rows, size, slices = 1038, 10, 100
     df = spark.range(rows).select(
