@@ -466,6 +466,7 @@ kept AS (SELECT key, est FROM listed, tot WHERE r <= {_budget('total', FINE_EVEN
         source="kept",
     ),
     "classify_by_time": _top(FILE_HEAT, str(FIXED_TOP)),
+    "classify_by_time_runs": _top(f"{RUN_PARTIAL}, {ROLLED}", str(FIXED_TOP)),
     "classify_by_time_mem": _top(MEM_HEAT, str(FIXED_TOP)),
     "classify_backward": _top(f"{TAIL_SLICED}, {_horizon('end_')}", "SELECT k FROM fin", source="bounds", by="rank"),
     "classify_backward_bucketed": _top(EXACT, "SELECT k FROM fin", source="bounds", by="rank"),

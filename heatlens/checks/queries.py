@@ -557,9 +557,7 @@ def topk_local_fraction(spark, folder):
 @query
 def hot_set_overlap(spark, folder):
     events, profile = _profiled(spark, folder)
-    plain = cl.classify_forward(events, WIDE, profile)
-    reused = cl.classify_neighbor(events, WIDE, profile)
-    return _rounded(hotset.hot_set_overlap(reused, plain), "recall")
+    return _rounded(cl.neighbor_overlap(events, WIDE, profile), "recall")
 
 
 @query
@@ -606,6 +604,13 @@ def classify_by_time(spark, folder):
     return cl.classify_by_time(_events(spark, folder), EVENTS)
 
 
+@query
+def classify_by_time_runs(spark, folder):
+    """On orders, whose clock runs backwards."""
+    orders = _orders(spark, folder)
+    return cl.classify_by_time(orders, EVENTS, span=cl.trace_span(orders.select("key", "ts")))
+
+
 @query
 def classify_by_time_mem(spark, folder):
     return cl.classify_by_time(_events(spark, folder), EVENTS, in_memory=True)

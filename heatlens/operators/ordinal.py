@@ -139,6 +139,11 @@ def _in_bins(df: DataFrame, profile: ArrivalProfile, arrival: str, first_bin: in
     return df
 
 
+def arrival_bin(df: DataFrame, profile: ArrivalProfile, arrival: str = "arrival", name: str = "bin") -> DataFrame:
+    """Add the number of the profile's bin that an arrival is in; bins follow one another."""
+    return _with_bin(df, arrival, profile.cuts).withColumnRenamed(_BIN, name)
+
+
 def _rank_in_bin(arrival: str) -> Column:
     return F.row_number().over(Window.partitionBy(_BIN).orderBy(arrival)).cast("bigint") - F.lit(1)
 

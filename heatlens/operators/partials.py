@@ -65,7 +65,8 @@ def partial_by_slice_run(
     of slice in the part so far, and a key counts each change of its own slice.
 
     ``order`` is the dense arrival ordinal. A part is cut into runs of ``rows_per_bin``
-    arrivals; only the edges of runs are compared across runs.
+    arrivals; only the edges of runs are compared across runs. The join with them finds rows where the windows
+    have put them; it is broadcast only where the session's own size limit says so.
     """
     rows = df.select("part", "key", "slice", order).withColumn("__bin", int_div(order, rows_per_bin))
     inside = Window.partitionBy("part", "__bin").orderBy(order)
@@ -83,7 +84,7 @@ def partial_by_slice_run(
     bins = bins.select("part", "__bin", "__opened", (so_far - F.col("changes")).alias("__offset"))
     opens_run = F.when(F.col("__before").isNull(), F.col("__opened")).otherwise(F.col("__change"))
     step = F.lit(slices_per_part) - F.col("__offset") - F.col("__run") + opens_run
-    placed = rows.join(F.broadcast(bins), ["part", "__bin"]).select(
+    placed = rows.join(bins, ["part", "__bin"]).select(
         F.struct("part", "key").alias("__key"), "slice", order, F.greatest(step, F.lit(-1)).alias("__power")
     )
     counted = run_starts(placed, "__key", order=order, rows_per_bin=rows_per_bin, keep=("__power",))

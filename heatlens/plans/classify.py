@@ -9,16 +9,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from heatlens.functions import slices as sl
 from heatlens.functions.buckets import key_bucket
 from heatlens.operators import partials as tp
 from heatlens.operators.backward import FIRST_SPAN, BackwardResult, Tail, backward_hot_set, tail_of, threshold_search
 from heatlens.operators.forward import heat_forward, run_starts, slice_dedup
-from heatlens.operators.hotset import merge_ranked
-from heatlens.operators.neighbor import heat_neighbor_reuse
-from heatlens.operators.ordinal import ArrivalProfile, profile_arrival, with_ordinal, with_ordinal_slice
+from heatlens.operators.hotset import hot_set_overlap, merge_ranked
+from heatlens.operators.neighbor import MAX_BINS, heat_of_counted
+from heatlens.operators.ordinal import ArrivalProfile, arrival_bin, profile_arrival, with_ordinal, with_ordinal_slice
 from heatlens.operators.selection import top_k, top_k_by_group
 from heatlens.params import FIXED_INTERVAL, TOTAL_SLICES, HeatParams
 from heatlens.staging import stage
@@ -85,11 +85,38 @@ def classify_forward(
     return top_k(_ranked(heat, params), params.budget(profile.rows))
 
 
-def neighbor_heat(accesses: DataFrame, params: HeatParams, profile: ArrivalProfile) -> DataFrame:
+def counted_accesses(accesses: DataFrame, params: HeatParams, profile: ArrivalProfile) -> DataFrame:
+    """``(key, slice, arrival, bin)``: a key's first access in each slice it occurs in. Arrivals give the order, so
+    nothing is numbered; ``bin`` grows along them."""
     size = params.slice_size(profile.rows)
-    numbered = with_ordinal(accesses.select("key", "arrival"), profile)
-    sliced = numbered.select("key", "n", sl.forward_slice("n", size).alias("slice"))
-    return heat_neighbor_reuse(sliced, profile.rows, params.alpha)
+    sliced = with_ordinal_slice(accesses.select("key", "arrival"), profile, lambda n: sl.forward_slice(n, size))
+    counted = slice_dedup(sliced, order="arrival").select("key", "slice", "arrival")
+    # slices split the bins further, as long as the bins stay few
+    groups = min(params.slice_count, MAX_BINS) + 2
+    group = sl.int_div(F.col("slice"), -(-(profile.rows // size + 2) // groups))
+    binned = arrival_bin(counted, profile)
+    return binned.withColumn("bin", F.col("bin").cast("long") * F.lit(groups + 1) + group)
+
+
+def _neighbor_of(counted: DataFrame, params: HeatParams) -> DataFrame:
+    return heat_of_counted(counted, F.col("bin"), params.alpha, order="arrival")
+
+
+def neighbor_heat(accesses: DataFrame, params: HeatParams, profile: ArrivalProfile) -> DataFrame:
+    return _neighbor_of(counted_accesses(accesses, params, profile), params)
+
+
+def neighbor_overlap(
+    accesses: DataFrame, params: HeatParams = HeatParams(), profile: ArrivalProfile | None = None
+) -> DataFrame:
+    """How far neighbour reuse changes the hot set: ``(n_both, n_a, n_b, recall)`` of the sets with and
+    without it. Both estimators read one written table of counted accesses."""
+    profile = profile or profile_arrival(accesses)
+    counted = stage(counted_accesses(accesses, params, profile), "counted")
+    newest = 1 - (-(profile.rows - 1) // params.slice_size(profile.rows))
+    k = params.budget(profile.rows)
+    plain = heat_forward(counted, params.alpha, newest)
+    return hot_set_overlap(top_k(_ranked(_neighbor_of(counted, params), params), k), top_k(_ranked(plain, params), k))
 
 
 def classify_neighbor(
@@ -101,20 +128,28 @@ def classify_neighbor(
     return top_k(_ranked(heat, params), params.budget(profile.rows))
 
 
+def slices_in_order(sliced: DataFrame) -> bool:
+    """Whether ``slice`` never falls along ``arrival``: no slice begins before an earlier one has ended. One
+    aggregate with a row per slice, and no sort of the accesses. Rows without an arrival don't matter."""
+    ends = sliced.groupBy("slice").agg(F.min("arrival").alias("low"), F.max("arrival").alias("high")).dropna()
+    earlier = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    return ends.filter(F.col("low").isNotNull()).withColumn("ended", F.max("high").over(earlier)).filter("ended > low").isEmpty()
+
+
 def clock_heat(
     accesses: DataFrame, params: HeatParams, span: TraceSpan, in_order: bool | None = None
 ) -> DataFrame:
     """Forward heat of every key over equally long slices of the clock.
 
-    ``in_order`` says that the clock never runs backwards along ``arrival``, which saves
-    a shuffle. Unless told so, a table with arrivals is folded in their order; without
-    arrivals the clock is the order.
+    ``in_order`` says whether the slices never run backwards along ``arrival``, which saves
+    a shuffle. Unless told, a table with arrivals is looked at (:func:`slices_in_order`) and folded in their
+    order if they do; without arrivals the clock is the order.
     """
-    if in_order is None:
-        in_order = "arrival" not in accesses.columns
     accesses = accesses.dropna(subset=["ts"])
     interval = span.interval(params.slice_count)
     number = sl.timestamp_slice("ts", span.first, interval)
+    if in_order is None:
+        in_order = "arrival" not in accesses.columns or slices_in_order(accesses.select("arrival", number.alias("slice")))
     # slices before the first one need the general fold
     newest = (span.high - span.first) // interval if span.low >= span.first else None
     if in_order:
@@ -138,16 +173,18 @@ def classify_by_block(
 
 
 def time_partial_heat(
-    accesses: DataFrame, params: HeatParams, span: TraceSpan, in_memory: bool = False, in_order: bool = False
+    accesses: DataFrame, params: HeatParams, span: TraceSpan, in_memory: bool = False, in_order: bool | None = None
 ) -> DataFrame:
-    """``(part, key, partial)`` of either time-partition rule. ``in_order`` promises a clock
-    that never runs backwards along ``arrival``, which saves numbering the accesses."""
+    """``(part, key, partial)`` of either time-partition rule. ``in_order`` says whether slices never
+    run backwards along ``arrival``, which saves numbering the accesses; unless told, they are looked at."""
     rule = sl.memory_time_partition if in_memory else sl.file_time_partition
     part, number = rule("ts", span.first, span.interval(params.slice_count), params.slice_count, params.buckets)
     timed = accesses.dropna(subset=["ts"])
     tagged = timed.select("key", "arrival", part.alias("part"), number.alias("slice"))
     if in_memory:
         return tp.partial_by_slice_number(tagged, params.alpha)
+    if in_order is None:
+        in_order = slices_in_order(tagged.select("arrival", "slice"))
     if in_order:
         return tp.partial_by_slice_rank(tagged, params.slices_per_part, params.slice_count, params.alpha)
     numbered = with_ordinal(tagged, profile_arrival(tagged))
@@ -156,10 +193,10 @@ def time_partial_heat(
 
 def classify_by_time(
     accesses: DataFrame, params: HeatParams = HeatParams(), in_memory: bool = False, k: int = FIXED_TOP,
-    in_order: bool = False,
+    in_order: bool | None = None, span: TraceSpan | None = None,
 ) -> DataFrame:
     """Time partitions scored apart and rolled up; a fixed number of keys."""
-    partials = time_partial_heat(accesses, params, trace_span(accesses), in_memory, in_order)
+    partials = time_partial_heat(accesses, params, span or trace_span(accesses), in_memory, in_order)
     return top_k(_ranked(tp.roll_up(partials, params.slices_per_part, params.alpha), params), k)
 
 

@@ -103,6 +103,32 @@ def test_neighbor_reuse(spark, seed, rows_per_bin):
     assert found == pytest.approx(twins.neighbor(keys, slices), abs=1e-14)
 
 
+@pytest.mark.parametrize("local, seed", [(0, 1), (40, 2), (40, 3)])
+def test_chains_are_contracted(spark, monkeypatch, local, seed):
+    """Long paths and bushy trees, solved by splicing; all tables written hold under three rows a chain."""
+    from heatlens.operators import neighbor
+
+    rng, written = random.Random(seed), []
+    parents = [None if i < 3 else i - 1 if i < 500 else rng.choice([499, rng.randrange(i), i - 1]) for i in range(1500)]
+    rows = [(i, p, rng.random() if p is not None else 0.0, rng.random()) for i, p in enumerate(parents)]
+    want = {}
+    for i, p, a, b in rows:
+        want[i] = b + (a * want[p] if p is not None else 0.0)
+    stage = neighbor.stage
+
+    def counted(df, name):
+        held = stage(df, name)
+        written.append(held.count())
+        return held
+
+    monkeypatch.setattr(neighbor, "stage", counted)
+    links = spark.createDataFrame(rows, "chain long, parent long, a double, b double").repartition(3)
+    found = neighbor.solve_chains(links, len(rows), local)
+    assert {r["chain"]: r["value"] for r in found.collect()} == pytest.approx(want, rel=1e-12)
+    # the first table is the links themselves
+    assert sum(written[1:]) < 3 * len(rows) and len(written) > 4
+
+
 def test_neighbor_takes_the_estimate_of_the_one_before(spark):
     keys, slices = [100, 116, 117, 100, 116, 133], [1, 1, 1, 3, 3, 3]
     found = heat_of(heat_neighbor_reuse(accesses(spark, keys, slices), len(keys)))

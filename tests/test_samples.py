@@ -94,7 +94,7 @@ def test_neighbor(sample):
     counted = accesses.select("key", F.col("arrival").alias("n")).withColumn(
         "slice", F.ceil(F.col("n") / size) + 1
     ).groupBy("key", "slice").agg(F.min("n").alias("n"))
-    assert repeat_events(counted).count() == known["events"]
+    assert repeat_events(counted).filter("at > 1").count() == known["events"]
 
 
 def test_clock(sample):
