@@ -51,29 +51,31 @@ def repeat_events(counted: DataFrame, order: str = "n") -> DataFrame:
     )
 
 
-def chain_events(events: DataFrame, bin_of: Column, reach: int = REACH, order: str = "n") -> DataFrame:
-    """Add ``chain``, the ``order`` of the event that heads the event's chain.
+def chain_events(placed: DataFrame, bin_of: Column, reach: int = REACH, order: str = "n") -> DataFrame:
+    """Add ``chain``, the ``order`` of the event that heads the event's chain; null for accesses that are no events.
 
     The comparison runs along the whole trace, so it is cut into bins that follow one another along ``order``.
     Inside a bin it is a window; across bins it needs each bin's last
     key and last head, a row per bin.
     """
-    binned = events.withColumn("__bin", bin_of)
+    event = F.col("at") > 1
+    own, at = F.when(event, F.col("key")), F.when(event, F.col(order))
     inside = Window.partitionBy("__bin").orderBy(order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    marked = binned.withColumn("__before", F.lag("key").over(inside))
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last(own, ignorenulls=True).over(earlier)
     far = F.abs(F.col("key") - F.col("__before")) > F.lit(reach)
-    local = marked.withColumn("__head", F.when(far, F.col(order)))
+    local = placed.withColumn("__bin", bin_of).withColumn("__before", before).withColumn("__head", F.when(event & far, F.col(order)))
     # bin edges: the first event of a bin is judged against the bin before it
     edges = local.groupBy("__bin").agg(
-        F.min_by("key", order).alias("first_key"),
-        F.min(order).alias("first_n"),
-        F.max_by("key", order).alias("last_key"),
+        F.min_by(own, at).alias("first_key"),
+        F.min(at).alias("first_n"),
+        F.max_by(own, at).alias("last_key"),
         F.max("__head").alias("last_head"),
-    )
+    ).filter("first_n is not null")
     along = Window.orderBy("__bin")
-    before = F.lag("last_key").over(along)
-    opens = before.isNull() | (F.abs(F.col("first_key") - before) > F.lit(reach))
+    ended = F.lag("last_key").over(along)
+    opens = ended.isNull() | (F.abs(F.col("first_key") - ended) > F.lit(reach))
     edges = (
         edges.withColumn("__opens", F.when(opens, F.col("first_n")))
         .withColumn("__seen", F.coalesce("last_head", "__opens"))
@@ -88,9 +90,9 @@ def chain_events(events: DataFrame, bin_of: Column, reach: int = REACH, order: s
     )
     return (
         local.withColumn("__head", F.last("__head", ignorenulls=True).over(upto))
-        .join(F.broadcast(edges), "__bin")
-        .withColumn("chain", F.coalesce("__head", "__carried"))
-        .select(*events.columns, "chain")
+        .join(F.broadcast(edges), "__bin", "left")
+        .withColumn("chain", F.when(event, F.coalesce("__head", "__carried")))
+        .select(*placed.columns, "chain")
     )
 
 
@@ -181,9 +183,7 @@ def heat_of_counted(
 ) -> DataFrame:
     """``(key, est)`` from one row per key and slice with its first ``order``. Bins by ``bin_of`` follow
     one another along ``order``."""
-    placed = repeat_events(counted, order)
-    first = placed.filter("at = 1").withColumn("chain", F.lit(None).cast("long"))
-    events = chain_events(placed.filter("at > 1"), bin_of, reach, order).unionByName(first)
+    events = chain_events(repeat_events(counted, order), bin_of, reach, order)
     events = stage(events.select("key", F.col(order).cast("long").alias("n"), "gap", "prev_n", "chain"), "events")
     links = chain_links(events.filter("chain is not null"), alpha)
     latest = events.groupBy("key").agg(F.max_by("chain", "n").alias("chain"))
