@@ -244,13 +244,16 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     eps = math.sqrt(max(0.0, 2 - 2 * cosine))
     read = staged(_read(vectors), "vectors")
     usable = read.filter("id is not null and raw is not null")
-    classes = staged(usable.groupBy("key", "width").agg(F.min("id").alias("id"), F.count("*").alias("size")), "vector-classes")
+    grouped = usable.groupBy("key", "width").agg(F.min("id").alias("first"), F.count("*").alias("size"))
+    # classes are told apart by a number of their own, as an id may have several vectors
+    classes = staged(grouped.withColumn("id", F.monotonically_increasing_id()), "vector-classes")
     results = None
     for row in classes.select("width").distinct().collect():  # one in any sound table
         width = row.width
         own = classes.filter(F.col("width") == width)
         reps = staged(
-            usable.filter(F.col("width") == width).select("key", "id", "raw").join(own, ["key", "id"]).dropDuplicates(["key"]).select("id", "size", "raw"),
+            usable.filter(F.col("width") == width).select("key", F.col("id").alias("first"), "raw").join(own, ["key", "first"])
+            .dropDuplicates(["key"]).select("id", "size", "raw"),
             "vector-reps",
         )
         axes = principal_axes(reps, width)
@@ -269,16 +272,18 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     found = staged(results, "vector-links")
     known = components(found.select(F.col("id").alias("u"), F.col("low").alias("v")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    judged = staged(
+    placed = staged(
         classes.join(links, "id", "left")
         .join(known, "id", "left")
         .select(
-            "key", "size",
+            "key", "size", "first",
             (F.coalesce("links", F.lit(0)) + F.col("size") - 1).cast("long").alias("n_links"),
-            F.coalesce("component", "id").alias("component"),
+            F.coalesce("component", "id").alias("top"),
         ),
-        "judged",
+        "placed-classes",
     )
+    tops = staged(placed.groupBy("top").agg(F.min("first").alias("component"), F.count("*").alias("classes")), "components")
+    judged = staged(join_groups(placed, tops, "top", "classes").select("key", "size", "n_links", "component"), "judged")
     joined = join_groups(usable.select("id", "key"), judged, "key", "size").select("id", "n_links", "component")
     alone = read.filter("id is null or raw is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     return joined.unionByName(alone).select(

@@ -11,7 +11,7 @@ compared by a 64-bit hash.
    estimates high similarities closely. Pairs that differ in more bits than texts of
    similarity 0.5 are sifted out; at 0.75 that is five standard deviations away. A pair of 0.75
    shares no band with a probability of 5e-6.
-2. Equal sets form a class, represented by the smallest doc_id; only these go on.
+2. Equal sets form a class with a number of its own, represented by one document; only these go on.
 3. In each band's bucket, members are checked against the smallest one. Where some fail,
    they are compared with the rest of the bucket by odd sketches of their full sets (4,096
    bits, a few hundredths of similarity wide), inside blocks of bounded size, and only
@@ -20,7 +20,8 @@ compared by a 64-bit hash.
 4. Links confirmed on full sets give the components.
 
 A null ``doc_id`` can't be named: such a row is reported by itself with a null
-``component_id`` and kept. Rows that repeat a ``doc_id`` are each judged by their own text.
+``component_id`` and kept. Rows that repeat a ``doc_id`` are each judged by their own text: nothing but the
+report goes by ids.
 """
 
 from __future__ import annotations
@@ -123,8 +124,13 @@ def odd_sketch(lowest: np.ndarray) -> np.ndarray:
     return np.packbits((flipped & 1).astype(np.uint8)).view(np.uint64)
 
 
+def _marked(docs: DataFrame) -> DataFrame:
+    """``id, text, mark``: a document is found again by its id and the hash of its text, as ids may repeat."""
+    return docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text"), F.xxhash64(text_of()).alias("mark"))
+
+
 def _signatures(docs: DataFrame) -> DataFrame:
-    schema = "id long, n long, digest binary, bands array<long>, sketch array<long>"
+    schema = "id long, mark long, n long, digest binary, bands array<long>, sketch array<long>"
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -136,6 +142,7 @@ def _signatures(docs: DataFrame) -> DataFrame:
             yield pa.record_batch(
                 {
                     "id": batch["id"],
+                    "mark": batch["mark"],
                     "n": pa.array([r[0] for r in rows], pa.int64()),
                     "digest": pa.array([r[1] for r in rows], pa.binary()),
                     "bands": pa.array([r[2] for r in rows], pa.list_(pa.int64())),
@@ -143,15 +150,13 @@ def _signatures(docs: DataFrame) -> DataFrame:
                 }
             )
 
-    return staged(
-        docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text")).mapInArrow(sign, schema), "signatures"
-    )
+    return staged(_marked(docs).mapInArrow(sign, schema), "signatures")
 
 
 def _from_texts(docs: DataFrame, wanted: DataFrame, column: str, make: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """``id, n`` and ``column`` (made of the full set) of the rows named by ``wanted`` (``id, digest``)."""
+    """``id, n`` and ``column`` (made of the full set) of the classes in ``wanted`` (``id, doc, mark, digest``)."""
     small = wanted.count() <= BROADCAST_ROWS
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text"))
+    rows = _marked(docs).withColumnRenamed("id", "doc")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, 256):
@@ -170,7 +175,7 @@ def _from_texts(docs: DataFrame, wanted: DataFrame, column: str, make: Callable[
                 }
             )
 
-    named = rows.join(F.broadcast(wanted) if small else wanted, "id")
+    named = rows.join(F.broadcast(wanted) if small else wanted, ["doc", "mark"])
     return staged(named.mapInArrow(read, f"id long, n long, {column} array<long>").dropDuplicates(["id"]), column)
 
 
@@ -193,7 +198,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     """The ``pairs`` (``u, v``) that are links, from the full sets. ``u`` may be in many pairs: its set
     goes to one place for each share of them."""
     ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    wanted = staged(reps.select("id", "digest").join(ids, "id", "left_semi"), "wanted")
+    wanted = staged(reps.select("id", "doc", "mark", "digest").join(ids, "id", "left_semi"), "wanted")
     sets = _from_texts(docs, wanted, "shingles", lambda s: s)
     shares = max(16, pairs.count() // 1024)
     dealt = pairs.withColumn("share", F.pmod(F.xxhash64("v"), F.lit(shares)))
@@ -271,15 +276,19 @@ def _likely_in_buckets(members: DataFrame, odd: DataFrame, known: DataFrame, bes
     return across.unionByName(down).groupBy("bucket", "i", "j").applyInPandas(compare, "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``."""
+def _judged(docs: DataFrame) -> DataFrame:
+    """``id, mark, n, component, stays`` of every row: ``stays`` marks one document of each component."""
     signed = _signatures(docs)
     named = signed.filter("id is not null and n > 0")
+    grouped = named.groupBy("digest").agg(F.min(F.struct("id", "mark")).alias("rep"), F.count("*").alias("size"))
     classes = staged(
-        named.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("size")), "classes"
+        grouped.select(F.monotonically_increasing_id().alias("class"), "digest", "rep", "size"), "classes"
     )
     reps = staged(
-        named.join(classes.select("digest", F.col("rep").alias("id")), ["digest", "id"]).dropDuplicates(["id", "digest"]), "reps"
+        named.join(classes.select("digest", "class", "rep.id", "rep.mark"), ["digest", "id", "mark"])
+        .dropDuplicates(["digest"])
+        .withColumnRenamed("id", "doc").withColumnRenamed("class", "id"),
+        "reps",
     )
     banded = reps.select("id", F.explode("bands").alias("bucket"))
     buckets = staged(
@@ -305,25 +314,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         )
         rows = staged(rows, "open-members")
         open_ids = rows.select("id").distinct()
-        odd = _from_texts(docs, staged(reps.select("id", "digest").join(open_ids, "id", "left_semi"), "open"), "parity", parities)
+        odd = _from_texts(
+            docs, staged(reps.select("id", "doc", "mark", "digest").join(open_ids, "id", "left_semi"), "open"), "parity", parities
+        )
         tried = pairs
         for best in (FIRST_BEST, None):
             more = staged(_likely_in_buckets(rows, odd, known, best).join(tried, ["u", "v"], "left_anti"), "likely")
             if more.isEmpty():
-                break
+                continue
             links = staged(links.unionByName(_confirm(more, docs, reps)), "links")
             tried = tried.unionByName(more)
             known = components(links)
 
-    of_class = staged(
-        classes.join(known.withColumnRenamed("id", "rep"), "rep", "left").select(
-            "digest", F.coalesce("component", "rep").alias("component"), "size"
+    placed = staged(
+        classes.join(known.withColumnRenamed("id", "class"), "class", "left").select(
+            "digest", "rep", "size", F.coalesce("component", "class").alias("top")
         ),
-        "class-components",
+        "placed-classes",
+    )
+    tops = staged(placed.groupBy("top").agg(F.min("rep").alias("first"), F.count("*").alias("classes")), "components")
+    of_class = staged(join_groups(placed, tops, "top", "classes").select("digest", "first", "size"), "class-components")
+    grouped = join_groups(named.select("id", "mark", "n", "digest"), of_class, "digest", "size").select(
+        "id", "mark", "n", F.col("first.id").alias("component"), (F.struct("id", "mark") == F.col("first")).alias("stays")
     )
-    grouped = join_groups(named.select("id", "n", "digest"), of_class, "digest", "size").select("id", "n", "component")
-    alone = signed.filter("id is null or n = 0").select("id", "n", F.col("id").alias("component"))
-    return grouped.unionByName(alone).select(
+    alone = signed.filter("id is null or n = 0").select(
+        "id", "mark", "n", F.col("id").alias("component"), F.lit(True).alias("stays")
+    )
+    return grouped.unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``."""
+    return _judged(docs).select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
         F.col("component").alias("component_id"),
@@ -332,9 +354,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that another one of their component stands for. Dropped ids
-    are dropped by an anti-join; a ``doc_id`` some row of which stays, stays."""
-    report = near_duplicates(docs)
-    gone = staged(report.groupBy("doc_id").agg(F.max("kept").alias("stays")).filter("not stays").select("doc_id"), "gone")
+    """``docs`` without the rows that another one of their component stands for: one document of each stays,
+    that with the smallest ``doc_id``. Rows that repeat both id and text are that document, and stay together."""
+    gone = staged(
+        _judged(docs).filter("not stays").select(F.col("id").alias("__id"), F.col("mark").alias("__mark")).distinct(), "gone"
+    )
     small = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
+    same = (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64(text_of()) == F.col("__mark"))
+    return docs.join(F.broadcast(gone) if small else gone, same, "left_anti").select(*docs.columns)
