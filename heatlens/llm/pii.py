@@ -11,7 +11,8 @@ regression on votes, kind and length learns to tell spans from the estimated lab
 regression then decides about the candidates of every document.
 
 Positions are code points, end exclusive. A null text counts as empty. Each row is worked
-on by itself; its spans are one array, as long as the text has matches.
+on by itself; its spans are one array, as long as the text has matches. Places come from
+running sums over gaps and matches, so the time of a text with n matches grows with n log n.
 """
 
 from __future__ import annotations
@@ -69,34 +70,69 @@ GAZETTEER_AGAINST = {
 VOTES = ("format", "gazetteer", "context", "shape")
 ROUNDS = 50
 
-SPAN = "struct<kind:string,start:int,end:int,base:boolean,value:string,before:string>"
+SPAN = "struct<start:int,end:int,kind:string,base:boolean,value:string,before:string>"
+# Texts are cut into pieces of so many characters before places in them are looked up.
+PIECE = 4096
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)``, with ``value`` evaluated once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running(values: Column, combine) -> Column:
+    """The array of running combinations of ``values`` by an associative ``combine``. Each round
+    joins entries twice as far apart as the one before, so n values take log2(n) rounds."""
+
+    def step(acc: Column, stride: Column) -> Column:
+        return F.transform(acc, lambda x, i: F.when(i >= stride, combine(acc[i - stride], x)).otherwise(x))
+
+    strides = F.array(*[F.lit(1 << k) for k in range(31)])
+    return _let(values, lambda v: F.aggregate(F.filter(strides, lambda stride: stride < F.size(v)), v, step))
+
+
+def _tail(text: Column) -> Column:
+    return F.substring(text, -CONTEXT_CHARS, CONTEXT_CHARS)
 
 
 def _matches(text: Column, test: Column, pattern: str, kind: str, base: bool) -> Column:
-    """All matches with their places: gaps between matches and matches alternate."""
+    """All matches with their places and what stands before them: gaps between matches and
+    matches alternate, and running lengths and ends of them tell where a gap begins."""
     found = F.zip_with(
-        F.transform(F.split(text, pattern, -1), F.length),
+        F.split(text, pattern, -1),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
         lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")),
     )
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + x["gap"]
-        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
-        span = F.struct(
-            F.lit(kind).alias("kind"),
-            start.alias("start"),
-            end.alias("end"),
-            F.lit(base).alias("base"),
-            x["hit"].alias("value"),
-            F.lower(F.substring(text, F.greatest(start - CONTEXT_CHARS + 1, F.lit(1)), F.least(start, F.lit(CONTEXT_CHARS)))).alias("before"),
+    def spans(pairs: Column) -> Column:
+        pieces = F.transform(
+            pairs,
+            lambda x: F.struct(
+                (F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("pos"),
+                _tail(F.concat(_tail(x["gap"]), F.coalesce(_tail(x["hit"]), F.lit("")))).alias("tail"),
+            ),
+        )
+        running = _running(
+            pieces,
+            lambda x, y: F.struct((x["pos"] + y["pos"]).alias("pos"), _tail(F.concat(x["tail"], y["tail"])).alias("tail")),
         )
-        out = F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span)))
-        return F.struct(end.alias("pos"), out.alias("out"))
+        begins = F.concat(F.array(F.struct(F.lit(0).alias("pos"), F.lit("").alias("tail"))), running)
+
+        def span(x: Column, begin: Column) -> Column:
+            start = begin["pos"] + F.length(x["gap"])
+            return F.struct(
+                start.alias("start"),
+                (start + F.length(x["hit"])).alias("end"),
+                F.lit(kind).alias("kind"),
+                F.lit(base).alias("base"),
+                x["hit"].alias("value"),
+                F.lower(_tail(F.concat(begin["tail"], _tail(x["gap"])))).alias("before"),
+            )
+
+        return F.filter(F.zip_with(pairs, begins, span), lambda s: s["value"].isNotNull())
 
     none = F.array().cast(f"array<{SPAN}>")
-    begin = F.struct(F.lit(0).alias("pos"), none.alias("out"))
-    return F.when(test, F.aggregate(found, begin, step, lambda acc: acc["out"])).otherwise(none)
+    return F.when(test, _let(found, spans)).otherwise(none)
 
 
 def _digits(value: Column) -> Column:
@@ -116,11 +152,29 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def _wider_spans(text: Column, base: Column) -> Column:
-    wider = F.concat(*[_matches(text, text.rlike(test), pattern, kind, False) for kind, test, pattern in WIDER])
-    touches = lambda s: F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    # a long secret may hold what looks like a base span and is a secret all the same
-    return F.filter(wider, lambda s: (s["kind"] == "secret") | ~touches(s))
+def _wider_spans(text: Column) -> Column:
+    return F.concat(*[_matches(text, text.rlike(test), pattern, kind, False) for kind, test, pattern in WIDER])
+
+
+def _apart(base: Column, wider: Column) -> Column:
+    """``base`` and those of ``wider`` that touch none of them, by start. A span touches a base span
+    if one that begins no later ends after its start, or one that begins no earlier does so before its end."""
+
+    def look(spans: Column) -> Column:
+        reach = _running(F.transform(spans, lambda s: F.when(s["base"], s["end"]).otherwise(F.lit(0))), F.greatest)
+        begins = F.transform(F.reverse(spans), lambda s: F.when(s["base"], s["start"]).otherwise(F.lit(2**31 - 1)))
+        ahead = F.reverse(_running(begins, F.least))
+        looked = F.zip_with(
+            F.zip_with(spans, reach, lambda s, r: F.struct(s.alias("span"), r.alias("reach"))),
+            ahead,
+            lambda x, a: F.struct(x["span"].alias("span"), ((x["reach"] > x["span"]["start"]) | (a < x["span"]["end"])).alias("touches")),
+        )
+        # a long secret may hold what looks like a base span and is a secret all the same
+        stays = F.filter(looked, lambda x: x["span"]["base"] | (x["span"]["kind"] == "secret") | ~x["touches"])
+        return F.transform(stays, lambda x: x["span"])
+
+    both = (F.size(base) > 0) & (F.size(wider) > 0)
+    return F.when(both, _let(F.array_sort(F.concat(base, wider)), look)).otherwise(F.concat(base, wider))
 
 
 def _by_kind(kind: Column, cases: dict[str, Column], other: Column) -> Column:
@@ -158,9 +212,8 @@ def candidates(docs: DataFrame, *keep: str) -> DataFrame:
     """``docs[keep]`` and ``__spans``: every candidate with its votes."""
     text = F.col("__text")
     rows = docs.select(*keep, text_of().alias("__text"))
-    rows = rows.withColumn("__base", base_spans(text))
-    rows = rows.withColumn("__all", F.concat(F.col("__base"), _wider_spans(text, F.col("__base"))))
-    return rows.select(*keep, F.transform("__all", _voted).alias("__spans"))
+    rows = rows.withColumn("__base", base_spans(text)).withColumn("__wider", _wider_spans(text))
+    return rows.select(*keep, F.transform(_apart(F.col("__base"), F.col("__wider")), _voted).alias("__spans"))
 
 
 def estimate_labels(rows: list) -> np.ndarray:
@@ -245,28 +298,47 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _masked(text: Column, spans: Column) -> Column:
+    """``text`` with a bracket for each of ``spans`` (by start) that begins after all before it have ended."""
+    ends = F.concat(F.array(F.lit(0)), _running(F.transform(spans, lambda s: s["end"]), F.greatest))
+    placed = F.zip_with(
+        F.concat(spans, F.array(F.struct(F.length(text).alias("start"), F.length(text).alias("end"), F.lit(None).cast("string").alias("kind")))),
+        ends,
+        lambda s, pos: F.struct(pos.alias("pos"), s["start"].alias("start"), s["kind"].alias("kind")),
+    )
+
+    def kept(pieces: Column, start: Column, end: Column) -> Column:
+        """The characters from ``start`` to ``end``; only pieces that hold some are walked through."""
+        first, last = F.floor(start / PIECE).cast("int"), F.floor(end / PIECE).cast("int")
+        head = F.coalesce(F.get(pieces, first), F.lit(""))
+        tail = F.substring(F.coalesce(F.get(pieces, last), F.lit("")), F.lit(1), end % PIECE)
+        whole = F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        return F.when(first == last, F.substring(head, start % PIECE + 1, end - start)).otherwise(
+            F.concat(F.substring(head, start % PIECE + 1, F.lit(PIECE)), whole, tail)
+        )
+
+    def parts(pieces: Column) -> Column:
+        return F.transform(
+            F.filter(placed, lambda x: x["start"] >= x["pos"]),
+            lambda x: F.concat(kept(pieces, x["pos"], x["start"]), F.coalesce(F.concat(F.lit("["), x["kind"], F.lit("]")), F.lit(""))),
+        )
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return F.array_join(_let(pieces, parts), "")
+
+
 def mask(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets, such as ``[email]``; texts
-    without spans, null ones too, stay as they are. Spans that overlap get one bracket."""
-    columns = docs.columns
-    rows = candidates(docs, *columns)
-    weights = train_classifier(
-        staged(candidates(docs).filter(F.size("__spans") > 0), "pii-candidates").select(F.explode("__spans").alias("s")).select("s.*")
-    )
+    without spans, null ones too, stay as they are. Spans that overlap get one bracket. Texts are
+    searched once: rows are written with their candidates and read again."""
+    columns = [f"`{c}`" for c in docs.columns]
+    rows = staged(candidates(docs, *columns), "pii-candidates")
+    weights = train_classifier(rows.select(F.explode("__spans").alias("s")).select("s.*"))
     spans = F.array_sort(
         F.transform(
             F.filter("__spans", _accepted(weights)),
             lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")),
         )
     )
-    text = F.col("text")
-
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"])
-        out = F.when(s["start"] < acc["pos"], acc["out"]).otherwise(F.concat(acc["out"], before, F.lit("["), s["kind"], F.lit("]")))
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), out.alias("out"))
-
-    begin = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    masked = F.aggregate("__found", begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
-    rows = rows.withColumn("__found", spans)
-    return rows.select(*[F.when(F.size("__found") > 0, masked).otherwise(text).alias("text") if c == "text" else F.col(f"`{c}`") for c in columns])
+    masked = _let(spans, lambda found: F.when(F.size(found) > 0, _masked(F.col("text"), found)).otherwise(F.col("text")))
+    return rows.select(*[masked.alias("text") if c == "`text`" else F.col(c) for c in columns])
