@@ -1,11 +1,14 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Five small transducers read the words of a clause: insults (whole words, and stems with any
-ending), threats, targets, negation and reported speech. Composed, they are one automaton
-whose state says whether a target was named, how far a negation reaches and whether speech is
-being reported; each insult or threat is emitted as a match in that state with the weight of
-its arc. One read before any target waits for a target later in the clause. A document's matches, summed by kind of state, go to a logistic regression, so what a
-negated or reported insult is worth is learned.
+A lexicon turns each word into a symbol, the classes that the word is of, with a weight. Five
+transducers read a clause's symbols, each what the one before it has written: targets mark
+the words of a clause that names a target, before or after them (two paths are guessed, and only the
+right one is accepted); negation marks the words that it reaches; reported speech marks those after
+its verb; insults and threats write the kind of a match, with a share of the word's weight
+for each kind. They are composed into one machine when this module is imported. A clause is scored by its
+accepted path. A document's matches, summed by kind, and its heaviest clause go to a logistic
+regression whose weights start from priors, so what a negated or reported insult is worth is
+learned where there are any and small elsewhere.
 
 Closed classes (pronouns, negators, verbs of speech and of harm) are listed below. Insults are
 learned: a word or stem is an arc if labelled documents that hold it are toxic beyond
@@ -29,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from heatlens.llm.common import BROADCAST_ROWS, chunks, text_of
+from heatlens.llm.transducers import Transducer, best_path, cascade, machine, outputs
 
 # Closed word classes of the four languages, lower case.
 TARGETS = "you your yours he she they them him her us this that tu toi vous ton ta votre vos il elle eux du dich dir ihr euch dein deine er sie usted ustedes te ti él ella ellos ese eso"
@@ -46,79 +50,152 @@ SAMPLE_DOCS = 20_000
 # A row's features for the fit come from arcs learned without the row's fold.
 FOLDS = 5
 KINDS = ("plain", "targeted", "negated", "reported", "threat")
-WIDTH = 2 * len(KINDS) + 3
+# What a match of each kind passes on of its word's weight. What all matches pass on has weights of its
+# own in the regression; a kind adds its difference from a plain match, which starts from a prior.
+SHARES = {"plain": 1.0, "targeted": 1.25, "negated": 0.25, "reported": 0.4, "threat": 1.5}
+PRIORS = {"targeted": 0.2, "negated": -0.2, "reported": -0.1, "threat": 0.4}
+THREAT_WEIGHT = 1.0
+# Forms and number of the matches that are neither negated nor reported, the weight of all paths, the
+# heaviest path, and whether there are two forms; then weight and number of matches by kind.
+SHARED = 5
+WIDTH = SHARED + 2 * len(PRIORS)
+
+# Classes of a word, and marks that machines add.
+TARGET, NEGATOR, REPORTER, THREAT, INSULT, TARGETED, NEGATED, REPORTED = (1 << k for k in range(8))
+MATCH = 1 << 8
+WORDS = range(32)
+
+
+def _kind(symbol: int, kind: str) -> int:
+    return symbol % MATCH + MATCH * (1 + KINDS.index(kind))
+
+
+def target_machine() -> Transducer:
+    """Marks every word of a clause that names a target. ``none`` holds that there is no target in
+    it, ``ahead`` that one is to come; the clause accepts one of them."""
+
+    def step(state: str, word: int) -> list:
+        if state == "none":
+            return [] if word & TARGET else [("none", word, 1.0)]
+        return [("seen" if state == "seen" or word & TARGET else "ahead", word | TARGETED, 1.0)]
+
+    return machine(["none", "ahead"], ["none", "seen"], WORDS, step)
+
+
+def negation_machine(inputs: set[int]) -> Transducer:
+    def step(reach: int, word: int) -> list:
+        return [(NEGATION_REACH if word & NEGATOR else max(0, reach - 1), word | NEGATED if reach else word, 1.0)]
+
+    return machine([0], range(NEGATION_REACH + 1), inputs, step)
+
+
+def report_machine(inputs: set[int]) -> Transducer:
+    def step(told: bool, word: int) -> list:
+        return [(told or bool(word & REPORTER), word | REPORTED if told else word, 1.0)]
+
+    return machine([False], [False, True], inputs, step)
+
+
+def insult_machine(inputs: set[int]) -> Transducer:
+    def step(state: int, word: int) -> list:
+        if not word & INSULT:
+            return [(0, word, 1.0)]
+        kind = "negated" if word & NEGATED else "reported" if word & REPORTED else "targeted" if word & TARGETED else "plain"
+        return [(0, _kind(word, kind), SHARES[kind])]
+
+    return machine([0], [0], inputs, step)
+
+
+def threat_machine(inputs: set[int]) -> Transducer:
+    """Writes the kind of the match alone: 0 for none, else its place in ``KINDS`` from 1."""
+
+    def step(state: int, word: int) -> list:
+        if word & THREAT and word & TARGETED and not word & (NEGATED | REPORTED):
+            insult = SHARES["targeted"] if word & INSULT else 1.0
+            return [(0, 1 + KINDS.index("threat"), SHARES["threat"] / insult)]
+        return [(0, word // MATCH, 1.0)]
+
+    return machine([0], [0], inputs, step)
+
+
+def clause_machines() -> list[Transducer]:
+    machines = [target_machine()]
+    for build in (negation_machine, report_machine, insult_machine, threat_machine):
+        machines.append(build(outputs(machines[-1])))
+    return machines
+
+
+CLAUSE_MACHINE = cascade(clause_machines())
 
 
 @dataclass
 class Grammar:
+    """The lexicon and the clause machine. ``arcs``: the weight of each insult, a word or the
+    first letters of longer words and a star."""
+
     arcs: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        self.threats = frozenset(THREATS.split())
-        self.targets = frozenset(TARGETS.split())
-        self.negators = frozenset(NEGATORS.split())
-        self.reporters = frozenset(REPORTERS.split())
+        self.classes: dict[str, int] = {}
+        for bit, words in ((TARGET, TARGETS), (NEGATOR, NEGATORS), (REPORTER, REPORTERS), (THREAT, THREATS)):
+            for word in words.split():
+                self.classes[word] = self.classes.get(word, 0) | bit
 
     def insult(self, word: str) -> float:
-        """The weight of the heaviest path of the insult transducer that accepts ``word``."""
+        """The weight of the heaviest arc that accepts ``word``."""
         weight = self.arcs.get(word, 0.0)
         for n in STEMS:
             if len(word) > n:
                 weight = max(weight, self.arcs.get(word[:n] + "*", 0.0))
         return weight
 
-    def matches(self, clause: list[str]) -> Iterator[tuple[str, str, float]]:
-        """(word, kind, weight) of each match, reading the clause once. A threat before the target
-        is the same match as that verb again after it."""
-        target, reported, reach = False, False, 0
-        waiting: list[tuple[str, bool, float]] = []
-        made: set[str] = set()
-        for word in clause:
-            weight = self.insult(word)
-            threat = word in self.threats
-            if weight > 0 or threat:
-                if reach:
-                    kind = "negated"
-                elif reported:
-                    kind = "reported"
-                elif not target:
-                    kind = None
-                    waiting.append((word, threat, weight))
-                elif threat:
-                    kind, weight = "threat", max(weight, 1.0)
-                    made.add(word)
-                else:
-                    kind = "targeted"
-                if kind and weight > 0:
-                    yield word, kind, weight
-            reach = NEGATION_REACH if word in self.negators else max(0, reach - 1)
-            target = target or word in self.targets
-            reported = reported or word in self.reporters
-        for word, threat, weight in waiting:
-            if threat and target and word not in made:
-                yield word, "threat", max(weight, 1.0)
-            elif weight > 0:
-                yield word, "targeted" if target else "plain", weight
+    def read(self, word: str) -> tuple[int, float]:
+        """The symbol of a word and its weight."""
+        classes, weight = self.classes.get(word, 0), self.insult(word)
+        return (classes | INSULT, weight) if weight > 0 else (classes, THREAT_WEIGHT if classes & THREAT else 0.0)
+
+    def path(self, clause: list[str], known: dict[str, tuple[int, float]]) -> tuple[float, list[tuple[str, str, float]]]:
+        """The weight of the clause's path and the (word, kind, weight) of each match. A verb
+        threatens once in a clause, however often it is read."""
+        read = [known[word] for word in clause]
+        if not any(symbol & (INSULT | THREAT) for symbol, _ in read):
+            return 0.0, []
+        _, written = best_path(CLAUSE_MACHINE, *zip(*read))
+        found, made = [], set()
+        for place, out, weight in written:
+            word, kind = clause[place], KINDS[out - 1]
+            if kind != "threat" or word not in made:
+                found.append((word, kind, weight))
+            if kind == "threat":
+                made.add(word)
+        return sum(weight for _, _, weight in found), found
+
+    def matches(self, clause: list[str]) -> list[tuple[str, str, float]]:
+        return self.path(clause, {word: self.read(word) for word in clause})[1]
 
     def features(self, text: str | None) -> np.ndarray:
-        """Weight and number of matches of each kind, forms matched, matched clauses."""
+        """The shared features, then those of each kind."""
         row = np.zeros(WIDTH)
         lowered = (text or "").lower()
-        words = set(WORD.findall(lowered))
-        if not any(w in self.threats or self.insult(w) > 0 for w in words):
+        known = {word: self.read(word) for word in set(WORD.findall(lowered))}
+        if not any(symbol & (INSULT | THREAT) for symbol, _ in known.values()):
             return row
-        forms, matched = set(), 0
+        forms = set()
         for clause in CLAUSE.split(lowered):
-            found = list(self.matches(WORD.findall(clause)))
-            matched += bool(found)
-            for word, kind, weight in found:
-                at = 2 * KINDS.index(kind)
-                row[at] += weight
-                row[at + 1] += 1
-                forms.add(word)
-        row[-3], row[-2] = len(forms), matched
+            weight, found = self.path(WORD.findall(clause), known)
+            row[2] += weight
+            row[3] = max(row[3], weight)
+            for word, kind, part in found:
+                if kind not in ("negated", "reported"):
+                    forms.add(word)
+                    row[1] += 1
+                if kind in PRIORS:
+                    at = SHARED + 2 * list(PRIORS).index(kind)
+                    row[at] += part
+                    row[at + 1] += 1
+        row[0] = len(forms)
         row = np.log1p(row)
-        row[-1] = float(len(forms) > 1)
+        row[4] = float(len(forms) > 1)
         return row
 
 
@@ -223,16 +300,26 @@ def fit_sample(rows: DataFrame, share: float) -> DataFrame:
     )
 
 
+def prior_weights() -> np.ndarray:
+    """The regression's weights before any data; the last is the bias."""
+    prior = np.zeros(WIDTH + 1)
+    prior[SHARED:WIDTH:2] = list(PRIORS.values())
+    return prior
+
+
 def _fit(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.1, rounds: int = 30) -> np.ndarray:
-    """Logistic regression of rows that count ``n`` times, by Newton steps; the last weight is the bias."""
+    """Logistic regression of rows that count ``n`` times, drawn to its priors, by Newton steps; the
+    last weight is the bias."""
     x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
+    prior = prior_weights()
+    w = prior.copy()
     penalty = np.full(len(w), ridge)
+    penalty[SHARED:] = 1.0
     penalty[-1] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         hessian = (x * (n * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
-        w -= np.linalg.solve(hessian, x.T @ (n * (p - y)) + penalty * w)
+        w -= np.linalg.solve(hessian, x.T @ (n * (p - y)) + penalty * (w - prior))
     return w
 
 

@@ -17,6 +17,7 @@ from heatlens.llm import ego_join, exact_dedup, language, lexicon_bpe, near_dedu
 from heatlens.llm.components import components
 from heatlens.llm.queries import BYTE_BPE, ORACLE, QUERIES, WORD_BPE
 from heatlens.llm.tokens import ByteBpe
+from heatlens.llm.transducers import best_path
 from heatlens.staging import staging_path
 
 LONG = "lorem ipsum dolor sit amet " * 4000
@@ -334,6 +335,45 @@ def test_a_target_completes_a_match_in_either_order(verb_first, target_first, in
     assert grammar.features(verb_first).any() and not grammar.features("kill the lamp. you").any()
 
 
+def test_the_composed_machine_equals_its_parts():
+    """On random clauses: the machines run one after another, every path of each followed."""
+    rng = np.random.default_rng(5)
+    parts = toxicity.clause_machines()
+
+    def one_after_another(symbols):
+        inputs = [(tuple(symbols), (1.0,) * len(symbols))]
+        for part in parts:
+            written = []
+            for word, shares in inputs:
+                paths = [(s, (), ()) for s in part.starts]
+                for symbol, share in zip(word, shares):
+                    paths = [(to, w + (out,), h + (share * p,)) for s, w, h in paths for to, out, p in part.arcs.get((s, symbol), ())]
+                written += [(w, h) for s, w, h in paths if s in part.finals]
+            inputs = written
+        return inputs
+
+    for _ in range(300):
+        symbols = rng.integers(0, 32, rng.integers(0, 12)).tolist()
+        weights = rng.random(len(symbols)).tolist()
+        (word, shares), = one_after_another(symbols)
+        want = [(i, out, pytest.approx(share * w)) for i, (out, share, w) in enumerate(zip(word, shares, weights)) if out]
+        total, got = best_path(toxicity.CLAUSE_MACHINE, symbols, weights)
+        assert got == want and total == pytest.approx(sum(x[2] for x in got))
+
+
+def test_negated_and_reported_insults_score_below_plain_ones(spark):
+    """Also where no training row has any of them: the priors hold there."""
+    rows = [(i, f"word{i % 17} thing number{i} " + ("is an idiot here" if i % 4 == 0 else "is fine here")) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert "idiot" in model.grammar.arcs
+    score, clean = model.score, model.score("a fine thing")
+    assert clean < score("he is not idiot") < score("what idiot") > score("he said idiot") > clean
+    assert score("you idiot") >= score("what idiot") > 0.5 > score("he is not idiot") and score("i will kill you") > clean
+    assert score("i will not kill you") == score("i will kill the lamp") == clean == score(None) == score("")
+    assert toxicity.prior_weights()[toxicity.SHARED : toxicity.WIDTH : 2].all()
+
+
 def test_every_significant_form_is_an_arc(spark):
     """Near copies of one long toxic text hold more forms than any list of best forms had places."""
     letters = "abcdefghij"
