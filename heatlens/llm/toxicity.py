@@ -56,8 +56,8 @@ SHARES = {"plain": 1.0, "targeted": 1.25, "negated": 0.25, "reported": 0.4, "thr
 PRIORS = {"targeted": 0.2, "negated": -0.2, "reported": -0.1, "threat": 0.4}
 THREAT_WEIGHT = 1.0
 # Forms and number of the matches that are neither negated nor reported, the weight of all paths, the
-# heaviest path, and whether there are two forms; then weight and number of matches by kind.
-SHARED = 5
+# heaviest path, clauses with such matches, and whether there are two forms; then weight and number by kind.
+SHARED = 6
 WIDTH = SHARED + 2 * len(PRIORS)
 
 # Classes of a word, and marks that machines add.
@@ -185,6 +185,7 @@ class Grammar:
             weight, found = self.path(WORD.findall(clause), known)
             row[2] += weight
             row[3] = max(row[3], weight)
+            row[4] += any(kind not in ("negated", "reported") for _, kind, _ in found)
             for word, kind, part in found:
                 if kind not in ("negated", "reported"):
                     forms.add(word)
@@ -195,7 +196,7 @@ class Grammar:
                     row[at + 1] += 1
         row[0] = len(forms)
         row = np.log1p(row)
-        row[4] = float(len(forms) > 1)
+        row[5] = float(len(forms) > 1)
         return row
 
 
