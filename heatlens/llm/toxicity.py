@@ -140,6 +140,8 @@ class Grammar:
         for bit, words in ((TARGET, TARGETS), (NEGATOR, NEGATORS), (REPORTER, REPORTERS), (THREAT, THREATS)):
             for word in words.split():
                 self.classes[word] = self.classes.get(word, 0) | bit
+        self.whole = frozenset(THREATS.split()).union(self.arcs)
+        self.stems = {n: frozenset(arc[:n] for arc in self.arcs if arc.endswith("*") and len(arc) == n + 1) for n in STEMS}
 
     def insult(self, word: str) -> float:
         """The weight of the heaviest arc that accepts ``word``."""
@@ -149,18 +151,23 @@ class Grammar:
                 weight = max(weight, self.arcs.get(word[:n] + "*", 0.0))
         return weight
 
+    def matching(self, words: set[str]) -> set[str]:
+        """Those of ``words`` that are insults or threats; most texts have none."""
+        if self.whole.isdisjoint(words) and all(self.stems[n].isdisjoint([w[:n] for w in words]) for n in STEMS):
+            return set()
+        return {w for w in words if self.read(w)[0] & (INSULT | THREAT)}
+
     def read(self, word: str) -> tuple[int, float]:
         """The symbol of a word and its weight."""
         classes, weight = self.classes.get(word, 0), self.insult(word)
         return (classes | INSULT, weight) if weight > 0 else (classes, THREAT_WEIGHT if classes & THREAT else 0.0)
 
-    def path(self, clause: list[str], known: dict[str, tuple[int, float]]) -> tuple[float, list[tuple[str, str, float]]]:
+    def path(self, clause: list[str], matching: set[str]) -> tuple[float, list[tuple[str, str, float]]]:
         """The weight of the clause's path and the (word, kind, weight) of each match. A verb
         threatens once in a clause, however often it is read."""
-        read = [known[word] for word in clause]
-        if not any(symbol & (INSULT | THREAT) for symbol, _ in read):
+        if matching.isdisjoint(clause):
             return 0.0, []
-        _, written = best_path(CLAUSE_MACHINE, *zip(*read))
+        _, written = best_path(CLAUSE_MACHINE, *zip(*map(self.read, clause)))
         found, made = [], set()
         for place, out, weight in written:
             word, kind = clause[place], KINDS[out - 1]
@@ -171,18 +178,18 @@ class Grammar:
         return sum(weight for _, _, weight in found), found
 
     def matches(self, clause: list[str]) -> list[tuple[str, str, float]]:
-        return self.path(clause, {word: self.read(word) for word in clause})[1]
+        return self.path(clause, self.matching(set(clause)))[1]
 
     def features(self, text: str | None) -> np.ndarray:
         """The shared features, then those of each kind."""
         row = np.zeros(WIDTH)
         lowered = (text or "").lower()
-        known = {word: self.read(word) for word in set(WORD.findall(lowered))}
-        if not any(symbol & (INSULT | THREAT) for symbol, _ in known.values()):
+        matching = self.matching(set(WORD.findall(lowered)))
+        if not matching:
             return row
         forms = set()
         for clause in CLAUSE.split(lowered):
-            weight, found = self.path(WORD.findall(clause), known)
+            weight, found = self.path(WORD.findall(clause), matching)
             row[2] += weight
             row[3] = max(row[3], weight)
             row[4] += any(kind not in ("negated", "reported") for _, kind, _ in found)
