@@ -23,10 +23,10 @@ def bits_of(key: Column, width: int) -> Column:
     return mask
 
 
-def block_count(rows: int, width: int, most: int) -> int:
-    """A power of two of blocks with about 16 bits per row, between 1,024 and ``most``. Beyond
-    ``most`` the filter keeps its size and lets more keys pass."""
+def block_count(rows: int, width: int, most: int, bits_per_row: int = 16) -> int:
+    """A power of two of blocks with about ``bits_per_row`` bits per row, between 1,024 and ``most``.
+    Beyond ``most`` the filter keeps its size and lets more keys pass."""
     blocks = 1024
-    while blocks < most and blocks * width < 16 * rows:
+    while blocks < most and blocks * width < bits_per_row * rows:
         blocks *= 2
     return blocks

@@ -1,10 +1,12 @@
 """Exact duplicates: two Bloom passes, then only possibly repeated rows shuffle.
 
-The first pass turns each fingerprint into (block, bits) and keeps the bits that some
-fingerprint has set twice: a blocked Bloom filter of the repeated fingerprints, with no
-false negatives. Its number of blocks is bounded, so it is broadcast. The second pass
-probes every row with it. Rows that miss pass straight through; rows that hit are
-grouped by their full SHA-256.
+The first pass builds a blocked Bloom filter of the fingerprints: per block, the bits that were
+set at all, the bits set an odd number of times, and how many were set in sum. Each of them
+is merged map-side, so a task sends one row for each block that it touched, however many rows and copies it
+read. From the three follow the bits set twice or more often (see ``repeated_filter``), the filter of the
+repeated fingerprints, without false negatives. Its number of blocks is bounded, so it is broadcast. The second
+pass probes every row with it. Rows that miss pass straight through; rows that hit are grouped by
+their full SHA-256.
 
 Texts are equal when identical after replacing each run of ``[\\x20\\x09-\\x0D]`` by one
 space. Null counts as empty. The row with the smallest ``doc_id`` stays; a null ``doc_id`` is
@@ -20,6 +22,8 @@ from heatlens.llm.bloom import bits_of, block_count, block_of
 from heatlens.llm.common import join_groups, staged, text_of
 
 WIDTH = 64
+# Of distinct texts, about one in a thousand passes a filter with so many bits a row.
+BITS_PER_ROW = 64
 # Two longs for each block: about 32 MB on each executor at most.
 MAX_BLOCKS = 1 << 20
 
@@ -34,13 +38,27 @@ def fingerprint(text: Column) -> Column:
 
 
 def repeated_filter(prints: DataFrame, column: str) -> tuple[DataFrame, int]:
-    """The blocks ``(block, twice)`` of the filter of repeated fingerprints, and their number."""
-    blocks = block_count(prints.count(), WIDTH, MAX_BLOCKS)
-    cells = prints.groupBy(
-        block_of(F.col(column), blocks).alias("__block"), bits_of(F.col(column), WIDTH).alias("__bits")
-    ).agg(F.count("*").alias("__n"))
-    twice = cells.filter("__n > 1").groupBy("__block").agg(F.bit_or("__bits").alias("__twice"))
-    return staged(twice, "bloom"), blocks
+    """The blocks ``(block, twice)`` of the filter of repeated fingerprints, and their number.
+
+    Bits set an even number of times are set, but not an odd number of times. If the settings beyond the
+    first of each bit are as many as those bits, no bit was set three times, and those bits are the
+    repeated ones. Otherwise all bits of the block count as repeated: its other rows pass for nothing,
+    no repeated one is missed.
+    """
+    blocks = block_count(prints.count(), WIDTH, MAX_BLOCKS, BITS_PER_ROW)
+    planes = (
+        prints.select(block_of(F.col(column), blocks).alias("__block"), bits_of(F.col(column), WIDTH).alias("__bits"))
+        .groupBy("__block")
+        .agg(
+            F.bit_or("__bits").alias("__any"),
+            F.bit_xor("__bits").alias("__odd"),
+            F.sum(F.bit_count("__bits")).alias("__set"),
+        )
+    )
+    even = F.col("__any").bitwiseAND(F.bitwise_not("__odd"))
+    at_most_two = F.col("__set") - F.bit_count("__any") == F.bit_count(even)
+    twice = F.when(at_most_two, even).otherwise(F.col("__any"))
+    return staged(planes.select("__block", twice.alias("__twice")).filter("__twice != 0"), "bloom"), blocks
 
 
 def probe(rows: DataFrame, column: str, twice: DataFrame, blocks: int) -> DataFrame:
