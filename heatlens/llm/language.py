@@ -3,8 +3,10 @@
 Texts are lower-cased, runs of anything but letters become one space, and the character
 n-grams of orders 1 to 3 are hashed into ``BUCKETS`` features. Document frequencies cover
 every training row; the weights are fitted by follow-the-regularised-leader (proximal, with
-an elastic net, so most stay 0) on a bounded sample; a temperature, fitted on a part of the
-sample that the weights have not seen, calibrates the probabilities.
+an elastic net, so most stay 0) on a bounded sample. A temperature calibrates the probabilities. It
+is fitted on a part of the sample that the weights have not seen: whole texts and, as these are
+easily told apart, a piece of a few words from each, with smoothed targets, so that rows
+without an error don't make it certain of everything.
 
 Null texts and texts without a letter get ``und`` and score 0; so does every text when there
 is no training row.
@@ -27,6 +29,9 @@ ORDERS = (1, 2, 3)
 # The weights are fitted on this many labelled rows at most, spread evenly over the labels.
 SAMPLE_DOCS = 6000
 EPOCHS = 3
+# The temperature is also fitted on pieces of 1 to so many words.
+PIECE_WORDS = 6
+TEMPERATURES = np.geomspace(0.05, 20, 80)
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2e-4, 1e-4
 UNDETERMINED = "und"
 
@@ -101,8 +106,20 @@ def _document_frequencies(rows: DataFrame) -> np.ndarray:
     return frequencies
 
 
-def _sample(rows: DataFrame, per_label: int, sizes: dict[str, int]) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """About ``per_label`` rows of each label, by hashed id, as (label, buckets, counts)."""
+# A label, and the buckets and counts of a text.
+Example = tuple[int, np.ndarray, np.ndarray]
+
+
+def piece(text: str | None, place: int) -> str:
+    """A few words in a row, how many and which by ``place``; the whole text if it has no more."""
+    words = (text or "").split()
+    size = place % PIECE_WORDS + 1
+    start = place // PIECE_WORDS % max(1, len(words) - size + 1)
+    return " ".join(words[start : start + size])
+
+
+def _sample(rows: DataFrame, per_label: int, sizes: dict[str, int]) -> list[tuple[Example, Example]]:
+    """About ``per_label`` rows of each label, by hashed id: the whole text and a piece of it."""
     place = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 40))
     share = F.lit(0).cast("long")
     for label, size in sizes.items():
@@ -111,20 +128,26 @@ def _sample(rows: DataFrame, per_label: int, sizes: dict[str, int]) -> list[tupl
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            found = [features(t) for t in batch["text"].to_pylist()]
-            yield pa.record_batch(
-                {
-                    "place": batch["place"],
-                    "label": pa.array([index[x] for x in batch["lang"].to_pylist()], pa.int64()),
-                    "buckets": pa.array([f.astype("<u2").tobytes() for f, _ in found], pa.binary()),
-                    "counts": pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for _, c in found], pa.binary()),
-                }
-            )
+            texts = batch["text"].to_pylist()
+            pieces = [piece(t, at) for t, at in zip(texts, batch["place"].to_pylist())]
+            columns = {"place": batch["place"], "label": pa.array([index[x] for x in batch["lang"].to_pylist()], pa.int64())}
+            for name, some in (("whole", texts), ("piece", pieces)):
+                found = [features(t) for t in some]
+                columns[f"{name}_buckets"] = pa.array([f.astype("<u2").tobytes() for f, _ in found], pa.binary())
+                columns[f"{name}_counts"] = pa.array([c.astype("<u4").tobytes() for _, c in found], pa.binary())
+            yield pa.record_batch(columns)
+
+    def example(row, name: str) -> Example:
+        found, counts = np.frombuffer(row[f"{name}_buckets"], "<u2"), np.frombuffer(row[f"{name}_counts"], "<u4")
+        return row.label, found.astype(int), counts.astype(int)
 
     chosen = rows.withColumn("place", place).filter(place < share).select("place", "lang", "text")
-    got = chosen.mapInArrow(encode, "place long, label long, buckets binary, counts binary").collect()
-    got.sort(key=lambda r: (r.place, r.label, r.buckets))
-    return [(r.label, np.frombuffer(r.buckets, "<u2").astype(int), np.frombuffer(r.counts, "<u2").astype(int)) for r in got]
+    got = chosen.mapInArrow(
+        encode,
+        "place long, label long, whole_buckets binary, whole_counts binary, piece_buckets binary, piece_counts binary",
+    ).collect()
+    got.sort(key=lambda r: (r.place, r.label, r.whole_buckets))
+    return [(example(r, "whole"), example(r, "piece")) for r in got]
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -160,16 +183,23 @@ def fit_weights(model: LanguageModel, sample: list) -> None:
     model.weights, model.bias = fitted[:-1], fitted[-1]
 
 
-def fit_temperature(model: LanguageModel, sample: list) -> None:
-    """The temperature with the smallest log loss, on a grid of equal ratios."""
-    scored = [(y, model.vector(f, c) @ model.weights[f] + model.bias) for y, f, c in sample if len(f)]
-    if not scored:
+def fit_temperature(model: LanguageModel, sample: list[Example]) -> None:
+    """The temperature with the smallest log loss, on a grid of equal ratios. Of N rows the label is held to
+    be right with N + 1 in N + 2, the others share the rest; with one label there is nothing to calibrate."""
+    sample = [s for s in sample if len(s[1])]
+    n = len(model.labels)
+    if not sample or n < 2:
         return
+    logits = np.array([model.vector(f, c) @ model.weights[f] + model.bias for _, f, c in sample])
+    rest = 1 / (len(sample) + 2)
+    targets = np.full(logits.shape, rest / (n - 1))
+    targets[np.arange(len(sample)), [y for y, _, _ in sample]] = 1 - rest
 
     def loss(t: float) -> float:
-        return -sum(np.log(max(_softmax(logits / t)[y], 1e-12)) for y, logits in scored)
+        scaled = (logits - logits.max(axis=1, keepdims=True)) / t
+        return -float((targets * (scaled - np.log(np.exp(scaled).sum(axis=1, keepdims=True)))).sum())
 
-    model.temperature = float(min(np.geomspace(0.05, 5, 60), key=loss))
+    model.temperature = float(min(TEMPERATURES, key=loss))
 
 
 def train(rows: DataFrame) -> LanguageModel:
@@ -180,9 +210,9 @@ def train(rows: DataFrame) -> LanguageModel:
         return LanguageModel([], np.zeros(BUCKETS))
     model = LanguageModel(list(sizes), np.log((1 + total) / (1 + _document_frequencies(rows))) + 1)
     sample = _sample(rows, max(1, SAMPLE_DOCS // len(sizes)), sizes)
-    held = sample[::5] if len(sample) >= 50 else sample
-    fit_weights(model, [s for i, s in enumerate(sample) if i % 5] if len(sample) >= 50 else sample)
-    fit_temperature(model, held)
+    apart = len(sample) >= 50
+    fit_weights(model, [whole for i, (whole, _) in enumerate(sample) if i % 5 or not apart])
+    fit_temperature(model, [one for both in (sample[::5] if apart else sample) for one in both])
     return model
 
 
