@@ -49,6 +49,9 @@ STEMS = (4, 5)
 SAMPLE_DOCS = 20_000
 # A row's features for the fit come from arcs learned without the row's fold.
 FOLDS = 5
+# A worker remembers so many words, up to so long, that match nothing; then it starts anew.
+PLAIN_WORDS = 1 << 18
+PLAIN_LENGTH = 40
 KINDS = ("plain", "targeted", "negated", "reported", "threat")
 # What a match of each kind passes on of its word's weight. What all matches pass on has weights of its
 # own in the regression; a kind adds its difference from a plain match, which starts from a prior.
@@ -141,6 +144,7 @@ class Grammar:
             for word in words.split():
                 self.classes[word] = self.classes.get(word, 0) | bit
         self.whole = frozenset(THREATS.split()).union(self.arcs)
+        self.plain: set[str] = set()
         self.stems = {n: frozenset(arc[:n] for arc in self.arcs if arc.endswith("*") and len(arc) == n + 1) for n in STEMS}
 
     def insult(self, word: str) -> float:
@@ -153,9 +157,15 @@ class Grammar:
 
     def matching(self, words: set[str]) -> set[str]:
         """Those of ``words`` that are insults or threats; most texts have none."""
+        words = words - self.plain
         if self.whole.isdisjoint(words) and all(self.stems[n].isdisjoint([w[:n] for w in words]) for n in STEMS):
-            return set()
-        return {w for w in words if self.read(w)[0] & (INSULT | THREAT)}
+            found = set()
+        else:
+            found = {w for w in words if self.read(w)[0] & (INSULT | THREAT)}
+        if len(self.plain) > PLAIN_WORDS:
+            self.plain.clear()
+        self.plain.update(w for w in words if len(w) <= PLAIN_LENGTH and w not in found)
+        return found
 
     def read(self, word: str) -> tuple[int, float]:
         """The symbol of a word and its weight."""
@@ -189,6 +199,9 @@ class Grammar:
             return row
         forms = set()
         for clause in CLAUSE.split(lowered):
+            # a clause that holds a match holds its letters
+            if not any(word in clause for word in matching):
+                continue
             weight, found = self.path(WORD.findall(clause), matching)
             row[2] += weight
             row[3] = max(row[3], weight)

@@ -419,3 +419,13 @@ def test_pipeline(spark, data_dir):
     want = sorted((r.doc_id, len(exact.encode(r.text or "", add_special_tokens=False).ids) + 1) for r in texts)
     got = corpus_pipeline.pack_sequences(spark, docs, data_dir).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
     assert sorted((r.doc_id, r.n) for r in got) == [(i, n) for i, n in want]
+
+
+def test_remembered_words_change_no_match(monkeypatch):
+    monkeypatch.setattr(toxicity, "PLAIN_WORDS", 5)
+    texts = ["You idiot, idiots! Not an idiot. " + f"w{'abcdefgh'[i % 8]} stop" * (i % 9) + " I will kill you" * (i % 2) for i in range(60)]
+    used = toxicity.Grammar({"idiot": 2.0, "idio*": 1.0, "stop": 0.5})
+    for text in [*texts, "x" * 100_000, "", None]:
+        fresh = toxicity.Grammar(used.arcs)
+        assert used.features(text).tolist() == fresh.features(text).tolist()
+        assert len(used.plain) <= 5 + 20 and all(len(w) <= toxicity.PLAIN_LENGTH for w in used.plain)
