@@ -28,7 +28,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 import tiktoken
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
@@ -40,8 +40,12 @@ from heatlens.llm.tokens import byte_alphabet
 # The lexicon holds so many words at most; the rest is merged.
 LEXICON_WORDS = 1 << 16
 LEAST_COUNT = 3
+# Merged words that a worker remembers before it starts anew.
+MERGED_WORDS = 1 << 17
 
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+# The tokenizer's pattern, for texts without ``_OTHER``: \p{L} and \p{N} written out for their characters.
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼-¾]+|[\d²³¹¼-¾]|(?:[^\s\w]|_)+")
+_NO_LETTERS = r"[^a-zß-öø-ÿ]+"
 _OTHER = re.compile(r"[^\t\n\r\x20-\x7e¡-įı-ɏ]|<\|")
 
 
@@ -161,11 +165,23 @@ class Lexicon:
         return self._ids[self._starts[rank] : self._starts[rank + 1]].tobytes()
 
 
+def _word_counts(docs: DataFrame) -> DataFrame:
+    """``word, n``: lower-case words of plain letters, counted over some rows each time."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            words = pc.split_pattern_regex(pc.utf8_lower(batch["text"]), _NO_LETTERS).flatten()
+            counts = pc.value_counts(words)
+            yield pa.record_batch({"word": counts.field("values"), "n": counts.field("counts")})
+
+    return docs.select(text_of().alias("text")).mapInArrow(count, "word string, n long").filter("word <> ''")
+
+
 def frequent_words(docs: DataFrame) -> list[str]:
     """The most frequent lower-case words of plain letters, counted over all documents: all
     words from the smallest power of two of occurrences that leaves at most ``LEXICON_WORDS``."""
-    words = docs.select(F.explode(F.split(F.lower(text_of()), r"[^a-zß-öø-ÿ]+")).alias("word")).filter("word <> ''")
-    counted = words.groupBy("word").count().filter(F.col("count") >= LEAST_COUNT).withColumn("scale", F.floor(F.log2("count")))
+    counted = _word_counts(docs).groupBy("word").agg(F.sum("n").alias("count"))
+    counted = counted.filter(F.col("count") >= LEAST_COUNT).withColumn("scale", F.floor(F.log2("count")))
     counted.persist()
     try:
         scales = sorted(((r.scale, r["count"]) for r in counted.groupBy("scale").count().collect()), reverse=True)
@@ -210,6 +226,7 @@ class WordBpe:
         self.tokens = {i: t for t, i in self.exact.get_vocab(with_added_tokens=True).items()}
         self._token_of = np.array([self.tokens.get(i, "") for i in range(max(self.tokens) + 1)], dtype=object)
         self.known: dict[str, bytes] = {}
+        self.merged: dict[str, bytes] = {}
         alphabet, ranks = byte_alphabet(), {}
         for token, i in self.exact.get_vocab(with_added_tokens=False).items():
             word_end = token.endswith("</w>")
@@ -239,7 +256,9 @@ class WordBpe:
             unseen = []
             for i in [i for i, f in enumerate(found) if f is None]:
                 piece = pieces[i]
-                if ids := self.lexicon.get(piece.encode()):  # at most as many as the lexicon has words
+                if ids := self.merged.get(piece):
+                    found[i] = ids
+                elif ids := self.lexicon.get(piece.encode()):  # at most as many as the lexicon has words
                     found[i] = self.known[piece] = ids
                 elif len(piece) == 1:  # of a few hundred plain characters
                     found[i] = self.known[piece] = self.merge([piece])[0]
@@ -247,6 +266,10 @@ class WordBpe:
                     unseen.append(i)
             for i, ids in zip(unseen, self.merge([pieces[i] for i in unseen]), strict=True):
                 found[i] = ids
+                if len(pieces[i]) <= 64:
+                    self.merged[pieces[i]] = ids
+            if len(self.merged) > MERGED_WORDS:
+                self.merged.clear()
         ids = b"".join(found)
         return ids, " ".join(self._token_of[np.frombuffer(ids, "<u4")].tolist())
 
