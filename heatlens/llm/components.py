@@ -1,6 +1,6 @@
 """Connected components of a table of links, by alternating stars.
 
-Each round points every larger neighbour of a node at the smallest one it knows, then
+At most ``LOCAL_LINKS`` links are joined by one task, in a few arrays of that length. With more, each round points every larger neighbour of a node at the smallest one it knows, then
 every node and its smaller neighbours at the smallest of these. The links of a component
 end as a star around its smallest node, after about log(size) rounds. Every round is a
 written table; the driver sees two numbers of it.
@@ -8,10 +8,16 @@ written table; the driver sees two numbers of it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from heatlens.llm.common import join_groups, staged
 
+LOCAL_LINKS = 200_000
+
 
 def _smallest(edges: DataFrame) -> DataFrame:
     """For each ``u``: the smallest of itself and its neighbours, and the number of these."""
@@ -39,11 +45,34 @@ def _mark(links: DataFrame) -> tuple[int, int]:
     return row[0], row[1] or 0
 
 
+def _joined_in_one_task(links: DataFrame) -> DataFrame:
+    """``id, component`` by hooking the larger of two linked tops under the smaller, and following these to their ends."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        ids, at = np.unique(np.concatenate([table["u"].to_numpy(), table["v"].to_numpy()]), return_inverse=True)
+        u, v, top = at[: table.num_rows], at[table.num_rows :], np.arange(len(ids))
+        while (top[u] != top[v]).any():
+            a, b = top[u], top[v]
+            np.minimum.at(top, np.maximum(a, b), np.minimum(a, b))
+            while not np.array_equal(up := top[top], top):
+                top = up
+        found = np.flatnonzero(top != np.arange(len(ids)))
+        yield pa.record_batch({"id": pa.array(ids[found]), "component": pa.array(ids[top[found]])})
+
+    return links.coalesce(1).mapInArrow(join, "id long, component long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``id, component`` (smallest id) of every node of ``links`` (``u, v`` long) that is not itself the
     smallest of its component. Repeated links and links to oneself don't matter."""
     links = staged(links.select("u", "v").filter("u <> v").distinct(), "links")
     mark = _mark(links)
+    if mark[0] <= LOCAL_LINKS:
+        return staged(_joined_in_one_task(links), "joined")
     while True:
         links = staged(_small_star(staged(_large_star(links), "large-star")), "small-star")
         before, mark = mark, _mark(links)

@@ -13,11 +13,12 @@ compared by a 64-bit hash.
    shares no band with a probability of 5e-6.
 2. Equal sets form a class with a number of its own, represented by one document; only these go on.
 3. In each band's bucket, members are checked against the smallest one. Where some fail,
-   they are compared with the rest of the bucket by odd sketches of their full sets (4,096
-   bits, a few hundredths of similarity wide), inside blocks of bounded size, and only
-   likely pairs between components that are still apart come out: first the four likeliest
-   for each member and component, then all others.
-4. Links confirmed on full sets give the components.
+   they are compared with the rest of the bucket inside blocks of bounded size, which hold the full sets. Odd
+   sketches of these (4,096 bits, a few hundredths of similarity wide) leave the likely pairs; those between
+   components that are still apart are decided on the sets, first the four likeliest for each member, then
+   all others. Only links that join two components come out, fewer than a block has members.
+   Two texts are compared in the first bucket that they share.
+4. Links give the components.
 
 A null ``doc_id`` can't be named: such a row is reported by itself with a null
 ``component_id`` and kept. Rows that repeat a ``doc_id`` are each judged by their own text: nothing but the
@@ -46,8 +47,9 @@ SKETCH_WORDS = SKETCH_BITS // 64
 SIFT_SIMILARITY = 0.5
 PARITY_BITS = 4096
 PERCENT = 75
-# Blocks of a bucket in which sketches are compared.
-BLOCK_FAILED, BLOCK_MEMBERS = 256, 2048
+# Blocks of a bucket in which sets are compared: their members, and the shingles of each side.
+BLOCK_FAILED, BLOCK_MEMBERS = 512, 2048
+BLOCK_SHINGLES = 1 << 20
 FIRST_BEST = 4
 
 _RANDOM = np.random.default_rng(20240607)
@@ -226,23 +228,93 @@ def _sift(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return join_groups(members, hubs, "u", "degree").filter(fits & close).select("u", "v")
 
 
-def _likely_in_buckets(members: DataFrame, odd: DataFrame, known: DataFrame, best: int | None) -> DataFrame:
-    """Likely pairs (``u, v``) of a failed member and any other of its bucket, in different
-    components. ``members``: ``bucket, id, failed``. ``odd``: ``id, n, parity``. ``known``: ``id,
-    component``. With ``best``, only so many for each failed member and component of a block."""
-    rows = members.join(odd.join(known, "id", "left").withColumn("component", F.coalesce("component", "id")), "id")
-    sizes = rows.groupBy("bucket").agg(
+def _overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Common elements of two ascending arrays without repeats."""
+    if len(a) < len(b):
+        a, b = b, a
+    return int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+
+
+def _linked_in_block(block: pd.DataFrame) -> pd.DataFrame:
+    """Links (``u, v``) of failed members (``query``) and the others of a block, on full sets, that join components which are
+    apart: as many as it takes to join them, so fewer than there are members."""
+    asked, others = block[block["query"]], block[~block["query"]]
+    links: list[tuple[int, int]] = []
+    if not len(asked) or not len(others):
+        return pd.DataFrame({"u": pd.Series(dtype="int64"), "v": pd.Series(dtype="int64")})
+    bucket = block["bucket"].iloc[0]
+    _, roots = np.unique(np.concatenate([asked["component"], others["component"]]), return_inverse=True)
+    top_q, top = roots[: len(asked)].copy(), roots[len(asked) :].copy()
+    ids, n = others["id"].to_numpy(), others["n"].to_numpy()
+    failed, bands = others["failed"].to_numpy(), np.array(others["bands"].tolist(), dtype=np.int64)
+    sets, sets_q = ([s.view(np.uint64) for s in side["shingles"]] for side in (others, asked))
+    bits = np.array([parities(s) for s in sets])
+    ids_q, n_q = asked["id"].to_numpy(), asked["n"].to_numpy()
+    bands_q, bits_q = list(asked["bands"]), [parities(s) for s in sets_q]
+
+    def likely(q: int) -> tuple[np.ndarray, np.ndarray]:
+        """Partners of ``q`` in other components, likeliest first, and a number that falls with the likeliness."""
+        # of two failed members one asks
+        ok = (top != top_q[q]) & (~failed | (ids > ids_q[q])) & (100 * np.minimum(n, n_q[q]) >= PERCENT * np.maximum(n, n_q[q]))
+        at = np.flatnonzero(ok)
+        same = bands[at] == bands_q[q]
+        first = bands_q[q][same.argmax(axis=1)]
+        at = at[~same.any(axis=1) | (first == bucket)]
+        differ, sizes = np.bitwise_count(bits[at] ^ bits_q[q]).sum(axis=1), n[at] + n_q[q]
+        fits = differ <= most_odd_bits(sizes)
+        at, differ, sizes = at[fits], differ[fits].astype(float), sizes[fits]
+        far = -np.log1p(-np.minimum(2 * differ / PARITY_BITS, 0.999)) / sizes
+        order = np.lexsort((ids[at], far))
+        return at[order], far[order]
+
+    def joined(q: int, i: int) -> bool:
+        nonlocal top_q, top
+        a, b = sets_q[q], sets[i]
+        common = _overlap(a, b)
+        if 100 * common < PERCENT * (len(a) + len(b) - common):
+            return False
+        links.append((min(ids_q[q], ids[i]), max(ids_q[q], ids[i])))
+        low, high = sorted((top_q[q], top[i]))
+        top_q[top_q == high] = low
+        top[top == high] = low
+        return True
+
+    tried = set()
+    best = []
+    for q in range(len(asked)):
+        at, far = likely(q)
+        best.extend(zip(far[:FIRST_BEST].tolist(), [q] * len(at[:FIRST_BEST]), at[:FIRST_BEST].tolist()))
+    for _, q, i in sorted(best):
+        if top_q[q] != top[i]:
+            tried.add((q, i))
+            joined(q, i)
+    for q in range(len(asked)):
+        for i in likely(q)[0].tolist():
+            if top_q[q] != top[i] and (q, i) not in tried:
+                joined(q, i)
+    return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
+
+
+def _linked_in_buckets(members: DataFrame, sets: DataFrame, known: DataFrame) -> DataFrame:
+    """Links (``u, v``) of failed members and any other of their bucket that join different components, at most as many
+    as rows are compared. ``members``: ``bucket, id, failed``. ``sets``: ``id, n, bands, shingles``. ``known``: ``id, component``."""
+    of_id = sets.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    light = members.join(of_id.select("id", "n", "component"), "id")
+    bad = F.col("failed").cast("long")
+    sizes = light.groupBy("bucket").agg(
         F.count("*").alias("all"),
-        F.sum(F.col("failed").cast("long")).alias("bad"),
+        F.sum(bad).alias("bad"),
+        F.sum("n").alias("weight"),
+        F.sum(bad * F.col("n")).alias("bad_weight"),
         F.min("component").alias("low"),
         F.max("component").alias("high"),
     ).filter("low < high").select(
         "bucket",
-        F.ceil(F.col("all") / BLOCK_MEMBERS).alias("columns"),
-        F.ceil(F.col("bad") / BLOCK_FAILED).alias("rows"),
+        F.greatest(F.ceil(F.col("all") / BLOCK_MEMBERS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).alias("columns"),
+        F.greatest(F.ceil(F.col("bad") / BLOCK_FAILED), F.ceil(F.col("bad_weight") / BLOCK_SHINGLES)).alias("rows"),
         "all",
     )
-    placed = join_groups(rows, staged(sizes, "bucket-sizes"), "bucket", "all")
+    placed = join_groups(members, staged(sizes, "bucket-sizes"), "bucket", "all")
     place = lambda n: F.pmod(F.xxhash64("id", "bucket"), F.col(n))
     across = placed.filter("failed").select(
         "*", F.lit(True).alias("query"), place("rows").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("columns") - 1)).alias("j")
@@ -250,30 +322,8 @@ def _likely_in_buckets(members: DataFrame, odd: DataFrame, known: DataFrame, bes
     down = placed.select(
         "*", F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("i"), place("columns").alias("j")
     )
-
-    def compare(block: pd.DataFrame) -> pd.DataFrame:
-        asked, others = block[block["query"]], block[~block["query"]]
-        found = []
-        if len(asked) and len(others):
-            bits = np.array(others["parity"].tolist(), dtype=np.int64).view(np.uint64)
-            n, ids, comp = others["n"].to_numpy(), others["id"].to_numpy(), others["component"].to_numpy()
-            mine = np.array(asked["parity"].tolist(), dtype=np.int64).view(np.uint64)
-            for q, own, own_n, own_comp in zip(asked["id"], mine, asked["n"], asked["component"]):
-                ok = (comp != own_comp) & (100 * np.minimum(n, own_n) >= PERCENT * np.maximum(n, own_n))
-                at = np.flatnonzero(ok)
-                differ = np.zeros(len(ids), np.int64)
-                differ[at] = np.bitwise_count(bits[at] ^ own).sum(axis=1)
-                at = at[differ[at] <= most_odd_bits(n[at] + own_n)]
-                if best is not None and len(at):
-                    at = at[np.lexsort((ids[at], differ[at], comp[at]))]
-                    starts = np.flatnonzero(np.append(True, np.diff(comp[at]) != 0))
-                    nth = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
-                    at = at[nth < best]
-                found.append(np.column_stack([np.minimum(ids[at], q), np.maximum(ids[at], q)]))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
-
-    return across.unionByName(down).groupBy("bucket", "i", "j").applyInPandas(compare, "u long, v long").distinct()
+    sent = across.unionByName(down).select("bucket", "i", "j", "query", "id", "failed").join(of_id, "id")
+    return sent.groupBy("bucket", "i", "j").applyInPandas(_linked_in_block, "u long, v long")
 
 
 def _judged(docs: DataFrame) -> DataFrame:
@@ -314,17 +364,11 @@ def _judged(docs: DataFrame) -> DataFrame:
         )
         rows = staged(rows, "open-members")
         open_ids = rows.select("id").distinct()
-        odd = _from_texts(
-            docs, staged(reps.select("id", "doc", "mark", "digest").join(open_ids, "id", "left_semi"), "open"), "parity", parities
-        )
-        tried = pairs
-        for best in (FIRST_BEST, None):
-            more = staged(_likely_in_buckets(rows, odd, known, best).join(tried, ["u", "v"], "left_anti"), "likely")
-            if more.isEmpty():
-                continue
-            links = staged(links.unionByName(_confirm(more, docs, reps)), "links")
-            tried = tried.unionByName(more)
-            known = components(links)
+        wanted = staged(reps.select("id", "doc", "mark", "digest").join(open_ids, "id", "left_semi"), "open")
+        sets = _from_texts(docs, wanted, "shingles", lambda s: s).join(reps.select("id", "bands"), "id")
+        more = staged(_linked_in_buckets(rows, sets, known), "bucket-links")
+        if not more.isEmpty():
+            known = components(known.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more))
 
     placed = staged(
         classes.join(known.withColumnRenamed("id", "class"), "class", "left").select(
