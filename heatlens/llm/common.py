@@ -40,8 +40,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return stage(df, f"llm-{name}")
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, hot_share: int = 1024) -> DataFrame:
-    """Inner join of ``rows`` with ``groups`` (one row per ``key``, with the number of rows
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, hot_share: int = 1024, how: str = "inner") -> DataFrame:
+    """Inner (or left) join of ``rows`` with ``groups`` (one row per ``key``, with the number of rows
     it has in ``size``). Groups that hold over 1/``hot_share`` of all rows, of which
     there are fewer than ``hot_share``, are broadcast, so no task gets a hot group.
     ``groups`` should be cheap to read twice (a written table).
@@ -51,5 +51,5 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, hot_sha
     cold = groups.filter(F.col(size) <= total / hot_share)
     keys = hot.select(key)
     return rows.join(F.broadcast(hot), key).unionByName(
-        rows.join(F.broadcast(keys), key, "left_anti").join(cold, key)
+        rows.join(F.broadcast(keys), key, "left_anti").join(cold, key, how)
     )

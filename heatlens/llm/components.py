@@ -45,21 +45,28 @@ def _mark(links: DataFrame) -> tuple[int, int]:
     return row[0], row[1] or 0
 
 
+def tops_of(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the links from ``u`` to ``v``, ascending, and the place of the smallest node of each one's component,
+    by hooking the larger of two linked tops under the smaller, and following these to their ends."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v, top = at[: len(u)], at[len(u) :], np.arange(len(ids))
+    while (top[u] != top[v]).any():
+        a, b = top[u], top[v]
+        np.minimum.at(top, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := top[top], top):
+            top = up
+    return ids, top
+
+
 def _joined_in_one_task(links: DataFrame) -> DataFrame:
-    """``id, component`` by hooking the larger of two linked tops under the smaller, and following these to their ends."""
+    """``id, component`` of the nodes that are not the smallest of their component."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         table = pa.Table.from_batches(held)
-        ids, at = np.unique(np.concatenate([table["u"].to_numpy(), table["v"].to_numpy()]), return_inverse=True)
-        u, v, top = at[: table.num_rows], at[table.num_rows :], np.arange(len(ids))
-        while (top[u] != top[v]).any():
-            a, b = top[u], top[v]
-            np.minimum.at(top, np.maximum(a, b), np.minimum(a, b))
-            while not np.array_equal(up := top[top], top):
-                top = up
+        ids, top = tops_of(table["u"].to_numpy(), table["v"].to_numpy())
         found = np.flatnonzero(top != np.arange(len(ids)))
         yield pa.record_batch({"id": pa.array(ids[found]), "component": pa.array(ids[top[found]])})
 
