@@ -43,8 +43,8 @@ AXES = 8
 # A file of the sequence has a 256th of its rows, but at least so many, and at most so many bytes of singles.
 ROWS_PER_PART = 8192
 PART_BYTES = 1 << 25
-# Vectors are first compared on the leading axes that hold a mean squared distance of so many eps^2.
-HEAD_EPS2 = 7.5
+# Vectors are first compared on so many leading axes that vectors of a normal distribution are near on them by this chance.
+CHANCE = 1e-6
 # Single-precision products within this margin of the bound are looked at in double precision.
 MARGIN = 1e-4
 # Bytes of leading axes that a task remembers, and rows of its result that it keeps before it adds them up.
@@ -325,11 +325,19 @@ class _Found:
             self.limit = max(FOUND_ROWS, 2 * self.rows)
 
 
+def _head(variances: np.ndarray, eps2: float) -> int:
+    """How many axes to compare first; all if nearly all are needed. The chance is the volume of a ball times the density of
+    differences at its centre."""
+    width = len(variances)
+    logs = np.cumsum(np.log(eps2 / np.maximum(4 * variances, 1e-30)) / 2)
+    few = [h for h in range(1, width + 1) if logs[h - 1] - math.lgamma(h / 2 + 1) <= math.log(CHANCE)]
+    return few[0] if few and few[0] <= 0.75 * width else width
+
+
 def _comparison(axes: np.ndarray, variances: np.ndarray, cosine: float, eps2: float):
     """For pairs of blocks: ``id, links, low`` of the linked classes, ``low`` one class of each group of them."""
     width = len(axes)
-    head = int(np.searchsorted(2 * np.cumsum(variances), HEAD_EPS2 * eps2)) + 1
-    leading = axes[:, : width if head > 0.75 * width else head].copy()
+    leading = axes[:, : _head(variances, eps2)].copy()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: OrderedDict[int, _Block] = OrderedDict()
